@@ -16,13 +16,13 @@ def merge(on_disk: DataFrame, changes: DataFrame) -> DataFrame:
     """
     both = on_disk.select(*KEYS, F.lit("note").alias("op"), F.lit(None).cast("bigint").alias("seq")).unionByName(
         changes.select(*KEYS, "op", "seq"))
-    last = F.max_by("op", F.struct(F.col("seq").isNotNull(), "seq"))
+    last = F.max_by("op", F.struct(F.col("seq").isNotNull(), "seq", "op"))
     return both.groupBy(*KEYS).agg(last.alias("op")).where("op = 'note'").select(*KEYS)
 
 
 def newly_noted(on_disk: DataFrame, changes: DataFrame) -> DataFrame:
     """Keys the changes added that were not stored before, counted per source and kind."""
-    added = changes.groupBy(*KEYS).agg(F.max_by("op", "seq").alias("op")).where("op = 'note'")
+    added = changes.groupBy(*KEYS).agg(F.max_by("op", F.struct("seq", "op")).alias("op")).where("op = 'note'")
     return (added.join(on_disk.select(*KEYS).distinct(), KEYS, "left_anti")
             .groupBy("source", "kind").agg(F.count(F.lit(1)).alias("recorded")))
 

@@ -109,7 +109,7 @@ def search_terms(hints: DataFrame, seed_records: DataFrame, search_index: DataFr
               .join(renamed(search_index, "isbn13", "isbn13", "_index"), "isbn13", "left"))
     seed = F.coalesce("_by13", "_by10", "_index")
     own = F.nullif(F.trim("title"), F.lit(""))
-    full = F.concat_ws(": ", seed["title"], seed["subtitle"]) if subtitle else seed["title"]
+    full = F.nullif(F.concat_ws(": ", seed["title"], seed["subtitle"]), F.lit("")) if subtitle else seed["title"]
     known = F.filter(F.coalesce("authors", F.array().cast("array<string>")), lambda a: clean(a) != "")
     return joined.select(
         "isbn13", F.coalesce(own, full).alias("title"),

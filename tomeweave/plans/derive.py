@@ -87,7 +87,7 @@ def sql_source(number: str) -> str:
     return f"({SOURCES_SQL})[CAST({number} % 6 AS INTEGER) + 1]"
 
 
-def outcomes(t: Tables) -> DataFrame:
+def outcomes(t: Tables, keep: list[str] = ()) -> DataFrame:
     """One pass per (book, source) from the order lines, with every field the reports read."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                               "l_returnflag", "l_linestatus", "l_shipdate").withColumn("_s", F.pmod("l_suppkey", F.lit(6)))
@@ -97,8 +97,9 @@ def outcomes(t: Tables) -> DataFrame:
     has = F.col("l_returnflag") == "A"
     warnings = F.filter(F.array(F.when(F.pmod(quantity, F.lit(5)) == 0, F.lit("no cover image URLs found")),
                                 F.when(F.pmod(quantity, F.lit(7)) == 0, F.lit("no genres found"))), lambda w: w.isNotNull())
+    first = first.withColumn("q", quantity)
     return first.select(
-        F.concat(F.lit("978"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("isbn13"),
+        *keep, F.concat(F.lit("978"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")).alias("isbn13"),
         source_of(F.col("_s")).alias("source"), F.col("l_orderkey").alias("seq"), F.col("l_orderkey").alias("pos"),
         has.alias("has_metadata"), (has | (F.pmod(quantity, F.lit(11)) == 0)).alias("has_payload"),
         F.when(F.col("l_returnflag") == "R", F.lit("HTTP 403 wall")).alias("block_reason"),
