@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html.entities
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -144,7 +143,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     becomes a blank anyway.
     """
     single, gone, several = [], [], {}
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in range(0x80, 0x30000):  # nothing beyond decomposes
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue
         char = chr(point)
