@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import sys
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
@@ -166,3 +167,9 @@ def bracket_block(texts: pa.Array) -> pa.Array:
                     break
         out.append(found)
     return pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def unescape_all(texts: pa.Array) -> pa.Array:
+    """Every HTML 5 entity; callers hand over only the rows that need it, as null otherwise."""
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())

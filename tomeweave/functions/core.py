@@ -47,15 +47,14 @@ def alternation(markers: list[str]) -> str:
 
 def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
     """Elements whose key has not come before, in order; sorts, so long lists stay cheap."""
-    tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    by_key = lambda a, b: (F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1)
-                           .otherwise(a["i"] - b["i"]))
 
     def firsts(rows: Column) -> Column:
         kept = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
-        return F.transform(F.array_sort(kept, lambda a, b: a["i"] - b["i"]), lambda r: r["x"])
+        spots = F.sort_array(F.transform(kept, lambda r: r["i"]))
+        return F.transform(spots, lambda i: F.get(items, i))
 
-    return let(F.array_sort(tagged, by_key), firsts)
+    tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+    return let(F.sort_array(tagged), firsts)
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -12,10 +12,9 @@ from .text import clean
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
     """ISO date from digit strings, null when there is no such day."""
-    y, m, d = (c.try_cast("int") for c in (year, month, day))
-    first = F.make_date(F.when(y >= 1, y), F.when(m.between(1, 12), m), F.lit(1))
-    return F.when(d.between(1, F.dayofmonth(F.last_day(first))),
-                  F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+    padded = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return let(padded, lambda p: F.when(F.try_to_date(p, "yyyy-MM-dd").isNotNull() & ~p.startswith("0000")
+                                        & (F.length(p) == 10), p))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -34,21 +33,24 @@ def iso_date(raw: Column) -> Column:
     months = {k: str(v) for k, v in MONTHS.items()}
 
     def from_phrase(c: Column) -> Column:
-        month = lookup(months, F.lower(F.regexp_extract(c, phrase, 2)))
-        day = F.coalesce(_part(c, phrase, 1), _part(c, phrase, 3))
-        year = F.regexp_extract(c, phrase, 4)
-        partial = F.concat(year, F.lit("-"), F.lpad(month, 2, "0"))
-        return F.when(month.isNotNull(), F.coalesce(_ymd(year, month, day), partial))
+        parts = F.struct(lookup(months, F.lower(F.regexp_extract(c, phrase, 2))).alias("month"),
+                         F.coalesce(_part(c, phrase, 1), _part(c, phrase, 3)).alias("day"),
+                         F.regexp_extract(c, phrase, 4).alias("year"))
+        return let(parts, lambda p: F.when(p["month"].isNotNull(), F.coalesce(
+            _ymd(p["year"], p["month"], p["day"]),
+            F.concat(p["year"], F.lit("-"), F.lpad(p["month"], 2, "0")))))
 
     def ladder(c: Column) -> Column:
-        a, b, y = (_part(c, slashed_tail, i) for i in (1, 2, 3))
+        a, b, y = (F.regexp_extract(c, slashed_tail, i) for i in (1, 2, 3))
+        # each rung tests its shape once before it takes anything apart
         return F.coalesce(
             _part(c, r"\b\d{4}-\d{2}-\d{2}\b", 0),
-            _ymd(*(_part(c, dashed, i) for i in (1, 2, 3))),
-            _ymd(*(_part(c, slashed, i) for i in (1, 2, 3))),
-            _ymd(y, b, a), _ymd(y, a, b),
-            F.concat(_part(c, year_month, 1), F.lit("-"), F.lpad(_part(c, year_month, 2), 2, "0")),
-            from_phrase(c),
+            F.when(c.rlike(dashed), _ymd(*(F.regexp_extract(c, dashed, i) for i in (1, 2, 3)))),
+            F.when(c.rlike(slashed), _ymd(*(F.regexp_extract(c, slashed, i) for i in (1, 2, 3)))),
+            F.when(c.rlike(slashed_tail), F.coalesce(_ymd(y, b, a), _ymd(y, a, b))),
+            F.when(c.rlike(year_month), F.concat(F.regexp_extract(c, year_month, 1), F.lit("-"),
+                                                 F.lpad(F.regexp_extract(c, year_month, 2), 2, "0"))),
+            F.when(c.rlike(phrase), from_phrase(c)),
             _part(c, r"\b(1[0-9]{3}|20[0-9]{2})\b", 1),
             c)
 
@@ -112,5 +114,9 @@ def reviewed_on(raw: Column) -> Column:
 def published_by(raw: Column) -> Column:
     """``published <date> by <publisher>`` to ``struct<date, publisher>``."""
     shape = r"(?is)^published\s+(.*?)(?:\s+by\s+(.+))?$"
+    return let(raw, lambda r: _published_by(r, shape))
+
+
+def _published_by(raw: Column, shape: str) -> Column:
     return F.when(raw.rlike(shape), F.struct(
         iso_date(_part(raw, shape, 1)).alias("date"), clean(_part(raw, shape, 2)).alias("publisher")))

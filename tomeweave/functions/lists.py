@@ -16,7 +16,7 @@ def dedupe(items: Column) -> Column:
     """Ordered, case-insensitive de-duplication: first spelling wins, blanks go."""
 
     present = F.filter(items, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
-    return first_of_each(present, lambda x: casefold(F.trim(x)))
+    return let(present, lambda names: first_of_each(names, lambda x: casefold(F.trim(x))))
 
 
 def split_list(raw: Column) -> Column:
@@ -49,7 +49,7 @@ def first_label(pairs: Column, labels: list[str]) -> Column:
 
 def first_wins_map(pairs: Column) -> Column:
     """``array<struct<k,v>>`` to a map in which the first value of a key stays."""
-    return F.map_from_entries(first_of_each(pairs, lambda p: p["k"]))
+    return F.map_from_entries(let(pairs, lambda ps: first_of_each(ps, lambda p: p["k"])))
 
 
 def colon_pairs(lines: Column, longest_label: int | None = None,

@@ -81,7 +81,7 @@ def select_in(nodes: Column, node: Column, *chain: Test) -> Column:
 def _descend(nodes: Column, scopes: Column, test: Test) -> Column:
     spots = F.flatten(F.transform(scopes, lambda s: F.transform(
         F.filter(inside(nodes, s), test), lambda n: n["pos"])))
-    return F.transform(F.array_sort(F.array_distinct(spots)), lambda p: F.get(nodes, p))
+    return F.transform(F.sort_array(F.array_distinct(spots)), lambda p: F.get(nodes, p))
 
 
 def first(found: Column) -> Column:

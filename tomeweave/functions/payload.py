@@ -188,8 +188,8 @@ def walk_values(node: Column, keys: list[str], max_depth: int = 8, max_nodes: in
     wanted = literal_array(keys)
 
     def own(n: Column) -> Column:
-        hits = F.filter(F.map_entries(as_map(n)), lambda e: F.array_contains(wanted, squash(e["key"])))
-        return F.coalesce(F.transform(hits, lambda e: e["value"]), F.array().cast("array<variant>"))
+        hits = F.map_values(F.map_filter(as_map(n), lambda k, v: F.array_contains(wanted, squash(k))))
+        return F.coalesce(hits, F.array().cast("array<variant>"))
 
     def containers(n: Column) -> Column:
         inner = F.coalesce(F.map_values(as_map(n)), elements(n))
@@ -219,15 +219,20 @@ def place_text(raw: Column) -> Column:
 
 def place(value: Column, depth: int = 3) -> Column:
     """A JSON value as a place: text, an object's name, or the first of a short list."""
-    mapped = F.transform(literal_array(PLACE_NAME_KEYS), lambda k: F.try_element_at(as_map(value), k))
-    listed = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 8)
-    inner = F.coalesce(F.when(is_object(value), mapped), listed)
-    scalar = F.when(F.schema_of_variant(value) == "STRING", place_text(raw_text(value)))
-    if depth == 0:
-        return F.when(inner.isNull(), scalar)
-    nested = F.get(F.filter(F.transform(inner, lambda c: place(c, depth - 1)),
-                            lambda p: p.isNotNull()), 0)
-    return F.when(inner.isNotNull(), nested).otherwise(scalar)
+
+    def best(inner: Column) -> Column:
+        if depth == 0:
+            return F.lit(None).cast("string")
+        return F.get(F.filter(F.transform(inner, lambda c: place(c, depth - 1)), lambda p: p.isNotNull()), 0)
+
+    def by_kind(members: Column) -> Column:
+        listed = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 8)
+        named = F.transform(literal_array(PLACE_NAME_KEYS), lambda k: F.try_element_at(members, k))
+        inner = F.when(members.isNotNull(), named).otherwise(listed)
+        scalar = F.when(F.schema_of_variant(value) == "STRING", place_text(raw_text(value)))
+        return let(inner, lambda i: F.when(i.isNotNull(), best(i)).otherwise(scalar))
+
+    return let(as_map(value), by_kind)
 
 
 def origin_in(node: Column) -> Column:

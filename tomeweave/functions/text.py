@@ -20,8 +20,17 @@ SPACES = "\\t\\x0b\\f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 # ------------------------------------------------------------------ entities
 @lru_cache(maxsize=1)
 def _entity_names() -> dict[str, str]:
-    return {"&" + name: chars for name, chars in html.entities.html5.items()
-            if "\x01" not in chars and "\x02" not in chars}
+    """The named entities of HTML 4, with and (where browsers allow it) without semicolon.
+
+    The 2,000 names only HTML 5 knows are left to ``arrow.unescape_all``: as literals they would
+    travel with every expression.
+    """
+    known = {}
+    for name in html.entities.name2codepoint:
+        for spelling in (name, name + ";"):
+            if spelling in html.entities.html5:
+                known["&" + spelling] = html.entities.html5[spelling]
+    return known
 
 
 def _code_point(digits: Column) -> Column:
@@ -33,7 +42,7 @@ def _code_point(digits: Column) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    """HTML entities to characters in a single pass, whole table."""
+    """HTML entities to characters in a single pass: numeric ones and the HTML 4 names."""
 
     def decode(token: Column) -> Column:
         hexa = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]+)", 1)
@@ -49,9 +58,9 @@ def unescape(value: Column) -> Column:
         # the frequent case needs no tokens: '&amp;' goes last, so this too is one pass
         plain = text
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                           ("&nbsp;", "\xa0"), ("&amp;", "&")):
+                           ("&nbsp;", "\xa0"), ("&apos;", "'"), ("&amp;", "&")):
             plain = F.replace(plain, F.lit(name), F.lit(char))
-        unusual = text.rlike("&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#A-Za-z]")
+        unusual = text.rlike("&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]")
         tokens = F.regexp_extract_all(text, pattern, F.lit(0))
         return (F.when(~F.contains(text, F.lit("&")), text)
                 .when(unusual, F.array_join(F.transform(tokens, decode), ""))
@@ -168,12 +177,17 @@ def fold(value: Column) -> Column:
 
 def _fold(text: Column) -> Column:
     source, target, several = _fold_tables()
-    pairs = F.map_entries(literal_map(several))
-    spread = F.aggregate(pairs, text, lambda acc, e: F.replace(acc, e["key"], e["value"]))
-    rare = text.rlike("[" + "".join(several) + "]")
-    plain = F.when(rare, spread).otherwise(text)
-    ascii_only = F.octet_length(text) == F.length(text)
-    narrowed = F.when(ascii_only, text).otherwise(F.translate(plain, source, target))
+    is_ascii = lambda c: F.octet_length(c) == F.length(c)
+
+    def spread(part: Column) -> Column:
+        """The rare characters that fold to several letters, where any is left."""
+        pairs = F.map_entries(literal_map(several))
+        present = F.length(F.translate(part, "".join(several), "")) < F.length(part)
+        return F.when(is_ascii(part) | ~present, part).otherwise(
+            F.aggregate(pairs, part, lambda acc, e: F.replace(acc, e["key"], e["value"])))
+
+    latin = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), source, target)
+    narrowed = F.when(is_ascii(text), text).otherwise(let(latin, spread))
     return F.trim(F.regexp_replace(F.lower(narrowed), "[^a-z0-9]+", " "))
 
 

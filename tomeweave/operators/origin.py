@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import let
+
 
 def probe(layers: list[tuple[str, Column, Column]]) -> Column:
     """``struct<origin, searched>`` of ``(name, present, place)`` layers, best layer first.
@@ -14,10 +16,14 @@ def probe(layers: list[tuple[str, Column, Column]]) -> Column:
     packed = F.filter(F.array(*[
         F.struct(F.lit(name).alias("name"), F.coalesce(present, F.lit(False)).alias("present"), place.alias("place"))
         for name, present, place in layers]), lambda x: x["present"])
-    at = F.array_position(F.transform(packed, lambda x: x["place"].isNotNull()), True)
-    upto = F.when(at > 0, at).otherwise(F.size(packed)).cast("int")
-    return F.struct(F.when(at > 0, F.try_element_at(packed, at.cast("int"))["place"]).alias("origin"),
-                    F.transform(F.slice(packed, F.lit(1), upto), lambda x: x["name"]).alias("searched"))
+
+    def judge(seen: Column) -> Column:
+        at = F.array_position(F.transform(seen, lambda x: x["place"].isNotNull()), True).cast("int")
+        upto = F.when(at > 0, at).otherwise(F.size(seen))
+        return F.struct(F.when(at > 0, F.try_element_at(seen, at)["place"]).alias("origin"),
+                        F.transform(F.slice(seen, F.lit(1), upto), lambda x: x["name"]).alias("searched"))
+
+    return let(packed, judge)
 
 
 def searched_text(searched: Column) -> Column:

@@ -49,7 +49,7 @@ def skips(outcomes: DataFrame) -> DataFrame:
 def blocked_sources(outcomes: DataFrame) -> DataFrame:
     """Names of the sources that met a wall, one sorted list (there are few sources)."""
     names = outcomes.where("status = 'blocked'").groupBy("source").agg(F.count(F.lit(1)).alias("pairs"))
-    return names.agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("blocked"))
+    return names.agg(F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("blocked"))
 
 
 def failure_reason() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import (PAGE_CLASS_RULES, WALL_HARD, WALL_HEAD_CHARS, WALL_SMALL_BODY, WALL_SOFT)
-from ..functions.core import literal_array
+from ..functions.core import let, literal_array
 from ..functions.urls import host_of
 
 
@@ -26,25 +26,29 @@ def classify(status: Column, waf_action: Column, content_type: Column, body: Col
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     readable = F.contains(kind, F.lit("html")) | F.contains(kind, F.lit("text")) | (kind == "")
     text = F.when(readable, F.coalesce(body, F.lit(""))).otherwise(F.lit(""))
-    size = F.length(text)
-    hard, soft = _hit(_head(text), WALL_HARD), _hit(_head(text), WALL_SOFT)
     code = status.cast("string")
-    return (F.when((waf != "") & ~F.lower(waf).isin("allow", "none"),
-                   F.concat(F.lit("AWS WAF "), waf, F.lit(" response (HTTP "), code, F.lit(")")))
-            .when(hard.isNotNull(), F.concat(F.lit("anti-bot interstitial detected (matched '"), hard, F.lit("')")))
-            .when(soft.isNotNull() & size.between(1, WALL_SMALL_BODY),
-                  F.concat(F.lit("anti-bot interstitial detected ('"), soft, F.lit("', body only "),
-                           size.cast("string"), F.lit(" chars)")))
-            .when(soft.isNotNull() & (status >= 400),
-                  F.concat(F.lit("anti-bot interstitial detected ('"), soft, F.lit("', HTTP "), code, F.lit(")")))
-            .when(status.isin(401, 403, 451), F.concat(F.lit("HTTP "), code, F.lit(" wall")))
-            .when(status == 429, F.lit("HTTP 429 rate limit")))
+    hits = let(_head(text), lambda head: F.struct(
+        _hit(head, WALL_HARD).alias("hard"), _hit(head, WALL_SOFT).alias("soft")))
+
+    def judge(hit: Column) -> Column:
+        soft, size = hit["soft"], F.length(text)
+        lead = F.concat(F.lit("anti-bot interstitial detected ('"), soft)
+        return (F.when(hit["hard"].isNotNull(), F.concat(
+                    F.lit("anti-bot interstitial detected (matched '"), hit["hard"], F.lit("')")))
+                .when(soft.isNotNull() & size.between(1, WALL_SMALL_BODY),
+                      F.concat(lead, F.lit("', body only "), size.cast("string"), F.lit(" chars)")))
+                .when(soft.isNotNull() & (status >= 400), F.concat(lead, F.lit("', HTTP "), code, F.lit(")")))
+                .when(status.isin(401, 403, 451), F.concat(F.lit("HTTP "), code, F.lit(" wall")))
+                .when(status == 429, F.lit("HTTP 429 rate limit")))
+
+    return F.when((waf != "") & ~F.lower(waf).isin("allow", "none"),
+                  F.concat(F.lit("AWS WAF "), waf, F.lit(" response (HTTP "), code, F.lit(")"))).otherwise(let(hits, judge))
 
 
 def in_rendered(html: Column) -> Column:
     """Why a rendered page is a wall: any marker counts, there is no status to weigh."""
-    hit = _hit(_head(F.coalesce(html, F.lit(""))), WALL_HARD + WALL_SOFT)
-    return F.when(hit.isNotNull(), F.concat(F.lit("anti-bot interstitial in rendered DOM ('"), hit, F.lit("')")))
+    hit = let(_head(F.coalesce(html, F.lit(""))), lambda head: _hit(head, WALL_HARD + WALL_SOFT))
+    return let(hit, lambda h: F.when(h.isNotNull(), F.concat(F.lit("anti-bot interstitial in rendered DOM ('"), h, F.lit("')"))))
 
 
 def page_class(source: Column, url: Column, html: Column, has_anchor: Column | None = None) -> Column:

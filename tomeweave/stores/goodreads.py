@@ -150,7 +150,7 @@ def search_rows(pages: DataFrame) -> DataFrame:
     rows = F.array_distinct(F.concat(
         F.transform(select(nodes, el("tr", has=["itemtype"])), lambda n: n["pos"]),
         F.transform(select(nodes, el("table", "tableList"), el("tr")), lambda n: n["pos"])))
-    df = parsed(pages).select("isbn13", "nodes", F.posexplode(F.transform(F.array_sort(rows), lambda p: F.get(nodes, p))).alias("pos", "row"))
+    df = parsed(pages).select("isbn13", "nodes", F.posexplode(F.transform(F.sort_array(rows), lambda p: F.get(nodes, p))).alias("pos", "row"))
     link = first(select_in(nodes, F.col("row"), el("a", "bookTitle")))
     df = df.withColumn("link", link).where(F.col("link").isNotNull())
     link = F.col("link")
