@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["identifiers", "records", "runs", "texts", "pages"]
+GROUPS = ["identifiers", "records", "runs", "texts", "pages", "shops"]
 
 
 def catalogs():
