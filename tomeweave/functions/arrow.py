@@ -23,6 +23,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"
            "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BLOCKS = frozenset("p div li tr section article h1 h2 h3 h4 h5 h6 blockquote".split())
 _RAW = frozenset(("script", "style", "template"))
+# captured pages are often escaped twice, so text and these attributes are resolved once more
+_READ_AS_TEXT = frozenset(("content", "aria-label", "alt", "reviewer", "review-date"))
 
 NODE_TYPE = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("last", T.IntegerType()),
@@ -68,7 +70,8 @@ class _Tokens(HTMLParser):
         self._close_implied(tag)
         seen = {}
         for key, value in attrs:
-            seen.setdefault(key, value or "")
+            value = value or ""
+            seen.setdefault(key, html.unescape(value) if key in _READ_AS_TEXT else value)
         at = self._add(tag, tuple(seen.items()), None)
         if tag not in _VOID:
             self.open.append(at)
@@ -88,10 +91,10 @@ class _Tokens(HTMLParser):
         inside = [self.rows[i][2] for i in self.open]
         kind = ("#raw" if any(t in _RAW for t in inside)
                 else "#hidden" if "noscript" in inside else "#text")
-        self._add(kind, (), data)
+        self._add(kind, (), data if kind == "#raw" else html.unescape(data))
 
-    def nodes(self, html):
-        self.feed(html)
+    def nodes(self, page):
+        self.feed(page)
         self.close()
         while self.open:
             self._pop()

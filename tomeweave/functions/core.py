@@ -45,16 +45,32 @@ def alternation(markers: list[str]) -> str:
     return "|".join("".join("\\" + c if c in special else c for c in m) for m in markers)
 
 
-def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Elements whose key has not come before, in order; sorts, so long lists stay cheap."""
+def sql_text(value: str) -> str:
+    """A Python string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def firsts(rows: Column) -> Column:
-        kept = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
-        spots = F.sort_array(F.transform(kept, lambda r: r["i"]))
-        return F.transform(spots, lambda i: F.get(items, i))
 
-    tagged = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
-    return let(F.sort_array(tagged), firsts)
+def apply_sql(value: Column, body: str) -> Column:
+    """Evaluate SQL text over ``value`` bound once as ``v``.
+
+    Long expressions are written as SQL text: one parse instead of hundreds of column calls,
+    and, unlike a function, usable inside lambdas.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"v -> {body}")), 0)
+
+
+def first_of_each_sql(items: str, key: str) -> str:
+    """SQL text: elements ``x`` of ``items`` whose ``key`` has not come before, in order.
+
+    Sorts (key, index) pairs, so long lists stay cheap.
+    """
+    tagged = f"sort_array(transform({items}, (x, i) -> named_struct('k', {key}, 'i', i)))"
+    return (f"transform(array({tagged}), r -> transform(sort_array(transform("
+            f"filter(r, (e, j) -> j = 0 OR get(r, j - 1).k <> e.k), e -> e.i)), n -> get({items}, n)))[0]")
+
+
+def first_of_each(items: Column, key: str) -> Column:
+    return apply_sql(items, first_of_each_sql("v", key))
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:

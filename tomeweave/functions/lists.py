@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import first_of_each, keep_nonblank, let
-from .text import casefold, clean
+from .text import clean
 
 LIST_SEPARATORS = r"(?i)\s*(?:[,;/|]|\band\b|&)\s*"
 EDGE_NOISE = r"^[ .,\-|/]+|[ .,\-|/]+$"
@@ -14,9 +14,8 @@ EDGE_NOISE = r"^[ .,\-|/]+|[ .,\-|/]+$"
 
 def dedupe(items: Column) -> Column:
     """Ordered, case-insensitive de-duplication: first spelling wins, blanks go."""
-
     present = F.filter(items, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
-    return let(present, lambda names: first_of_each(names, lambda x: casefold(F.trim(x))))
+    return first_of_each(present, "lower(replace(trim(x), 'ß', 'ss'))")
 
 
 def split_list(raw: Column) -> Column:
@@ -49,7 +48,7 @@ def first_label(pairs: Column, labels: list[str]) -> Column:
 
 def first_wins_map(pairs: Column) -> Column:
     """``array<struct<k,v>>`` to a map in which the first value of a key stays."""
-    return F.map_from_entries(let(pairs, lambda ps: first_of_each(ps, lambda p: p["k"])))
+    return F.map_from_entries(first_of_each(pairs, "x.k"))
 
 
 def colon_pairs(lines: Column, longest_label: int | None = None,

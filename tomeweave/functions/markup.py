@@ -2,7 +2,8 @@
 
 ``arrow.parse_nodes`` turns a page into an array of nodes in document order, each with the
 position of its last descendant.  A subtree is therefore a slice, and every selector below
-is a filter on a slice: no shuffle, no further Python.
+is a filter on a slice: no shuffle, no further Python.  Entities are resolved while parsing,
+so the text of a node only needs its white space tidied.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..fixed import BLOCK_TAGS, ORIGIN_KEYS
 from .core import keep_nonblank, let, literal_array
 from .payload import place_text
-from .text import clean, squash, tidy, unescape
+from .text import squash, tidy
 
 Test = Callable[[Column], Column]
 
@@ -100,22 +101,22 @@ def strings(nodes: Column, node: Column, sep: str) -> Column:
 
 def text_of(nodes: Column, node: Column, sep: str = "\n") -> Column:
     """Clean text of a node, '' when the node is missing."""
-    return clean(strings(nodes, node, sep))
+    return tidy(strings(nodes, node, sep))
 
 
 def html_text_of(nodes: Column, node: Column) -> Column:
     """Readable text of a node: breaks and block tags become line breaks."""
-    return clean(let(node, lambda n: _rendered(inside(nodes, n), BLOCK_TAGS)))
+    return tidy(let(node, lambda n: _rendered(inside(nodes, n), BLOCK_TAGS)))
 
 
 def page_text(nodes: Column) -> Column:
-    return clean(_rendered(nodes, BLOCK_TAGS))
+    return tidy(_rendered(nodes, BLOCK_TAGS))
 
 
 def prose_of(nodes: Column, node: Column) -> Column:
     """Text with only ``<br>`` as a line break and nothing between inline pieces."""
     from .text import drop_read_more
-    return F.trim(drop_read_more(clean(let(node, lambda n: _rendered(inside(nodes, n), [])))))
+    return F.trim(drop_read_more(tidy(let(node, lambda n: _rendered(inside(nodes, n), [])))))
 
 
 def _rendered(part: Column, blocks: list[str]) -> Column:
@@ -150,7 +151,7 @@ def meta(nodes: Column, *names: str) -> Column:
     for key in names:
         for holder in ("property", "name", "itemprop"):
             node = first(F.filter(tags, el(attrs={holder: key})))
-            options.append(F.nullif(clean(attr(node, "content")), F.lit("")))
+            options.append(F.nullif(tidy(attr(node, "content")), F.lit("")))
     return F.coalesce(*options)
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..fixed import (BLOCK_TAGS, CATALOGUE_LANGUAGES, DERIVATIVE_MARKERS, LANGUAGE_NAMES,
                      ORDINALS, SUBTITLE_PATTERN)
-from .core import blank_to_null, keep_nonblank, let, literal_array, literal_map, lookup
+from .core import (apply_sql, blank_to_null, keep_nonblank, let, literal_array, literal_map, lookup,
+                   sql_text)
 
 #: horizontal Unicode white space, spelled out: Java's plain \s is ASCII only
 SPACES = "\\t\\x0b\\f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -33,56 +34,50 @@ def _entity_names() -> dict[str, str]:
     return known
 
 
-def _code_point(digits: Column) -> Column:
-    """Text of one code point given as hexadecimal digits; bad ones become U+FFFD."""
-    number = F.conv(digits, 16, 10).cast("bigint")
-    bad = (F.length(digits) > 6) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF) | (number == 0)
-    return (F.when(bad, F.lit("�"))
-            .otherwise(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")))
+@lru_cache(maxsize=1)
+def _unescape_sql() -> str:
+    """SQL text over ``v``: no entity at all, only frequent ones, or token by token."""
+    plain = "v"
+    # '&amp;' goes last, so the chain of replacements is a single pass
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                       ("&nbsp;", "\xa0"), ("&apos;", "'"), ("&amp;", "&")):
+        plain = f"replace({plain}, {sql_text(name)}, {sql_text(char)})"
+    packed = "\x02".join(f"{k}\x01{c}" for k, c in _entity_names().items())
+    names = f"str_to_map({sql_text(packed)}, '\x02', '\x01')"
+    digits = ("if(k rlike '^&#[xX]', regexp_extract(k, '^&#[xX]0*([0-9a-fA-F]*)', 1), "
+              "conv(regexp_extract(k, '^&#0*([0-9]{0,9})', 1), 10, 16))")
+    number = "cast(conv(h, 16, 10) AS bigint)"
+    point = (f"transform(array({digits}), h -> CASE WHEN length(h) <= 6 AND ({number} BETWEEN 1 AND 55295 "
+             f"OR {number} BETWEEN 57344 AND 1114111) THEN decode(unhex(lpad(h, 8, '0')), 'UTF-32') ELSE '\ufffd' END)[0]")
+    tokens = "regexp_extract_all(v, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&', 0)"
+    decoded = (f"array_join(transform({tokens}, k -> CASE WHEN left(k, 1) <> '&' OR k = '&' THEN k "
+               f"WHEN substr(k, 2, 1) = '#' THEN {point} ELSE coalesce(try_element_at({names}, k), k) END), '')")
+    return (f"CASE WHEN NOT contains(v, '&') THEN v "
+            f"WHEN v rlike '&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]' THEN {decoded} ELSE {plain} END")
 
 
 def unescape(value: Column) -> Column:
     """HTML entities to characters in a single pass: numeric ones and the HTML 4 names."""
+    return apply_sql(value, _unescape_sql())
 
-    def decode(token: Column) -> Column:
-        hexa = F.regexp_extract(token, "^&#[xX]0*([0-9a-fA-F]+)", 1)
-        deci = F.regexp_extract(token, "^&#0*([0-9]{1,9})", 1)
-        return (F.when(~token.startswith("&") | (token == "&"), token)
-                .when(hexa != "", _code_point(hexa))
-                .when(deci != "", _code_point(F.conv(deci, 10, 16)))
-                .otherwise(F.coalesce(lookup(_entity_names(), token), token)))
-
-    pattern = F.lit("&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&")
-
-    def resolve(text: Column) -> Column:
-        # the frequent case needs no tokens: '&amp;' goes last, so this too is one pass
-        plain = text
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                           ("&nbsp;", "\xa0"), ("&apos;", "'"), ("&amp;", "&")):
-            plain = F.replace(plain, F.lit(name), F.lit(char))
-        unusual = text.rlike("&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]")
-        tokens = F.regexp_extract_all(text, pattern, F.lit(0))
-        return (F.when(~F.contains(text, F.lit("&")), text)
-                .when(unusual, F.array_join(F.transform(tokens, decode), ""))
-                .otherwise(plain))
 
-    return let(value, resolve)
+# ------------------------------------------------------------------ cleaning
+def _tidy_sql(text: str) -> str:
+    for pattern, new in (("[\u200b\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+", ""), ("\\r\\n?", "\n"),
+                         (f"[{SPACES}]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n"),
+                         ("^[ \\n]+|[ \\n]+$", "")):
+        text = f"regexp_replace({text}, {sql_text(pattern)}, {sql_text(new)})"
+    return text
 
 
-# ------------------------------------------------------------------ cleaning
 def tidy(value: Column) -> Column:
     """White space rules of :func:`clean` for text whose entities are already resolved."""
-    out = F.regexp_replace(value, "[​﻿\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+", "")
-    out = F.regexp_replace(out, "\\r\\n?", "\n")
-    out = F.regexp_replace(out, f"[{SPACES}]+", " ")
-    out = F.regexp_replace(out, " ?\\n ?", "\n")
-    out = F.regexp_replace(out, "\\n{3,}", "\n\n")
-    return F.regexp_replace(out, "^[ \\n]+|[ \\n]+$", "")
+    return apply_sql(value, _tidy_sql("coalesce(v, '')"))
 
 
 def clean(value: Column) -> Column:
     """Unescape, drop control characters, collapse blanks, keep paragraphs; null to ''."""
-    return tidy(unescape(F.coalesce(value, F.lit(""))))
+    return apply_sql(F.coalesce(value, F.lit("")), _tidy_sql(_unescape_sql()))
 
 
 def clean_or_null(value: Column) -> Column:
@@ -170,25 +165,22 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return source, "".join(t for _, t in single), several
 
 
-def fold(value: Column) -> Column:
-    """Comparison key: accents off, lower case, ``[a-z0-9 ]`` only, single blanks."""
-    return let(F.coalesce(value, F.lit("")), _fold)
+@lru_cache(maxsize=1)
+def _fold_sql() -> str:
+    source, target, several = _fold_tables()
+    packed = "\x02".join(f"{k}\x01{c}" for k, c in several.items())
+    rare = sql_text("".join(several))
+    # the rare characters that fold to several letters, where any is left
+    spread = (f"transform(array(translate(replace(v, 'ß', 'ss'), {sql_text(source)}, {sql_text(target)})), p -> "
+              f"CASE WHEN octet_length(p) = length(p) OR length(translate(p, {rare}, '')) = length(p) THEN p "
+              f"ELSE aggregate(map_entries(str_to_map({sql_text(packed)}, '\x02', '\x01')), p, (acc, e) -> replace(acc, e.key, e.value)) END)[0]")
+    narrowed = f"CASE WHEN octet_length(v) = length(v) THEN v ELSE {spread} END"
+    return f"trim(regexp_replace(lower({narrowed}), '[^a-z0-9]+', ' '))"
 
 
-def _fold(text: Column) -> Column:
-    source, target, several = _fold_tables()
-    is_ascii = lambda c: F.octet_length(c) == F.length(c)
-
-    def spread(part: Column) -> Column:
-        """The rare characters that fold to several letters, where any is left."""
-        pairs = F.map_entries(literal_map(several))
-        present = F.length(F.translate(part, "".join(several), "")) < F.length(part)
-        return F.when(is_ascii(part) | ~present, part).otherwise(
-            F.aggregate(pairs, part, lambda acc, e: F.replace(acc, e["key"], e["value"])))
-
-    latin = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), source, target)
-    narrowed = F.when(is_ascii(text), text).otherwise(let(latin, spread))
-    return F.trim(F.regexp_replace(F.lower(narrowed), "[^a-z0-9]+", " "))
+def fold(value: Column) -> Column:
+    """Comparison key: accents off, lower case, ``[a-z0-9 ]`` only, single blanks."""
+    return apply_sql(F.coalesce(value, F.lit("")), _fold_sql())
 
 
 def main_part(value: Column) -> Column:

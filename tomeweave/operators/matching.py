@@ -11,6 +11,7 @@ from ..fixed import (AMAZON_FUZZY, AMAZON_OPENED, AUDIBLE_EDITION_PATTERN, AUDIB
                      CONTAINED_SCORE, GOODREADS_FLOOR, GOODREADS_KEEP, KOBO_FLOOR)
 from ..functions import isbn
 from ..functions.arrow import seq_ratios
+from ..functions.core import compute_once
 from ..functions.text import authors_agree, fold, is_derivative, is_sequel, main_part
 from .skew import first_per_key, salted_join, top_per_key
 
@@ -56,7 +57,8 @@ def add_title_score(pairs: DataFrame, wanted: str, candidate: str, floor: float
     only = lambda *cs: F.when(F.col("_needed"), F.array(*cs))
     ready = ready.withColumn("_ratios", seq_ratios(only(want, want_main), only(cand, cand_main)))
     ratio = F.coalesce(F.array_max("_ratios"), F.lit(0.0))
-    return ready.withColumn(name, score_value(want, cand, ratio, **rules)).drop(*WORK, "_needed", "_ratios")
+    scored = compute_once(ready, **{name: score_value(want, cand, ratio, **rules)})
+    return scored.drop(*WORK, "_needed", "_ratios")
 
 
 def pair_up(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -165,7 +167,8 @@ def bookbub_scores(pairs: DataFrame) -> DataFrame:
         a, F.get("_b", i), F.greatest(F.get("_full", i), F.get("_main", i)), additive_ceiling=BOOKBUB_ADDITIVE))
     author = F.coalesce(F.array_max(each), F.lit(0.0))
     no_author = F.size(F.coalesce("wanted_authors", blank)) == 0
-    return (ready.withColumn("score", F.when(no_author, F.col("_title")).otherwise(0.6 * F.col("_title") + 0.4 * author))
+    blended = F.when(no_author, F.col("_title")).otherwise(0.6 * F.col("_title") + 0.4 * author)
+    return (compute_once(ready, score=blended)
             .drop("_title", "_a", "_b", "_am", "_bm", "_full", "_main"))
 
 

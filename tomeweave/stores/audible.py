@@ -14,7 +14,7 @@ from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of,
                                 text_of)
 from ..functions.payload import (as_map, breadcrumb_names, elements, jsonld, list_or_text, loads, named, names,
                                  origin_in, raw_text, text)
-from ..functions.text import clean, composite_rating, html_text, with_heading
+from ..functions.text import composite_rating, html_text, tidy, with_heading
 from ..functions.urls import path_of, strip_query
 from ..operators.origin import probe
 from .common import REVIEW, collect, parsed, shaped
@@ -55,9 +55,9 @@ def reviews(nodes: Column) -> Column:
         return F.struct(
             i.cast("bigint").alias("pos"), F.lit("").alias("review_id"),
             F.when(body == "", headline).otherwise(with_heading(headline, body, ignore_case=False)).alias("text"),
-            blank_to_null(clean(attr(tile, "reviewer"))).alias("reviewer"),
+            blank_to_null(tidy(attr(tile, "reviewer"))).alias("reviewer"),
             blank_to_null(composite_rating(stars, attr(tile, "story-rating"), attr(tile, "performance-rating"))).alias("rating"),
-            blank_to_null(clean(attr(tile, "review-date"))).alias("date"), F.lit(None).cast("string").alias("url"))
+            blank_to_null(tidy(attr(tile, "review-date"))).alias("date"), F.lit(None).cast("string").alias("url"))
 
     return F.filter(F.transform(select(nodes, el("adbl-review-tile")), row).cast(f"array<{REVIEW}>"), lambda r: r["text"] != "")
 
@@ -78,7 +78,7 @@ def search_rows(pages: DataFrame) -> DataFrame:
         "isbn13", F.col("pos").cast("bigint").alias("pos"), "asin",
         F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(SITE), F.col("href"))).when(F.col("href") != "", F.col("href"))
         .otherwise(F.concat(F.lit(SITE + "/pd/"), F.col("asin"))).alias("url"),
-        F.coalesce(blank_to_null(clean(attr(F.col("item"), "aria-label"))), *headings, F.lit("")).alias("title"),
+        F.coalesce(blank_to_null(tidy(attr(F.col("item"), "aria-label"))), *headings, F.lit("")).alias("title"),
         label_authors(text_of(nodes, inner(el(cls="authorLabel")))).alias("authors"), attr(cover, "src").alias("image"))
 
 

@@ -14,7 +14,7 @@ from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of,
                                 text_of)
 from ..functions.payload import (as_map, as_object, elements, is_object, jsonld, list_or_text, loads, member,
                                  origin_in, origin_in_map, raw_text, text)
-from ..functions.text import clean, fold, html_text, language_name, repair_repeated, slug, title_variants, author_variants
+from ..functions.text import author_variants, clean, fold, html_text, language_name, repair_repeated, slug, tidy, title_variants
 from ..operators.origin import probe
 from .common import collect, parsed, shaped
 
@@ -72,7 +72,7 @@ def author_rows(pages: DataFrame) -> DataFrame:
     from_slug = F.replace(F.get(F.split(F.regexp_replace(address, r"-\d{4}-\d{2}-\d{2}$", ""), "-by-", 2), 0), F.lit("-"), F.lit(" "))
     df = df.withColumn("slug", address).where((F.col("slug") != "") & ~F.col("slug").isin(BOOKBUB_NON_BOOKS))
     title = F.coalesce(blank_to_null(F.regexp_extract(F.coalesce(alt, F.lit("")), COVER_ALT, 1)),
-                       blank_to_null(clean(strings(nodes, F.col("a"), " "))), from_slug)
+                       blank_to_null(tidy(strings(nodes, F.col("a"), " "))), from_slug)
     rows = df.select("isbn13", F.col("pos").cast("bigint").alias("pos"), "slug", title.alias("title"),
                      F.concat(F.lit(SITE + "/books/"), F.col("slug")).alias("url"))
     return first_per_key(rows, ["isbn13", "slug"], ["pos"])

@@ -41,7 +41,7 @@ def collect(source: str, base: Column, offers: Column) -> Column:
                                  lambda u: F.struct(u.alias("url"), key(source, u).alias("key"))),
                      lambda p: p["key"] != "")
 
-    return F.transform(F.slice(let(pairs, lambda ps: first_of_each(ps, lambda p: p["key"])), 1, cap), lambda p: F.array(p["url"]))
+    return F.transform(F.slice(first_of_each(pairs, "x.key"), 1, cap), lambda p: F.array(p["url"]))
 
 
 def offers(*urls: Column) -> Column:

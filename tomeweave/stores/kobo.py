@@ -14,7 +14,7 @@ from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of,
                                 text_of)
 from ..functions.payload import (as_map, as_object, breadcrumb_names, jsonld, list_or_text, loads,
                                  loads_escaped, member, named, origin_in, origin_in_map, raw_text, text)
-from ..functions.text import clean, drop_bold_marks, fold, language_name, tidy, with_heading
+from ..functions.text import drop_bold_marks, fold, language_name, tidy, with_heading
 from ..functions.urls import absolute, slug_base, strip_query
 from ..operators.origin import probe
 from .common import REVIEW, any_found, collect, parsed, shaped
@@ -117,7 +117,7 @@ def search_rows(pages: DataFrame) -> DataFrame:
     people = F.transform(select_in(nodes, F.col("card"), el(attrs={"data-testid": "authors"}), el("a")), lambda a: text_of(nodes, a))
     href = absolute(F.lit(STORE), attr(F.col("link"), "href"))
     return df.select("isbn13", F.col("pos").cast("bigint").alias("pos"), href.alias("url"),
-                     F.coalesce(blank_to_null(clean(attr(F.col("link"), "aria-label"))), clean(strings(nodes, F.col("link"), " "))).alias("title"),
+                     F.coalesce(blank_to_null(tidy(attr(F.col("link"), "aria-label"))), tidy(strings(nodes, F.col("link"), " "))).alias("title"),
                      people.alias("authors"), F.coalesce(attr(image, "src"), F.lit("")).alias("image"),
                      isbn.uuid_or_blank(attr(F.col("card"), "data-cross-revision-id")).alias("review_key"),
                      F.contains(href, F.lit("/ebook/")).alias("ebook"))
