@@ -51,10 +51,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ sinks
-def write_by_source(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """A table partitioned by source; a big source is spread over ``buckets`` write tasks."""
+def write_by_source(df: DataFrame, path: str, buckets: int = 64, keep_others: bool = True) -> None:
+    """A table partitioned by source; a big source is spread over ``buckets`` write tasks.
+
+    ``keep_others`` replaces only the sources that ``df`` holds.
+    """
     spread = df.repartition(F.col("source"), F.pmod(F.xxhash64("isbn13"), F.lit(buckets)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+    how = "dynamic" if keep_others else "static"
+    spread.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("source").parquet(path)
 
 
 def append_records(new: DataFrame, path: str) -> None:
@@ -89,7 +93,7 @@ def replace_snapshot(df: DataFrame, root: str) -> int:
     """Write the next snapshot; the one that ``df`` was read from stays untouched."""
     done = snapshots(df.sparkSession, root)
     number = done[-1] + 1 if done else 0
-    write_by_source(df, f"{root}/snapshot={number}")
+    write_by_source(df, f"{root}/snapshot={number}", keep_others=False)
     return number
 
 
