@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import first_of_each, keep_nonblank, let
-from .text import clean
+from .core import apply_sql, first_of_each, first_of_each_sql, keep_nonblank, let, sql_text
+from .text import clean_sql
 
 LIST_SEPARATORS = r"(?i)\s*(?:[,;/|]|\band\b|&)\s*"
 EDGE_NOISE = r"^[ .,\-|/]+|[ .,\-|/]+$"
@@ -25,8 +25,10 @@ def split_list(raw: Column) -> Column:
 
 def name_list(items: Column) -> Column:
     """The same clean-up for values that are already a list (elements are not split)."""
-    trimmed = F.transform(items, lambda x: F.regexp_replace(clean(x), EDGE_NOISE, ""))
-    return dedupe(F.filter(trimmed, lambda x: F.length(x).between(1, 120)))
+    trimmed = f"regexp_replace({clean_sql('y')}, {sql_text(EDGE_NOISE)}, '')"
+    kept = f"filter(transform(filter(v, y -> y IS NOT NULL), y -> {trimmed}), y -> length(y) BETWEEN 1 AND 120)"
+    deduped = first_of_each_sql("w", "lower(replace(trim(x), 'ß', 'ss'))")
+    return apply_sql(items, f"transform(array({kept}), w -> {deduped})[0]")
 
 
 def union_genres(*lists: Column) -> Column:

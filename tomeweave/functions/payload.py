@@ -83,15 +83,16 @@ def names(node: Column, *keys: str) -> Column:
 
 def list_or_text(node: Column, *keys: str) -> Column:
     """A list field in any of its shapes: text, object with a name, list of either."""
-    from .lists import name_list, split_list
-
-    value = member(node, *keys)
-    each = F.transform(elements(node, *keys),
-                       lambda e: F.coalesce(raw_text(e, "name"), F.when(~is_object(e), raw_text(e))))
-    return (F.when(is_array(value), name_list(each))
-            .when(is_object(value), name_list(F.array(F.coalesce(
-                raw_text(node, *keys, "name"), raw_text(node, *keys, "@id")))))
-            .otherwise(split_list(raw_text(node, *keys))))
+    from .lists import LIST_SEPARATORS, name_list
+
+    def items(value: Column) -> Column:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"),
+                           lambda e: F.coalesce(raw_text(e, "name"), F.when(~is_object(e), raw_text(e))))
+        named_one = F.when(is_object(value), F.array(F.coalesce(raw_text(value, "name"), raw_text(value, "@id"))))
+        plain = F.split(F.coalesce(raw_text(value), F.lit("")), LIST_SEPARATORS)
+        return F.coalesce(each, named_one, plain)
+
+    return name_list(let(member(node, *keys), items))
 
 
 def object_keys(raw: Column) -> Column:

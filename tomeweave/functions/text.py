@@ -34,10 +34,10 @@ def _entity_names() -> dict[str, str]:
     return known
 
 
-@lru_cache(maxsize=1)
-def _unescape_sql() -> str:
-    """SQL text over ``v``: no entity at all, only frequent ones, or token by token."""
-    plain = "v"
+@lru_cache(maxsize=8)
+def _unescape_sql(v: str = "v") -> str:
+    """SQL text over a bound name: no entity at all, only frequent ones, or token by token."""
+    plain = v
     # '&amp;' goes last, so the chain of replacements is a single pass
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                        ("&nbsp;", "\xa0"), ("&apos;", "'"), ("&amp;", "&")):
@@ -49,11 +49,11 @@ def _unescape_sql() -> str:
     number = "cast(conv(h, 16, 10) AS bigint)"
     point = (f"transform(array({digits}), h -> CASE WHEN length(h) <= 6 AND ({number} BETWEEN 1 AND 55295 "
              f"OR {number} BETWEEN 57344 AND 1114111) THEN decode(unhex(lpad(h, 8, '0')), 'UTF-32') ELSE '\ufffd' END)[0]")
-    tokens = "regexp_extract_all(v, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&', 0)"
+    tokens = f"regexp_extract_all({v}, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&', 0)"
     decoded = (f"array_join(transform({tokens}, k -> CASE WHEN left(k, 1) <> '&' OR k = '&' THEN k "
                f"WHEN substr(k, 2, 1) = '#' THEN {point} ELSE coalesce(try_element_at({names}, k), k) END), '')")
-    return (f"CASE WHEN NOT contains(v, '&') THEN v "
-            f"WHEN v rlike '&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]' THEN {decoded} ELSE {plain} END")
+    return (f"CASE WHEN NOT contains({v}, '&') THEN {v} "
+            f"WHEN {v} rlike '&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]' THEN {decoded} ELSE {plain} END")
 
 
 def unescape(value: Column) -> Column:
@@ -75,9 +75,14 @@ def tidy(value: Column) -> Column:
     return apply_sql(value, _tidy_sql("coalesce(v, '')"))
 
 
+def clean_sql(name: str) -> str:
+    """SQL text of :func:`clean` over a bound name that is not null."""
+    return _tidy_sql(_unescape_sql(name))
+
+
 def clean(value: Column) -> Column:
     """Unescape, drop control characters, collapse blanks, keep paragraphs; null to ''."""
-    return apply_sql(F.coalesce(value, F.lit("")), _tidy_sql(_unescape_sql()))
+    return apply_sql(F.coalesce(value, F.lit("")), clean_sql("v"))
 
 
 def clean_or_null(value: Column) -> Column:

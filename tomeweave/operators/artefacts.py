@@ -65,7 +65,7 @@ def first_usable(covers: DataFrame, fetches: DataFrame) -> DataFrame:
     row per URL.  A cover without a usable URL marks its pair incomplete.
     """
     tries = covers.select(*PAIR, "cover_no", F.posexplode("alternatives").alias("alt", "url"))
-    known = salted_join(tries, fetches, ["url"], "left")
+    known = tries.join(fetches, "url", "left")
     good = F.coalesce(F.col("ok") & (F.col("bytes") >= MIN_COVER_BYTES), F.lit(False))
     return known.groupBy(*PAIR, "cover_no").agg(
         F.min_by("url", F.when(good, F.col("alt"))).alias("url"),
@@ -211,7 +211,7 @@ def replace_artefacts(stored: DataFrame, new: DataFrame) -> DataFrame:
     A pair without new rows keeps its old ones.
     """
     fresh = new.select(*PAIR).distinct()
-    return salted_join(stored, fresh, PAIR, "left_anti").unionByName(new)
+    return stored.join(fresh, PAIR, "left_anti").unionByName(new)
 
 
 def fill_from_editions(records: DataFrame, editions: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def fill_from_editions(records: DataFrame, editions: DataFrame) -> DataFrame:
     names = {"publisher": "publisher", "date": "date_of_publication", "language": "language"}
     first = editions.groupBy("work_id").agg(*[
         F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("pos"))).alias(f"_{c}") for c in names])
-    filled = salted_join(records, first, ["work_id"], "left")
+    filled = records.join(first, "work_id", "left")
     for found, target in names.items():
         filled = filled.withColumn(target, F.coalesce(F.nullif(target, F.lit("")), f"_{found}")).drop(f"_{found}")
     return filled

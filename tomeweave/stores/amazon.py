@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed import AMAZON_DROP_CRUMBS
 from ..functions import isbn
 from ..functions.arrow import bracket_block
-from ..functions.core import blank_to_null, keep_nonblank, let
+from ..functions.core import blank_to_null, compute_once, keep_nonblank, let
 from ..functions.dates import iso_date, reviewed_on
 from ..functions.lists import dedupe, first_label, first_wins_map
 from ..functions.markup import (attr, el, first, meta, origin_of, prose_of, sel, select, select_in, sels, strings,
@@ -117,7 +117,7 @@ def load(pages: DataFrame) -> DataFrame:
     """Pages with node list, detail rows and map, title-tag fields, canonical address and image list."""
     nodes, html = F.col("nodes"), F.col("html")
     head = F.substring(html, 1, 4096)
-    df = parsed(pages).withColumn("detail_rows", detail_rows(nodes)).withColumn("details", detail_map(F.col("detail_rows")))
+    df = compute_once(compute_once(parsed(pages), detail_rows=detail_rows(nodes)), details=detail_map(F.col("detail_rows")))
     canonical = absolute(F.col("url"), attr(first(select(nodes, el("link", attrs={"rel": "canonical"}))), "href"))
     return df.withColumns({
         "tag_title": blank_to_null(F.regexp_extract(head, TITLE_TAG, 1)), "tag_isbn13": blank_to_null(F.regexp_extract(head, TITLE_TAG, 2)),
@@ -155,7 +155,7 @@ def to_records(pages: DataFrame) -> DataFrame:
         *[blank_to_null(raw_text(e, k)) for k in ("hiRes", "large", "thumb")], physical(e)))
     shown = F.concat(F.array(attr(landing, "data-old-hires")), F.coalesce(
         object_keys(attr(landing, "data-a-dynamic-image")), F.array().cast("array<string>")), F.array(attr(landing, "src")))
-    df = df.withColumns({"_title": title, "_origin": found, "_asin": asin})
+    df = compute_once(df, _title=title, _origin=found, _asin=asin)
     return shaped(
         df, "amazon", book_url=url, title=F.col("_title"), authors=authors(nodes, F.col("tag_authors")),
         publisher=first_label(details, ["publisher"]), language=first_label(details, ["language"]),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import AUDIBLE_CHIP_KINDS
-from ..functions.core import blank_to_null, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank
 from ..functions.dates import iso_date, us_short_date
 from ..functions.isbn import asin_of_row
 from ..functions.lists import dedupe
@@ -87,10 +87,10 @@ def to_records(pages: DataFrame) -> DataFrame:
     nodes, html = F.col("nodes"), F.col("html")
     panel = el("adbl-product-details")
     df = parsed(pages)
-    df = df.withColumn("blobs", jsonld(html, ["Audiobook", "Product", "Book"])).withColumns({
+    df = compute_once(compute_once(df, blobs=jsonld(html, ["Audiobook", "Product", "Book"])), **{
         "details": component_json(nodes, panel, el("adbl-product-metadata")),
         "people": component_json(nodes, el("adbl-product-metadata", has=["combine-authors-narrators"]))})
-    df = df.withColumn("audio", F.get(F.filter("blobs", lambda b: text(b, "name").isNotNull() | text(b, "description").isNotNull()), 0))
+    df = compute_once(df, audio=F.get(F.filter("blobs", lambda b: text(b, "name").isNotNull() | text(b, "description").isNotNull()), 0))
     audio, details, people = F.col("audio"), F.col("details"), F.col("people")
     shown = meta(nodes, "og:title", "twitter:title", "title")
     title = F.coalesce(text(audio, "name"), sel(nodes, [el("h1", attrs={"slot": "title"})]),
@@ -110,7 +110,7 @@ def to_records(pages: DataFrame) -> DataFrame:
     if "row_image" in pages.columns:
         urls = F.concat(urls, F.array("row_image"), F.coalesce("sibling_images", F.array().cast("array<string>")))
     linked = attr(first(select(nodes, el("link", attrs={"rel": "canonical"}, has=["href"]))), "href")
-    df = df.withColumns({"_origin": found, "_title": title})
+    df = compute_once(df, _origin=found, _title=title)
     return shaped(
         df, "audible", book_url=strip_query(F.coalesce(blank_to_null(linked), meta(nodes, "og:url"), F.col("url"))), title=F.col("_title"),
         authors=dedupe(writers), publisher=F.coalesce(named(audio, "publisher"), named(details, "publisher")),

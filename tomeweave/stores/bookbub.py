@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import (BOOKBUB_DATE_LABELS, BOOKBUB_LANGUAGE_META, BOOKBUB_NON_BOOKS, BOOKBUB_ORIGIN_LABELS,
                      BOOKBUB_PUBLISHER_LABELS, MARKETING_TAG_PATTERN)
-from ..functions.core import blank_to_null, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank
 from ..functions.dates import iso_date
 from ..functions.lists import colon_pairs, dedupe, first_label, name_list, split_list
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels, strings,
@@ -45,12 +45,18 @@ def page_authors(nodes: Column, data: Column, blob: Column) -> Column:
 
 
 def load(pages: DataFrame) -> DataFrame:
-    """Pages with book JSON, first JSON-LD book, title and authors (what scoring needs)."""
+    """Pages with book JSON and the first JSON-LD book."""
     nodes = F.col("nodes")
     data = as_object(loads(attr(first(select(nodes, el(has=["data-book-json"]))), "data-book-json")))
-    df = parsed(pages).withColumns({"data": data, "blob": F.get(jsonld(F.col("html"), ["Book"]), 0)})
-    bare = F.lit(None).cast("variant")
-    return df.withColumns({"page_title": page_title(nodes, F.col("data"), bare), "page_authors": page_authors(nodes, F.col("data"), bare)})
+    df = compute_once(parsed(pages), data=data, blob=F.get(jsonld(F.col("html"), ["Book"]), 0))
+    return df
+
+
+def scored_pages(pages: DataFrame) -> DataFrame:
+    """What scoring needs of candidate pages ``(isbn13, rung, url, html)``: title and authors, JSON-LD aside."""
+    bare, nodes = F.lit(None).cast("variant"), F.col("nodes")
+    return load(pages).select("isbn13", "rung", "url", page_title(nodes, F.col("data"), bare).alias("title"),
+                              page_authors(nodes, F.col("data"), bare).alias("authors"))
 
 
 def slug_rungs(hints: DataFrame) -> DataFrame:
@@ -79,9 +85,9 @@ def author_rows(pages: DataFrame) -> DataFrame:
 
 
 def to_records(pages: DataFrame) -> DataFrame:
-    df = load(pages).withColumn("pairs", panel_pairs(F.col("nodes")))
+    df = compute_once(load(pages), pairs=panel_pairs(F.col("nodes")))
     nodes, data, blob, pairs = (F.col(c) for c in ("nodes", "data", "blob", "pairs"))
-    df = df.withColumn("_title", page_title(nodes, data, blob)).where(F.col("_title").isNotNull())
+    df = compute_once(df, _title=page_title(nodes, data, blob)).where(F.col("_title").isNotNull())
     dates = F.coalesce(first_label(pairs, BOOKBUB_DATE_LABELS), blank_to_null(raw_text(blob, "datePublished")),
                        blank_to_null(raw_text(blob, "copyrightYear")), meta(nodes, "book:release_date", "og:book:release_date", "datePublished"))
     spoken = F.coalesce(meta(nodes, *BOOKBUB_LANGUAGE_META), raw_text(blob, "inLanguage", "name"), raw_text(blob, "inLanguage", "alternateName"),
@@ -99,7 +105,7 @@ def to_records(pages: DataFrame) -> DataFrame:
     found = probe([("the parsed detail rows", F.size(pairs) > 0, origin_in_map(pairs)),
                    ("the data-book-json book JSON payload", F.size(as_map(data)) > 0, origin_in(data)),
                    ("the page DOM and og:/book: meta tags", F.size(nodes) > 0, origin_of(nodes))])
-    df = df.withColumn("_origin", found)
+    df = compute_once(df, _origin=found)
     return shaped(
         df, "bookbub", book_url=F.col("url"), title=F.col("_title"), authors=page_authors(nodes, data, blob),
         publisher=first_label(pairs, BOOKBUB_PUBLISHER_LABELS), date_of_publication=iso_date(dates), language=language_name(spoken),

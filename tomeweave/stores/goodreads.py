@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import blank_to_null, keep_nonblank, let
+from ..functions.core import blank_to_null, compute_once, keep_nonblank
 from ..functions.dates import published_by, published_date
 from ..functions.lists import dedupe
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels,
                                 text_of)
-from ..functions.payload import (as_map, deref, elements, is_object, jsonld, member, named, origin_in, raw_text,
+from ..functions.payload import (as_map, deref, elements, jsonld, member, named, origin_in, raw_text,
                                  root_book, text)
 from ..functions.text import clean, drop_librarian_note, html_text, rating_text, search_title
 from ..functions.urls import absolute, strip_query
@@ -29,8 +29,9 @@ def load(pages: DataFrame) -> DataFrame:
     legacy = F.coalesce(blank_to_null(F.regexp_extract("url", in_url, 1)),
                         F.regexp_extract(F.coalesce(linked, F.lit("")), in_url, 1))
     cache = as_map(member(script_json(F.col("html"), "__NEXT_DATA__"), "props", "pageProps", "apolloState"))
-    return (parsed(pages).withColumn("cache", cache).withColumn("book", root_book(F.col("cache"), legacy))
-            .withColumn("work", deref(F.col("cache"), member(F.col("book"), "work"))))
+    df = compute_once(parsed(pages), cache=cache)
+    df = compute_once(df, book=root_book(F.col("cache"), legacy))
+    return compute_once(df, work=deref(F.col("cache"), member(F.col("book"), "work")))
 
 
 def work_id(nodes: Column, work: Column) -> Column:
@@ -79,7 +80,7 @@ def reviews_in(cache: Column, url: Column) -> Column:
 
 def to_records(pages: DataFrame) -> DataFrame:
     df = load(pages)
-    df = df.withColumn("_blobs", jsonld(F.col("html"), ["Book"]))
+    df = compute_once(df, _blobs=jsonld(F.col("html"), ["Book"]))
     nodes, book, work, cache, url = (F.col(c) for c in ("nodes", "book", "work", "cache", "url"))
     details = member(book, "details")
     heading = [el("h1", attrs={"data-testid": "bookTitle"})]
@@ -101,9 +102,9 @@ def to_records(pages: DataFrame) -> DataFrame:
         ("the book page DOM and og:/meta tags", F.size("nodes") > 0, origin_of(nodes))])
     fuzzy = F.coalesce("fuzzy", F.lit(False)) if "fuzzy" in df.columns else F.lit(False)
     web = text(book, "webUrl")
-    df = df.withColumns({"_origin": found, "_title": title, "_people": people}).where(
-        (F.size("cache") > 0) | sel(nodes, heading).isNotNull()).where(
-        verify_lax(F.col("isbn13"), page13, fuzzy))
+    usable = ((F.size("cache") > 0) | sel(nodes, heading).isNotNull()) & verify_lax(F.col("isbn13"), page13, fuzzy)
+    df = compute_once(df, _usable=usable).where("_usable")
+    df = compute_once(df, _origin=found, _title=title, _people=people)
     listed = F.slice(sels(nodes, [el("span", "ContributorLink__name")]), 1, 1)
     return shaped(
         df, "goodreads", book_url=F.when(F.contains(web, F.lit("/book/show/")), web).otherwise(url), title=F.col("_title"),
@@ -137,7 +138,7 @@ def edition_rows(pages: DataFrame) -> DataFrame:
     published = published_by(F.get(F.filter(F.col("pairs"), lambda p: (p["k"] == "")
                                             & F.startswith(F.lower(p["v"]), F.lit("published"))), 0)["v"])
     image = attr(first(select_in(nodes, box, el("div", "leftAlignedImage"), el("img"))), "src")
-    return df.withColumn("pairs", pairs).withColumn("published", published).select(
+    return compute_once(compute_once(df, pairs=pairs), published=published).select(
         "work_id", (F.col("page_no") * 100_000 + F.col("at")).cast("bigint").alias("pos"),
         blank_to_null(F.col("published.publisher")).alias("publisher"), F.col("published.date").alias("date"),
         F.get(F.filter("pairs", lambda p: p["k"] == "edition language"), 0)["v"].alias("language"),

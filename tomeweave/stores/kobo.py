@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import KOBO_DROP_CRUMBS
 from ..functions import isbn
-from ..functions.core import blank_to_null, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank
 from ..functions.dates import iso_date, stamp_date
 from ..functions.lists import dedupe, first_wins_map
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels, strings,
@@ -126,9 +126,8 @@ def search_rows(pages: DataFrame) -> DataFrame:
 def sibling_images(cards: DataFrame, records: DataFrame) -> DataFrame:
     """Covers of other editions of the same work: same address stem and agreeing authors."""
     from ..functions.text import authors_agree
-    from ..operators.skew import salted_join
     chosen = records.select("isbn13", F.col("book_url").alias("_url"), F.col("authors").alias("_authors"))
-    joined = salted_join(cards, chosen, ["isbn13"])
+    joined = cards.join(chosen, "isbn13")
     return joined.where((F.col("image") != "") & (slug_base(F.col("url")) == slug_base(F.col("_url")))
                         & authors_agree(F.col("_authors"), F.col("authors"))).select("isbn13", "pos", F.col("image").alias("url"))
 
@@ -136,10 +135,10 @@ def sibling_images(cards: DataFrame, records: DataFrame) -> DataFrame:
 def to_records(pages: DataFrame) -> DataFrame:
     df = parsed(pages)
     nodes, html = F.col("nodes"), F.col("html")
-    df = df.withColumn("config", widget(nodes, "RatingAndReviewWidget"))
-    df = df.withColumns({"gbook": nested(F.col("config"), "googleBook"), "product": nested(F.col("config"), "googleProduct"),
+    df = compute_once(df, config=widget(nodes, "RatingAndReviewWidget"))
+    df = compute_once(df, **{"gbook": nested(F.col("config"), "googleBook"), "product": nested(F.col("config"), "googleProduct"),
                          "rows": labelled_rows(nodes), "blobs": jsonld(html), "page_url": canonical(nodes, F.col("url"))})
-    df = df.withColumn("work", as_object(member(F.col("gbook"), "workExample")))
+    df = compute_once(df, work=as_object(member(F.col("gbook"), "workExample")))
     book, product, work, rows = (F.col(c) for c in ("gbook", "product", "work", "rows"))
     shown = meta(nodes, "og:title", "twitter:title")
     main = F.coalesce(text(book, "name"), sel(nodes, [el("h1", ["title", "product-field"])]),
