@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import parse_nodes
-from ..functions.core import first_of_each, let
+from ..functions.core import compute_once, first_of_each, let
 from ..functions.markup import looks_like_html, select
 from ..functions.payload import loads
 from ..operators.artefacts import COLLECTORS, is_placeholder
@@ -72,9 +72,11 @@ def any_found(nodes: Column, *chains) -> Column:
 
 def review_rows(records: DataFrame) -> DataFrame:
     """Reviews of mapped records as rows."""
-    return records.select("isbn13", "source", F.explode("reviews").alias("r")).select("isbn13", "source", "r.*")
+    held = compute_once(records.select("isbn13", "source", "reviews"), reviews=F.col("reviews"))
+    return held.select("isbn13", "source", F.explode("reviews").alias("r")).select("isbn13", "source", "r.*")
 
 
 def cover_rows(records: DataFrame) -> DataFrame:
     """Covers of mapped records as rows with their alternatives."""
-    return records.select("isbn13", "source", F.posexplode("covers").alias("cover_no", "alternatives"))
+    held = compute_once(records.select("isbn13", "source", "covers"), covers=F.col("covers"))
+    return held.select("isbn13", "source", F.posexplode("covers").alias("cover_no", "alternatives"))
