@@ -366,11 +366,14 @@ def repair_repeated(body: Column) -> Column:
 def with_heading(heading: Column, body: Column, stem_chars: int | None = None,
                  ignore_case: bool = True) -> Column:
     """Put a review heading above its text unless the text already starts with it."""
-    stem = F.regexp_replace(heading, "[. ]+$", "") if stem_chars else heading
-    stem = F.substring(stem, 1, stem_chars) if stem_chars else stem
-    left, right = (casefold(body), casefold(stem)) if ignore_case else (body, stem)
-    return (F.when((F.coalesce(heading, F.lit("")) == "") | F.startswith(left, right), body)
-            .otherwise(F.concat(heading, F.lit("\n\n"), body)))
+    def join(title: Column, text: Column) -> Column:
+        stem = F.regexp_replace(title, "[. ]+$", "") if stem_chars else title
+        stem = F.substring(stem, 1, stem_chars) if stem_chars else stem
+        left, right = (casefold(text), casefold(stem)) if ignore_case else (text, stem)
+        return (F.when((F.coalesce(title, F.lit("")) == "") | F.startswith(left, right), text)
+                .otherwise(F.concat(title, F.lit("\n\n"), text)))
+
+    return let(heading, lambda h: let(body, lambda b: join(h, b)))
 
 
 # ------------------------------------------------------------------ small renderings

@@ -103,7 +103,7 @@ def reviews(nodes: Column) -> Column:
         own = F.trim(F.coalesce(attr(node, "id"), F.lit("")))
         return F.struct(
             i.cast("bigint").alias("pos"), own.alias("review_id"),
-            F.when(prose == "", prose).otherwise(with_heading(heading, prose, 40)).alias("text"),
+            let(prose, lambda x: F.when(x == "", x).otherwise(with_heading(heading, x, 40))).alias("text"),
             blank_to_null(text_of(nodes, inner(el("span", "a-profile-name")))).alias("reviewer"),
             blank_to_null(text_of(nodes, stars)).alias("rating"),
             iso_date(reviewed_on(text_of(nodes, inner(hook("span", "review-date"))))).alias("date"),

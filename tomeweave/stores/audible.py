@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import AUDIBLE_CHIP_KINDS
-from ..functions.core import blank_to_null, compute_once, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank, let
 from ..functions.dates import iso_date, us_short_date
 from ..functions.isbn import asin_of_row
 from ..functions.lists import dedupe
@@ -54,7 +54,7 @@ def reviews(nodes: Column) -> Column:
         stars = attr(inner(el("adbl-star-rating", attrs={"slot": "stars"})), "value")
         return F.struct(
             i.cast("bigint").alias("pos"), F.lit("").alias("review_id"),
-            F.when(body == "", headline).otherwise(with_heading(headline, body, ignore_case=False)).alias("text"),
+            let(body, lambda b: F.when(b == "", headline).otherwise(with_heading(headline, b, ignore_case=False))).alias("text"),
             blank_to_null(tidy(attr(tile, "reviewer"))).alias("reviewer"),
             blank_to_null(composite_rating(stars, attr(tile, "story-rating"), attr(tile, "performance-rating"))).alias("rating"),
             blank_to_null(tidy(attr(tile, "review-date"))).alias("date"), F.lit(None).cast("string").alias("url"))

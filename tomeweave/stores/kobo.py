@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import KOBO_DROP_CRUMBS
 from ..functions import isbn
-from ..functions.core import blank_to_null, compute_once, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank, let
 from ..functions.dates import iso_date, stamp_date
 from ..functions.lists import dedupe, first_wins_map
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels, strings,
@@ -97,7 +97,7 @@ def reviews(nodes: Column) -> Column:
         body = inner(el(cls="review-text"))
         return F.struct(
             i.cast("bigint").alias("pos"), F.lit("").alias("review_id"),
-            F.when(body == "", body).otherwise(with_heading(inner(el("h2", "review-title")), body)).alias("text"),
+            let(body, lambda b: F.when(b == "", b).otherwise(with_heading(inner(el("h2", "review-title")), b))).alias("text"),
             blank_to_null(inner(el("span", "review-author"))).alias("reviewer"),
             blank_to_null(inner(el(cls="rating-average"))).alias("rating"),
             iso_date(inner(el("span", "review-date"))).alias("date"), F.lit(None).cast("string").alias("url"))
