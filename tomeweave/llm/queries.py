@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.minhash_dedup import near_duplicates
+from tomeweave.llm.pack import pack
 from tomeweave.llm.substring_dedup import substring_dedup
 from tomeweave.llm.token_counts import token_counts
 
@@ -94,3 +95,8 @@ def word_bpe() -> str:
 @query()
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_bpe(), limit=2048)
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=1)
