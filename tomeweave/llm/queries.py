@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.minhash_dedup import near_duplicates
 from tomeweave.llm.pack import pack
+from tomeweave.llm.quality_classifier import quality_scores
 from tomeweave.llm.substring_dedup import substring_dedup
 from tomeweave.llm.token_counts import token_counts
 
@@ -100,3 +101,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=1)
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
