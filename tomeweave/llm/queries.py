@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.llm.class_lm import class_scores
 from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.language_id import languages
 from tomeweave.llm.minhash_dedup import near_duplicates
@@ -112,3 +113,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents")).drop("perplexity")
