@@ -114,16 +114,18 @@ def _open_runs(min_words: int, anchor_words: int):
 def repeated_windows(docs: DataFrame, scratch: Scratch, min_words: int = 35, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """Ranges of start words of repeated windows: ``row, start, length`` for ``docs(row, text)``."""
     runs = scratch.table(docs.mapInArrow(_find_runs(min_words, anchor_words), RUNS), "runs")
-    shared = (runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
-              .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
+    # an aggregate that a join reads is stored first: a join straight over it could not split a hot key
+    shared = scratch.table(
+        runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
+        .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "shared")
     met = scratch.table(runs.join(shared, "anchor"), "met")
     mixed = met.where("mixed")
-    stretches = (mixed.groupBy("anchor", "stretch").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("one")))
+    stretches = scratch.table(mixed.groupBy("anchor", "stretch").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("one")), "stretches")
     opened = (stretches.select("one.*").groupBy("row").agg(F.collect_list("start").alias("starts"))
               .join(docs, "row").mapInArrow(_open_runs(min_words, anchor_words), OPENED))
     opened = scratch.table(opened.join(stretches.select("anchor", "stretch", "copies"), ["anchor", "stretch"]), "opened")
-    again = opened.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window")
+    again = scratch.table(opened.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window"), "again")
     edges = (opened.where("copies = 1").join(again, ["anchor", "window"], "left_semi")
              .select("row", "start", F.lit(1).alias("length")))
     several = stretches.where("copies > 1").select("anchor", "stretch")
