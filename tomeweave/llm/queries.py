@@ -13,6 +13,7 @@ from tomeweave.llm.language_id import languages
 from tomeweave.llm.minhash_dedup import near_duplicates
 from tomeweave.llm.pack import pack
 from tomeweave.llm.quality_classifier import quality_scores
+from tomeweave.llm.robust_outliers import quality_outliers
 from tomeweave.llm.substring_dedup import substring_dedup
 from tomeweave.llm.token_counts import token_counts
 
@@ -118,3 +119,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
+@query()
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers(table(spark, sf_dir, "documents"))
