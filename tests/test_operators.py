@@ -26,13 +26,20 @@ def test_numbering_is_dense_across_buckets(spark):
         assert [got[key, p] for p in places] == list(range(1, len(places) + 1))
 
 
-def test_salted_join_equals_plain_join(spark):
-    data = skewed()
-    big = spark.createDataFrame(data, "k string, pos bigint, v int")
-    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, d int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        plain = rows(big.join(dim, "k", how), "k", "pos")
-        assert rows(skew.salted_join(big, dim, ["k"], how, hot_rows=50, salts=4).select(*big.join(dim, "k", how).columns), "k", "pos") == plain
+def test_numbering_keeps_rows_without_key_or_order(spark):
+    df = spark.createDataFrame([("a", 5, 1), ("a", None, 2), (None, 7, 3), (None, 3, 4), (None, None, 5)], "k string, pos bigint, v int")
+    got = {r["v"]: r["n"] for r in skew.numbered(df, ["k"], F.col("pos") / 4, ["pos"]).collect()}
+    assert got == {1: 2, 2: 1, 3: 3, 4: 2, 5: 1}
+    capped = artefacts.number_reviews(df.withColumnRenamed("k", "isbn13").withColumn("source", F.lit(None).cast("string")), 2)
+    assert {r["v"] for r in capped.collect()} == {1, 2, 4, 5}
+
+
+def test_registry_and_streaks_keep_rows_without_host_or_time(spark):
+    log = spark.createDataFrame(
+        [("h", 10, 1, False, "wall"), ("h", None, 2, False, None), (None, 20, 3, False, None), (None, 90, 4, False, "x"), (None, 99, 5, True, None)],
+        "host string, s bigint, seq bigint, ok boolean, block_reason string").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r["seq"]: r["registered"] for r in outcomes.block_registry(log, 60).collect()} == {1: "wall", 2: None, 3: None, 4: "x", 5: "x"}
+    assert {r["seq"]: r["strikes"] for r in hosts.streaks(log, 60).collect()} == {1: 2, 2: 1, 3: 1, 4: 2, 5: 0}
 
 
 def test_streaks_match_a_plain_loop(spark):

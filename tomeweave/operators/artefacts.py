@@ -14,7 +14,7 @@ from ..functions.core import alternation, lookup
 from ..functions.text import casefold, file_name, fold
 from ..functions.urls import absolute, full_size, image_key
 from ..session import checkpoint_folder
-from .skew import SPAN, first_per_key, numbered, salted_join, top_per_key
+from .skew import SPAN, first_per_key, numbered, top_per_key
 
 PAIR = ["isbn13", "source"]
 
@@ -167,7 +167,7 @@ def dedupe_reviews_either_key(reviews: DataFrame) -> DataFrame:
         won = left.join(first, [*PAIR, "pos"], "left_semi")
         kept = first if kept is None else kept.unionByName(first)
         claimed = won.select(*PAIR, "end")
-        lost = salted_join(left, claimed, [*PAIR, "end"], "left_semi").select(*PAIR, "pos").distinct()
+        lost = left.join(claimed, [*PAIR, "end"], "left_semi").select(*PAIR, "pos").distinct()
         left = left.join(lost, [*PAIR, "pos"], "left_anti").checkpoint()
         kept = kept.checkpoint()
         if left.isEmpty():
@@ -186,10 +186,8 @@ def render_review() -> Column:
 def number_reviews(reviews: DataFrame, cap: int | None = None) -> DataFrame:
     """Dense 1-based numbers per (book, source), with an optional cap.
 
-    A small cap is a per-key limit; without one the numbering runs in position buckets.
+    The numbering runs in buckets of positions; rows without a position come first.
     """
-    if cap is not None and cap < 1000:
-        return top_per_key(reviews, PAIR, ["pos"], cap, "n")
     placed = numbered(reviews, PAIR, F.col("pos") / SPAN, ["pos"], "n")
     return placed if cap is None else placed.where(F.col("n") <= cap)
 

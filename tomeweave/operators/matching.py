@@ -13,7 +13,7 @@ from ..functions import isbn
 from ..functions.arrow import seq_ratios
 from ..functions.core import compute_once
 from ..functions.text import authors_agree, fold, is_derivative, is_sequel, main_part
-from .skew import first_per_key, salted_join, top_per_key
+from .skew import first_per_key, top_per_key
 
 WORK = ["_want", "_cand", "_want_main", "_cand_main"]
 
@@ -64,11 +64,11 @@ def add_title_score(pairs: DataFrame, wanted: str, candidate: str, floor: float
 def pair_up(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate rows with the wanted title and authors of their book.
 
-    ``wanted(isbn13, title, authors)`` has one row per book; a book with very many candidates
-    is spread.
+    ``wanted(isbn13, title, authors)`` has one row per book, so adaptive execution can split a
+    book with very many candidates; the candidates are read once.
     """
     known = wanted.select("isbn13", F.col("title").alias("wanted_title"), F.col("authors").alias("wanted_authors"))
-    return salted_join(candidates, known, ["isbn13"])
+    return candidates.join(known, "isbn13")
 
 
 def accepted(pairs: DataFrame, floor: float = BEST_FLOOR, require_author: bool = True, **rules) -> DataFrame:

@@ -59,7 +59,7 @@ def classify(passes: DataFrame) -> DataFrame:
     return passes.withColumns({"status": status, "trustworthy": trust})
 
 
-def block_registry(log: DataFrame, width_seconds: int = 3600) -> DataFrame:
+def block_registry(log: DataFrame, width_seconds: int = 60) -> DataFrame:
     """Fetch log with the host's latest block reason so far; a later success clears nothing.
 
     ``log(host, ts, seq, block_reason, ...)``.
@@ -68,7 +68,7 @@ def block_registry(log: DataFrame, width_seconds: int = 3600) -> DataFrame:
     return carry_forward(log, ["host"], hour, ["ts", "seq"], F.col("block_reason"), "registered")
 
 
-def pair_summary(log: DataFrame, width_seconds: int = 3600) -> DataFrame:
+def pair_summary(log: DataFrame, width_seconds: int = 60) -> DataFrame:
     """Per (book, source): hosts attempted, hosts that responded, and the block reason of the
     alphabetically first contacted host that is registered when the pair ends.
 

@@ -2,9 +2,13 @@
 
 * *First / top-k per key* filter on ``row_number`` directly, so Spark places a partial group
   limit before the shuffle: a hot key sends at most k rows per map task.
-* *Numbering* and *carry forward* work in two phases over ``(key, bucket)``: rows are spread
-  by bucket, and only one summary row per bucket reaches the per-key window.
-* *Joins* against a unique side salt the keys that are hot, and only those.
+* *Numbering* and *carry forward* work over ``(key, bucket)``: rows are spread by bucket, and only
+  one summary row per bucket goes on.  Summaries are spread again by spans of buckets, so no
+  window holds all buckets of a key.
+
+No row is lost: null keys are a key of their own, and rows without an order value form a bucket
+before all others.  Joins on a key that may be hot are plain joins, which adaptive execution
+splits.
 """
 
 from __future__ import annotations
@@ -13,9 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
 SPAN = 1 << 16
+#: Bucket of rows without an order value; below every bucket of a real one, as nulls sort first.
+NO_ORDER = -(1 << 62)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose null keys meet; the right side's keys are dropped."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(other, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -29,18 +40,26 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def _spread(df: DataFrame, bucket: Column) -> DataFrame:
+    return df.withColumn("_bucket", F.coalesce(F.floor(bucket).cast("bigint"), F.lit(NO_ORDER)))
+
+
+def _span() -> Column:
+    return F.floor(F.col("_bucket") / SPAN).cast("bigint")
+
+
+def _before(keys: list[str], order: str, *more: str):
+    window = W.partitionBy(*keys, *more) if keys or more else W
+    return window.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
+
 def _offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows before each bucket of a key; two levels, so no window sees all buckets."""
-    sized = sizes.withColumn("_span", F.floor(F.col("_bucket") / SPAN))
-    before = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    near = W.partitionBy(*keys, "_span").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sized = sizes.withColumn("_span", _span())
     spans = (sized.groupBy(*keys, "_span").agg(F.sum("_rows").alias("_rows"))
-             .withColumn("_far", F.coalesce(F.sum("_rows").over(
-                 before.partitionBy(*keys) if keys else before), F.lit(0)))
-             .drop("_rows"))
-    return (sized.withColumn("_near", F.coalesce(F.sum("_rows").over(near), F.lit(0)))
-            .join(spans, [*keys, "_span"])
-            .select(*keys, "_bucket", (F.col("_near") + F.col("_far")).alias("_offset")))
+             .withColumn("_far", F.coalesce(F.sum("_rows").over(_before(keys, "_span")), F.lit(0))).drop("_rows"))
+    near = sized.withColumn("_near", F.coalesce(F.sum("_rows").over(_before(keys, "_bucket", "_span")), F.lit(0)))
+    return null_safe_join(near, spans, [*keys, "_span"]).select(*keys, "_bucket", (F.col("_near") + F.col("_far")).alias("_offset"))
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "n",
@@ -48,48 +67,28 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list, name:
     """Dense numbering per key in ``order``.
 
     ``bucket`` is a whole number that grows with ``order`` and keeps one bucket small enough
-    for a task (a position divided by a width, an hour number).
+    for a task (a position divided by a width, an hour number); null where the order value is.
     """
-    spread = df.withColumn("_bucket", F.floor(bucket).cast("bigint"))
+    spread = _spread(df, bucket)
     sizes = spread.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (spread.withColumn("_at", F.row_number().over(inside))
-            .join(_offsets(sizes, keys), [*keys, "_bucket"])
-            .withColumn(name, (F.col("_at") + F.col("_offset") + (start - 1)).cast("bigint"))
+    placed = null_safe_join(spread.withColumn("_at", F.row_number().over(inside)), _offsets(sizes, keys), [*keys, "_bucket"])
+    return (placed.withColumn(name, (F.col("_at") + F.col("_offset") + (start - 1)).cast("bigint"))
             .drop("_bucket", "_at", "_offset"))
 
 
 def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: Column,
                   name: str) -> DataFrame:
     """Latest non-null ``value`` of a key up to and including each row."""
-    spread = df.withColumn("_bucket", F.floor(bucket).cast("bigint")).withColumn("_value", value)
+    spread = _spread(df, bucket).withColumn("_value", value)
     latest = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = (spread.groupBy(*keys, "_bucket").agg(latest.alias("_latest"))
-               .withColumn("_carry", F.last("_latest", True).over(earlier)).drop("_latest"))
+    sums = spread.groupBy(*keys, "_bucket").agg(latest.alias("_latest")).withColumn("_span", _span())
+    spans = (sums.groupBy(*keys, "_span").agg(F.max_by("_latest", F.when(F.col("_latest").isNotNull(), F.col("_bucket"))).alias("_far"))
+             .withColumn("_far", F.last("_far", True).over(_before(keys, "_span"))))
+    near = sums.withColumn("_near", F.last("_latest", True).over(_before(keys, "_bucket", "_span")))
+    carried = null_safe_join(near, spans, [*keys, "_span"]).select(*keys, "_bucket", F.coalesce("_near", "_far").alias("_carry"))
     inside = (W.partitionBy(*keys, "_bucket").orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (spread.withColumn("_seen", F.last("_value", True).over(inside))
-            .join(carried, [*keys, "_bucket"])
-            .withColumn(name, F.coalesce("_seen", "_carry"))
+    seen = spread.withColumn("_seen", F.last("_value", True).over(inside))
+    return (null_safe_join(seen, carried, [*keys, "_bucket"]).withColumn(name, F.coalesce("_seen", "_carry"))
             .drop("_bucket", "_value", "_seen", "_carry"))
-
-
-def salted_join(big: DataFrame, unique: DataFrame, on: list[str], how: str = "inner",
-                hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join a side whose keys may be hot with a side that has one row per key.
-
-    A pass over the key columns finds the keys with ``hot_rows`` rows or more; there are at
-    most ``rows / hot_rows`` of them, which bounds the broadcast.  Only those keys are spread
-    over ``salts`` tasks, and only their rows of the unique side are repeated.
-    """
-    hot = F.broadcast(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-                      .where(F.col("_rows") >= hot_rows).select(*on, F.lit(True).alias("_hot")))
-    row = F.xxhash64(*[F.col(c) for c, kind in big.dtypes if not kind.startswith(("map", "variant"))
-                       and "variant" not in kind and "map<" not in kind])
-    left = (big.join(hot, on, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row, F.lit(salts)).cast("int"))
-                        .otherwise(F.lit(0))).drop("_hot"))
-    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = unique.join(hot, on, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
