@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.llm.chat_format import digests, format_conversations
 from tomeweave.llm.class_lm import class_scores
 from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.language_id import languages
@@ -124,3 +125,21 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_outliers(table(spark, sf_dir, "documents"))
+
+
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS x FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS t,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS l,
+             sum(length(role) + length(x) + 14) AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, CAST(len(l) AS BIGINT) AS loss_chars, sha256(l) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    return digests(format_conversations(rows.unionByName(tricky)))
