@@ -149,8 +149,8 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class _Shard:
     """Documents gathered for one index, and their hits."""
 
-    def __init__(self, phrases: Phrases) -> None:
-        self.phrases = phrases
+    def __init__(self, phrases: Phrases, names: list[str]) -> None:
+        self.phrases, self.names = phrases, names
         self.columns: list[tuple] = []
         self.sizes: list[np.ndarray] = []
         self.symbols: list[np.ndarray] = []
@@ -213,10 +213,10 @@ class _Shard:
         return pa.record_batch([
             *[pa.concat_arrays([c[i] for c in self.columns]) for i in range(len(self.columns[0]))], pa.array(np.concatenate(self.sizes)),
             pa.array(hit), pa.ListArray.from_arrays(cut(document[head]), span), pa.ListArray.from_arrays(cut(pairs[0][known]), item)],
-            ["row", "id", "n_words", "n_hit", "spans", "items"])
+            [*self.names, "n_words", "n_hit", "spans", "items"])
 
 
-def _search(shared, all_rows: bool):
+def _search(shared, names: list[str], all_rows: bool):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, shard = shared.value, None
 
@@ -226,8 +226,8 @@ def _search(shared, all_rows: bool):
 
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column("text")):
-                shard = shard or _Shard(phrases)
-                shard.add(Words(data, offsets, MARKS, True), tuple(batch.column(c).slice(low, high - low) for c in ("row", "id")))
+                shard = shard or _Shard(phrases, names)
+                shard.add(Words(data, offsets, MARKS, True), tuple(batch.column(c).slice(low, high - low) for c in names))
                 shard.bytes += len(data)
                 if shard.weight >= SHARD or shard.bytes >= 24 << 20:
                     yield ready()
@@ -249,7 +249,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text: str, limit: int) -> Itera
     yield items, texts
 
 
-FOUND = "row bigint, id {kind}, n_words bigint, n_hit bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
+FOUND = "{kind}, n_words bigint, n_hit bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
 MERGED = """aggregate(array_sort(flatten(all_spans)), CAST(array() AS array<struct<start: bigint, end: bigint>>), (done, s) ->
     CASE WHEN size(done) > 0 AND element_at(done, -1).end >= s.start
          THEN concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end))))
@@ -257,7 +257,7 @@ MERGED = """aggregate(array_sort(flatten(all_spans)), CAST(array() AS array<stru
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id",
-                  item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where the words of benchmark items stand in documents.
 
     Words are runs of ASCII letters (capitals as small ones), digits and all that is not ASCII.  A
@@ -268,15 +268,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     * Null and empty texts have no words, on either side; an item without words is never found.
     * Items with one id count once; a null item id hits words but is not listed.
     * Repeated rows come back as often as they stand; ids may be null or repeated.
-    * Other columns are left out, so their names cannot clash.
+    * Columns that ``keep`` names come along in a struct ``kept``; all others are left out.
     * An empty table gives an empty table; an empty benchmark finds nothing.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"))
+    spark = docs.sparkSession
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("row"), F.col(id_col).alias("id"),
+                       *([F.struct(*keep).alias("kept")] if keep else []), F.col(text).alias("text"))
     found = more = None
     for items, texts in _blocks(benchmark, item_col, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(Phrases(items, texts, window))
-        part = rows.select("row", "id", "text").mapInArrow(_search(shared, found is None), FOUND.format(kind=kind))
+        part = (rows if found is None else rows.select("row", "text"))
+        names = [c for c in part.columns if c != "text"]
+        kind = ", ".join(f"{c} {part.schema[c].dataType.simpleString()}" for c in names)
+        part = part.mapInArrow(_search(shared, names, found is None), FOUND.format(kind=kind))
         if found is None:
             found = part
         else:
@@ -290,7 +294,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                  .withColumn("spans", F.expr(MERGED))
                  .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]))
                  .withColumn("items", F.concat("items", F.coalesce("more_items", none))))
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", F.array_sort(F.array_distinct("items")).alias("items"),
+                        *(["kept"] if keep else []))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +319,12 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*[batch.column(i) for i in kept], pa.array(out, pa.string())], [*[batch.schema.names[i] for i in kept], "text"])
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, **names) -> DataFrame:
-    """``docs(doc_id, text)`` with ``text`` cut where benchmark phrases stand; a null text stays null."""
-    found = contamination(docs, benchmark, window, **names).select("doc_id", "n_words", "spans")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", "text").join(found.where(F.size("spans") > 0), "doc_id", "left").select("doc_id", "spans", "text")
-            .mapInArrow(_without, f"doc_id {kind}, text string"))
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", **names) -> DataFrame:
+    """``docs`` with the bytes from the first to the last word of each hit span cut out of ``text``.
+
+    Same rules as ``contamination``; a null text stays null, and a text without hits stays as it is.
+    """
+    found = contamination(docs, benchmark, window, text, keep=tuple(docs.columns), **names)
+    cut = found.select("kept", "spans", F.col("kept")[text].alias("text")).mapInArrow(
+        _without, f"kept {found.schema['kept'].dataType.simpleString()}, text string")
+    return cut.select(*[F.col("text").alias(text) if c == text else F.col("kept")[c].alias(c) for c in docs.columns])

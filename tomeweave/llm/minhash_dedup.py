@@ -205,6 +205,21 @@ def links(signed: DataFrame, rows: DataFrame, scratch: Scratch, k: int, percent:
     return direct.unionByName(unseen)
 
 
+def classes_of(docs: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int, text: str, id_col: str) -> DataFrame:
+    """``row, id, n_shingles, component`` of every row; ``row`` is a hash of its id and its text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"))
+    signed = scratch.table(keyed.select("row", "id", "text").mapInArrow(_sign(k, bands, rows), SIGNED.format(kind=kind)), "signed")
+    # one class per set; an empty set is a class of its own
+    same = scratch.table(signed.where("n_shingles > 0").groupBy("n_shingles", "set1", "set2").agg(
+        F.min("row").alias("node"), F.min_by("bands", "row").alias("bands")), "same")
+    found = links(same.select("node", "n_shingles", "bands"), keyed.select(F.col("row").alias("node"), "text"), scratch, k, percent)
+    parts = components(found, scratch)
+    classes = scratch.table(signed.drop("bands").join(same.drop("bands"), ["n_shingles", "set1", "set2"], "left").join(parts, "node", "left")
+               .withColumn("component", F.coalesce("component", "node", "row")).select("row", "id", "n_shingles", "component"), "classes")
+    return classes
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text",
                     id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """Components of documents whose shingle sets have ``100 * intersection >= percent * union``.
@@ -220,16 +235,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     * An empty table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"))
-    signed = scratch.table(keyed.select("row", "id", "text").mapInArrow(_sign(k, bands, rows), SIGNED.format(kind=kind)), "signed")
-    # one class per set; an empty set is a class of its own
-    same = scratch.table(signed.where("n_shingles > 0").groupBy("n_shingles", "set1", "set2").agg(
-        F.min("row").alias("node"), F.min_by("bands", "row").alias("bands")), "same")
-    found = links(same.select("node", "n_shingles", "bands"), keyed.select(F.col("row").alias("node"), "text"), scratch, k, percent)
-    parts = components(found, scratch)
-    classes = scratch.table(signed.drop("bands").join(same.drop("bands"), ["n_shingles", "set1", "set2"], "left").join(parts, "node", "left")
-               .withColumn("component", F.coalesce("component", "node", "row")).select("row", "id", "n_shingles", "component"), "classes")
+    classes = classes_of(docs, scratch, k, percent, bands, rows, text, id_col)
     least = scratch.table(classes.groupBy("component").agg(F.min("id").alias("component_id")), "least")
     out = classes.join(least, "component")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text",
+                            id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns: that of the least id.
+
+    Unlike there, rows with one id and one text count as copies: one stays.  Texts without words
+    stay, each of their different ids once.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
+    classes = classes_of(docs, scratch, k, percent, bands, rows, text, id_col)
+    chosen = classes.groupBy("component").agg(F.min(F.struct("id", "row")).alias("one")).select(F.col("one.row").alias("_chosen")).distinct()
+    chosen = scratch.table(chosen, "chosen")
+    packed = docs.select(F.struct(*docs.columns).alias("kept"), F.xxhash64(F.col(id_col), F.col(text)).alias("_row"))
+    stays = packed.join(chosen, F.col("_row") == F.col("_chosen"), "left_semi")
+    # the rows of one key are equal in id and text; copies of a chosen row are rare, the rest is unique
+    many = scratch.table(classes.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias("_many")), "many")
+    single = stays.join(many, F.col("_row") == F.col("_many"), "left_anti").select("kept")
+    copies = stays.join(many, F.col("_row") == F.col("_many"), "left_semi").groupBy("_row").agg(F.first("kept").alias("kept")).select("kept")
+    return single.unionByName(copies).select("kept.*")

@@ -175,15 +175,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     * Null and empty texts are scored as texts without words.
     * Without a positive label in the training part every score is 1: nothing is known against a row.
     * Null labels are no labels; rows with null or repeated ids are scored like any other.
-    * Other columns are passed on only if ``keep`` names them.
+    * Columns that ``keep`` names come along in a struct ``kept``, so their names cannot clash.
     * An empty table gives an empty table.
     """
     model = train(docs, labels, sample, text, id_col, label)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
-    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "kept"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    names = [c for c in rows.columns if c != "text"]
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     if model is None:
         scored = rows.withColumn("score", F.lit(1.0))
     else:
-        scored = rows.select("id", "kept", "text").mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), f"{kind}, score double")
+        scored = rows.select(*names, "text").mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), f"{kind}, score double")
     return scored.select(F.col("id").alias(id_col), (remainder("id", 5) == 0).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col("kept")[c].alias(c) for c in keep])
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), *(["kept"] if keep else []))

@@ -166,7 +166,7 @@ def _cut(min_words: int):
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 35, anchor_words: int = ANCHOR_WORDS, text: str = "text",
-                    id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+                    id_col: str = "doc_id", keep: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """Remove every word that a window of ``min_words`` words covers whose words stand anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Windows are judged on the input, so all copies
@@ -176,17 +176,19 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, anchor_words: int = AN
     * Null and empty texts have no words: 0, 0 and an empty ``kept_text``.
     * A row that stands twice is its own copy: its windows are repeats.
     * Null or repeated ids are allowed; a row is known by a hash of its id and its text.
-    * Other columns of ``docs`` are left out, so their names cannot clash.
+    * Columns that ``keep`` names come along in a struct ``kept``; all others are left out.
     * An empty table gives an empty table.
     """
     if not 1 <= anchor_words <= min_words:
         raise ValueError("anchor_words must lie between 1 and min_words")
     scratch = scratch or Scratch(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"),
+                       *([F.struct(*keep).alias("kept")] if keep else []))
     found = (repeated_windows(rows.select("row", "text"), scratch, min_words, anchor_words)
              .groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("found")))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = (rows.join(found, "row", "left").select("id", "row", "text", "found")
-           .mapInArrow(_cut(min_words), f"id {kind}, n_words bigint, n_removed bigint, kept_text string, "
+    names = [c for c in rows.columns if c not in ("text", "row")]
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    out = (rows.join(found, "row", "left").select(*names, "row", "text", "found")
+           .mapInArrow(_cut(min_words), f"{kind}, n_words bigint, n_removed bigint, kept_text string, "
                                         "repeats array<struct<start: bigint, end: bigint>>"))
     return out.withColumnRenamed("id", id_col)
