@@ -202,7 +202,7 @@ class _Shard:
         new = np.ones(len(end), bool)
         new[1:] = (document[1:] != document[:-1]) | (start[1:] > stretch[:-1])
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(end)) - 1
+        last = np.append(head[1:], len(end))[:len(head)] - 1
         n = self.documents
         cut = lambda who: pa.array(np.searchsorted(who, np.arange(n + 1)).astype(np.int32))
         span = pa.StructArray.from_arrays([pa.array(start[head]), pa.array(stretch[last])], ["start", "end"])
