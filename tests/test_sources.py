@@ -44,12 +44,27 @@ def test_header_that_lies(spark, tmp_path):
 def test_windows_code_page_open_quote_and_empty_list(spark, tmp_path):
     found = lists.read_identifier_list(spark, write(tmp_path, "Title,ISBN\nCaf\xe9,9780143127550\n\"open,9780062316097\n".encode("cp1252")))
     assert entries(found) == [("9780143127550", 2, "Café")] and problems(found) == [(3, "unparseable (open quote)")]
+    assert found.summary.first().asDict() == {"entries": 1, "duplicates": 0, "skipped": 1}
     nothing = lists.read_identifier_list(spark, write(tmp_path, "\n", "none.csv"))
-    assert entries(nothing) == [] and problems(nothing) == [(0, "the list is empty")]
+    assert entries(nothing) == [] and problems(nothing) == [(0, "the list is empty")] and nothing.summary.first()["skipped"] == 1
     only_header = lists.read_identifier_list(spark, write(tmp_path, "Isbn\n", "head.csv"))
     assert problems(only_header) == [(0, "the list has no data rows")]
 
 
+def test_quoted_cells_over_lines_and_rows_of_any_width(spark, tmp_path):
+    content = 'Title,ISBN\n"two\nlines, ""quoted""",9780143127550\nx,9780312954154,"a\n\nb",y\n"runaway,1\nz,9780821716595\n'
+    found = lists.read_identifier_list(spark, write(tmp_path, content))
+    assert entries(found) == [("9780143127550", 3, 'two\nlines, "quoted"'), ("9780312954154", 6, "x"), ("9780821716595", 8, "z")]
+    assert problems(found) == [(7, "unparseable (open quote)")]
+    wide = lists.read_identifier_list(spark, write(tmp_path, "9780143127550\n" * 250 + ",x\n", "wide.csv"))
+    assert problems(wide) == [(251, "column 1 is empty")] and wide.summary.first().asDict() == {"entries": 1, "duplicates": 249, "skipped": 1}
+
+
+def test_delimiters_by_their_constancy(spark, tmp_path):
+    for content, want in (("a;b\nc;d, e\n", ";"), ("a|b|c\n1|2|3\n", "|"), ("one\ntwo\n", ","), ('"a,b";c\n"d,e";f\n', ";"), ("a\tb\n", "\t"), ("a,b;c\n", ",")):
+        assert lists.delimiter_of(lists.read_lines(spark, write(tmp_path, content, f"{ord(want)}{len(content)}.csv"))).first()[0] == want
+
+
 def test_line_numbers_over_many_blocks(spark, tmp_path):
     path = write(tmp_path, "".join(f"line {i}\n" for i in range(1, 4001)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

@@ -16,7 +16,6 @@ LIST_DELIMITERS = ",;\t|"
 ISBN_HEADER_GROUPS = [["isbn13", "ean13"], ["isbn", "isbns"], ["isbn10"],
                       ["ean", "barcode", "gtin", "gtin13"]]
 LABEL_HEADERS = ["title", "booktitle", "name", "book", "bookname"]
-COLUMN_SAMPLE_ROWS = 200
 ISBN_LABEL_PATTERN = r"(?i)^\s*e?isbn(?:[\s\-_]*1[03])?\s*[:=]?\s*"
 ISBN_NOISE_PATTERN = "[\\s \\-‐‑‒–—―−_]+"
 

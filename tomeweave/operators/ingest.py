@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed import COLUMN_SAMPLE_ROWS, ISBN_HEADER_GROUPS, LABEL_HEADERS
+from ..fixed import ISBN_HEADER_GROUPS, LABEL_HEADERS
 from ..functions import isbn
 from ..functions.core import compute_once
 from .skew import SPAN, first_per_key, numbered
@@ -26,29 +27,28 @@ def is_header(cells: Column) -> Column:
     return (~F.exists(cells, isbn.is_valid)) & F.exists(cells, lambda c: F.coalesce(c, F.lit("")).rlike("[A-Za-z]"))
 
 
-def column_counts(rows: DataFrame) -> DataFrame:
-    """Valid identifiers per column position over the first rows."""
-    sample = rows.orderBy("row").limit(COLUMN_SAMPLE_ROWS)
-    cells = sample.select(F.posexplode("cells").alias("pos", "cell"))
-    return (cells.groupBy("pos").agg(F.count_if(isbn.is_valid(F.col("cell"))).alias("valid"))
-            .where("valid > 0"))
+def choose_columns(rows: DataFrame, headers: list[str], sample_rows: int | None = None) -> tuple[int, int | None]:
+    """Positions of the identifier column and of the label column (None without a fitting header).
 
-
-def pick_column(rows: DataFrame, headers: list[str]) -> int:
-    """Position of the identifier column: a fitting header that holds identifiers, else data."""
-    counts = {r["pos"]: r["valid"] for r in column_counts(rows).collect()}  # one row per column
-    keys = ["".join(c for c in h.lower() if c.isascii() and c.isalnum()) for h in headers]
-    named = next((keys.index(key) for group in ISBN_HEADER_GROUPS for key in keys if key in group), None)
-    if named is not None and counts.get(named):
-        return named
-    if counts:
-        return min(counts, key=lambda pos: (-counts[pos], pos))
-    return named or 0
-
-
-def label_column(headers: list[str], taken: int) -> int | None:
-    keys = ["".join(c for c in h.lower() if c.isascii() and c.isalnum()) for h in headers]
-    return next((i for i, key in enumerate(keys) if i != taken and key in LABEL_HEADERS), None)
+    One query ranks the columns: the one with the best-known header if it holds identifiers, then
+    by the number of identifiers, then that header alone, then by position.  ``sample_rows`` counts
+    the first rows only; by default all are counted.
+    """
+    counted = rows if sample_rows is None else rows.orderBy("row").limit(sample_rows)
+    valid = (counted.select(F.posexplode("cells").alias("pos", "cell")).groupBy("pos")
+             .agg(F.count_if(isbn.is_valid(F.col("cell"))).alias("valid")))
+    known = [(key, rank) for rank, group in enumerate(ISBN_HEADER_GROUPS) for key in group]
+    spark = rows.sparkSession
+    named = spark.createDataFrame(list(enumerate(headers)), "pos int, header string").withColumn("key", isbn.header_key(F.col("header")))
+    rank = F.coalesce(*[F.when(F.col("key") == key, F.lit(i)) for key, i in known])
+    best = F.min(F.struct(F.coalesce("rank", F.lit(len(known))), "pos")).over(W.partitionBy())
+    ranked = (valid.join(named.withColumn("rank", rank).withColumn("is_label", F.col("key").isin(LABEL_HEADERS)), "pos", "full")
+              .withColumn("named", F.col("rank").isNotNull() & (best["pos"] == F.col("pos"))).withColumn("valid", F.coalesce("valid", F.lit(0))))
+    order = F.when(F.col("named") & (F.col("valid") > 0), 0).when(F.col("valid") > 0, 1).when(F.col("named"), 2).otherwise(3)
+    # one row per column of the list
+    columns = ranked.select("pos", F.coalesce("is_label", F.lit(False)).alias("is_label")).orderBy(order, F.desc("valid"), "pos").collect()
+    chosen = columns[0]["pos"]
+    return chosen, min((c["pos"] for c in columns if c["is_label"] and c["pos"] != chosen), default=None)
 
 
 @dataclass
@@ -59,6 +59,11 @@ class Ingested:
     problems: DataFrame
     summary: DataFrame
 
+    def with_problems(self, more: DataFrame) -> Ingested:
+        """Refused rows found elsewhere, listed and counted."""
+        counts = self.summary.unionByName(more.agg(F.lit(0).cast("bigint").alias("entries"), F.lit(0).cast("bigint").alias("duplicates"), F.count(F.lit(1)).alias("skipped")))
+        return Ingested(self.entries, self.problems.unionByName(more), counts.agg(*[F.sum(c).alias(c) for c in self.summary.columns]))
+
 
 def ingest(rows: DataFrame, column: str = "column 1") -> Ingested:
     """``rows(row, raw, label)`` to entries, problems and summary.

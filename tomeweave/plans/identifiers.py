@@ -56,7 +56,7 @@ def pick_id_column(t: Tables):
     """The header names the wrong column, so the data decides; then the whole list is read by it."""
     raw = raw_identifiers(t)
     rows = raw.select("row", F.array(F.col("row").cast("string"), "label", "raw").alias("cells"))
-    chosen = ingest.pick_column(rows, ["isbn", "title", "code"])
+    chosen, _ = ingest.choose_columns(rows, ["isbn", "title", "code"])
     picked = rows.select("row", F.get("cells", chosen).alias("raw"), F.get("cells", 1).alias("label"))
     return ingest.ingest(picked).summary.select(F.lit(chosen).alias("chosen"), "entries", "duplicates", "skipped")
 
