@@ -130,3 +130,14 @@ def test_markup(spark):
 
 def test_bracket_block(apply):
     assert apply(bracket_block, '[{"a":"]"},[1]] tail', "['x]'] y", "[1") == ['[{"a":"]"},[1]]', "['x]']", None]
+
+
+def test_every_entity_equals_the_standard_library(spark):
+    import html
+
+    cases = [f"a&{name} b" for name in html.entities.html5]
+    cases += [f"x&#{i};y" for i in [*range(300), 0xd800, 0xfdd0, 0xfffe, 0x10ffff, 0x110000, 99999999999]] + [f"x&#x{i:x}y&amp;#65;" for i in range(120, 170)]
+    cases += ["&notit; &lbrace;&comma;&NewLine;&ampx &unknown; & &; &# &#x", "&AMP;&copy2;", "", None]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, c string")
+    got = {r["i"]: r["c"] for r in text.unescape_rows(rows, "c").collect()}
+    assert [got[i] for i in range(len(cases))] == [c if c is None else html.unescape(c) for c in cases]

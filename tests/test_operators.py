@@ -154,6 +154,17 @@ def test_either_key_dedupe_matches_the_sequential_rule(spark):
     assert [r[0] for r in artefacts.dedupe_reviews_either_key(df).select("pos").orderBy("pos").collect()] == kept
 
 
+def test_a_chain_of_ten_thousand_reviews_ends_after_the_stated_rounds(spark, monkeypatch):
+    data = [("chain", "goodreads", i, f"id{i // 2}", f"opening words {(i + 1) // 2} of many") for i in range(10_000)]
+    df = spark.createDataFrame(data, "isbn13 string, source string, pos bigint, review_id string, text string")
+    cuts, plain = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: cuts.append(1) or plain(self, *a))
+    kept = [r[0] for r in artefacts.dedupe_reviews_either_key(df).select("pos").orderBy("pos").collect()]
+    assert kept == list(range(0, 10_000, 2)) and len(cuts) == 2 + 2 * artefacts.ROUNDS + 2
+    small = df.where("pos < 40")
+    assert artefacts.dedupe_reviews_either_key(small, group_edges=5).count() == 20
+
+
 def test_replace_leaves_other_pairs(spark):
     make = lambda *r: spark.createDataFrame(list(r), "isbn13 string, source string, n int")
     out = artefacts.replace_artefacts(make(("1", "g", 1), ("1", "g", 2), ("1", "a", 1), ("2", "g", 1)), make(("1", "g", 1)))

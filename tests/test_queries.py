@@ -7,11 +7,12 @@ from oracle_check import connect, duck_rows, plain, spark_rows
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-# one of each heavy group here; oracle_check.py runs them all
-SLOW = {n for n in QUERIES if n.startswith(("shop_", "search_rows_", "pick_"))} - {"shop_openlibrary", "search_rows_kobo", "pick_bookbub"}
+# those of tomeweave.llm have their tests in tests/llm
+LLM = set(contract.llm.QUERIES) if contract.llm else set()
+OWN = [n for n in QUERIES if n in ORACLES and n not in LLM and n != "pipeline"]
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in SLOW])
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_oracle(spark, name):
     assert spark_rows(QUERIES[name](spark, FOLDER)) == duck_rows(connect(FOLDER), ORACLES[name])
 

@@ -6,11 +6,12 @@ import html.entities
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (BLOCK_TAGS, CATALOGUE_LANGUAGES, DERIVATIVE_MARKERS, LANGUAGE_NAMES,
                      ORDINALS, SUBTITLE_PATTERN)
+from .arrow import unescape_all
 from .core import (apply_sql, blank_to_null, keep_nonblank, let, literal_array, literal_map, lookup,
                    sql_text)
 
@@ -23,7 +24,7 @@ SPACES = "\\t\\x0b\\f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 def _entity_names() -> dict[str, str]:
     """The named entities of HTML 4, with and (where browsers allow it) without semicolon.
 
-    The 2,000 names only HTML 5 knows are left to ``arrow.unescape_all``: as literals they would
+    The 2,000 names only HTML 5 knows are left to ``unescape_rows``: as literals they would
     travel with every expression.
     """
     known = {}
@@ -34,6 +35,12 @@ def _entity_names() -> dict[str, str]:
     return known
 
 
+def _open_names() -> str:
+    """Pattern of the names that hold without a semicolon, the longest first."""
+    names = sorted((k for k in _entity_names() if not k.endswith(";")), key=len, reverse=True)
+    return "^(?:" + "|".join(names) + ")"
+
+
 @lru_cache(maxsize=8)
 def _unescape_sql(v: str = "v") -> str:
     """SQL text over a bound name: no entity at all, only frequent ones, or token by token."""
@@ -47,11 +54,18 @@ def _unescape_sql(v: str = "v") -> str:
     digits = ("if(k rlike '^&#[xX]', regexp_extract(k, '^&#[xX]0*([0-9a-fA-F]*)', 1), "
               "conv(regexp_extract(k, '^&#0*([0-9]{0,9})', 1), 10, 16))")
     number = "cast(conv(h, 16, 10) AS bigint)"
-    point = (f"transform(array({digits}), h -> CASE WHEN length(h) <= 6 AND ({number} BETWEEN 1 AND 55295 "
-             f"OR {number} BETWEEN 57344 AND 1114111) THEN decode(unhex(lpad(h, 8, '0')), 'UTF-32') ELSE '\ufffd' END)[0]")
+    # numbers 128 to 159 mean the Windows code page; control codes and non-characters mean nothing
+    windows = "\x02".join(f"{b:X}\x01{bytes([b]).decode('cp1252', 'ignore') or chr(b)}" for b in range(0x80, 0xA0))
+    nothing = (f"{number} BETWEEN 1 AND 8 OR {number} IN (11, 127) OR {number} BETWEEN 14 AND 31 "
+               f"OR {number} BETWEEN 64976 AND 65007 OR {number} % 65536 >= 65534")
+    point = (f"transform(array({digits}), h -> CASE WHEN {number} BETWEEN 128 AND 159 "
+             f"THEN try_element_at(str_to_map({sql_text(windows)}, '\x02', '\x01'), upper(ltrim('0', h))) "
+             f"WHEN length(h) > 6 OR {number} = 0 OR {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN '\ufffd' WHEN {nothing} THEN '' "
+             f"ELSE decode(unhex(lpad(h, 8, '0')), 'UTF-32') END)[0]")
     tokens = f"regexp_extract_all({v}, '&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&', 0)"
     decoded = (f"array_join(transform({tokens}, k -> CASE WHEN left(k, 1) <> '&' OR k = '&' THEN k "
-               f"WHEN substr(k, 2, 1) = '#' THEN {point} ELSE coalesce(try_element_at({names}, k), k) END), '')")
+               f"WHEN substr(k, 2, 1) = '#' THEN coalesce({point}, '\ufffd') ELSE coalesce(try_element_at({names}, k), "
+               f"concat(try_element_at({names}, nullif(regexp_extract(k, {sql_text(_open_names())}, 0), '')), regexp_replace(k, {sql_text(_open_names())}, '')), k) END), '')")
     return (f"CASE WHEN NOT contains({v}, '&') THEN {v} "
             f"WHEN {v} rlike '&(?!(?:lt|gt|quot|#39|nbsp|apos|amp);)[#A-Za-z]' THEN {decoded} ELSE {plain} END")
 
@@ -61,6 +75,21 @@ def unescape(value: Column) -> Column:
     return apply_sql(value, _unescape_sql())
 
 
+def unescape_rows(df: DataFrame, name: str) -> DataFrame:
+    """Every HTML 5 entity of a column; only rows with a name beyond HTML 4 go through Python."""
+    packed = "\x02".join(f"{k}\x01{c}" for k, c in _entity_names().items())
+    names = F.expr(f"str_to_map({sql_text(packed)}, '\x02', '\x01')")
+    tokens = F.regexp_extract_all(F.col(name), F.lit("&[A-Za-z][A-Za-z0-9]*;?"), F.lit(0))
+    hard = F.coalesce(F.exists(tokens, lambda k: ~F.map_contains_key(names, k)), F.lit(False))
+    return (df.where(~hard).withColumn(name, unescape(F.col(name)))
+            .unionByName(df.where(hard).withColumn(name, unescape_all(F.col(name)))))
+
+
+def clean_rows(df: DataFrame, name: str) -> DataFrame:
+    """:func:`clean` of a column with every HTML 5 entity."""
+    return unescape_rows(df, name).withColumn(name, tidy(F.col(name)))
+
+
 # ------------------------------------------------------------------ cleaning
 def _tidy_sql(text: str) -> str:
     for pattern, new in (("[\u200b\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+", ""), ("\\r\\n?", "\n"),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,35 +147,62 @@ def body_words(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.substring(text, 1, 200), r"(?U)\W+", " ")))
 
 
-def dedupe_reviews_either_key(reviews: DataFrame) -> DataFrame:
+ROUNDS, GROUP_EDGES = 3, 200_000
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(*PAIR, "pos", F.explode(F.array(F.concat(F.lit("id "), "_id"), F.concat(F.lit("words "), "_words"))).alias("end"))
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rule itself over the edges of one pair: an edge stays unless an earlier kept one has its id or words."""
+    table = table.sort_by("pos")
+    claimed, stays = set(), []
+    for name, words in zip(table.column("_id").to_pylist(), table.column("_words").to_pylist()):
+        free = ("i", name) not in claimed and ("w", words) not in claimed
+        if free:
+            claimed |= {("i", name), ("w", words)}
+        stays.append(free)
+    return table.select([*PAIR, "pos"]).filter(pa.array(stays, pa.bool_()))
+
+
+def dedupe_reviews_either_key(reviews: DataFrame, rounds: int = ROUNDS, group_edges: int = GROUP_EDGES) -> DataFrame:
     """Keep a review unless its id *or* its opening words belong to an earlier kept one.
 
-    Only kept reviews claim their keys, so this is a matching over (id, words) edges in
-    review order: in each round the edges that are first at both ends are kept, and every
-    edge that touches a claimed end leaves.  Rounds run until nothing is left, on key columns
-    only.  Edges alone at both ends are settled before the first round.
+    Only kept reviews claim their keys, so this is a matching over (id, words) edges in review
+    order.  Edges alone at both ends are settled at once.  In a round the edges that are first at
+    both ends stay, and every edge that touches a claimed end leaves.  What is left of a pair after
+    ``rounds`` rounds, chains mostly, is settled in order by one task if it has at most
+    ``group_edges`` edges (short keys, no texts); a larger rest goes on in rounds until it has.
     """
     checkpoint_folder(reviews.sparkSession)
     named = F.nullif(F.trim(F.coalesce("review_id", F.lit(""))), F.lit(""))
     keyed = reviews.select(*PAIR, "pos", named.alias("_id"), body_words(F.col("text")).alias("_words"))
     # of equal (id, words) pairs only the first can ever stay
     edges = (keyed.withColumn("_id", F.coalesce(F.concat(F.lit("i:"), "_id"), F.concat(F.lit("w:"), "_words")))
-             .groupBy(*PAIR, "_id", "_words").agg(F.min("pos").alias("pos")))
-    ends = F.array(F.concat(F.lit("id "), "_id"), F.concat(F.lit("words "), "_words"))
-    left = edges.select(*PAIR, "pos", F.explode(ends).alias("end")).checkpoint()
-    kept = None
-    while True:
-        sizes = left.groupBy(*PAIR, "end").agg(F.min("pos").alias("pos"))
-        first = sizes.groupBy(*PAIR, "pos").agg(F.count(F.lit(1)).alias("_ends")).where("_ends = 2").drop("_ends")
-        won = left.join(first, [*PAIR, "pos"], "left_semi")
-        kept = first if kept is None else kept.unionByName(first)
-        claimed = won.select(*PAIR, "end")
-        lost = left.join(claimed, [*PAIR, "end"], "left_semi").select(*PAIR, "pos").distinct()
+             .groupBy(*PAIR, "_id", "_words").agg(F.min("pos").alias("pos")).checkpoint())
+    shared = _ends(edges).groupBy(*PAIR, "end").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_a"), F.max("pos").alias("_b")).where("_n > 1")
+    meets = _ends(edges).join(shared.select(*PAIR, "end"), [*PAIR, "end"], "left_semi").select(*PAIR, "pos").distinct()
+    left = edges.join(meets, [*PAIR, "pos"], "left_semi").checkpoint()
+    kept = [edges.join(meets, [*PAIR, "pos"], "left_anti").select(*PAIR, "pos")]
+    done = 0
+    while not left.isEmpty():
+        if done >= rounds:
+            small = left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= group_edges).select(*PAIR).checkpoint()
+            kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in [*PAIR, "pos"])
+            kept.append(left.join(small, PAIR, "left_semi").groupBy(*PAIR).applyInArrow(_in_order, kinds))
+            left = left.join(small, PAIR, "left_anti").checkpoint()
+            if left.isEmpty():
+                break
+        ends = _ends(left)
+        first = (ends.groupBy(*PAIR, "end").agg(F.min("pos").alias("pos")).groupBy(*PAIR, "pos").agg(F.count(F.lit(1)).alias("_ends"))
+                 .where("_ends = 2").drop("_ends").checkpoint())
+        kept.append(first)
+        claimed = ends.join(first, [*PAIR, "pos"], "left_semi").select(*PAIR, "end")
+        lost = ends.join(claimed, [*PAIR, "end"], "left_semi").select(*PAIR, "pos").distinct()
         left = left.join(lost, [*PAIR, "pos"], "left_anti").checkpoint()
-        kept = kept.checkpoint()
-        if left.isEmpty():
-            break
-    return reviews.join(kept, [*PAIR, "pos"], "left_semi")
+        done += 1
+    return reviews.join(reduce(DataFrame.unionByName, kept), [*PAIR, "pos"], "left_semi")
 
 
 def render_review() -> Column:

@@ -103,17 +103,33 @@ def review_dedupe(t: Tables):
     return artefacts.dedupe_reviews(_document_reviews(t)).select("doc_id")
 
 
-@catalog.query()
+@catalog.query(r"""
+WITH RECURSIVE r AS (SELECT doc_id, doc_id % 5 AS b, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(doc_id * 7 % 61 AS VARCHAR) END AS i,
+    lower(trim(regexp_replace(substr('Opening words ' || (doc_id * 13 % 83) || ' of ' || lang || ' ' || repeat('- ', 100) || text, 1, 200), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS w
+  FROM documents WHERE length(text) >= 0),
+n AS (SELECT *, coalesce('i:' || i, 'w:' || w) AS k, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS n FROM r),
+s(b, n, ids, words, doc_id, kept) AS (
+  SELECT DISTINCT b, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::BIGINT, false FROM n
+  UNION ALL
+  SELECT s.b, n.n, CASE WHEN list_contains(ids, k) OR list_contains(words, w) THEN ids ELSE list_append(ids, k) END,
+         CASE WHEN list_contains(ids, k) OR list_contains(words, w) THEN words ELSE list_append(words, w) END,
+         n.doc_id, NOT (list_contains(ids, k) OR list_contains(words, w))
+  FROM s JOIN n ON n.b = s.b AND n.n = s.n + 1)
+SELECT s.doc_id, CASE WHEN s.doc_id % 9 = 0 THEN '' ELSE CAST(s.doc_id * 7 % 61 AS VARCHAR) END AS review_id, length(text) AS chars
+FROM s JOIN documents USING (doc_id) WHERE kept""")
 def review_dedupe_either_key(t: Tables):
-    """Order decides: only a kept review claims its id and its opening words (no SQL; brute force in the tests)."""
+    """Order decides: only a kept review claims its id and its opening words; the whole texts come along."""
+    opening = F.expr("concat('Opening words ', doc_id * 13 % 83, ' of ', lang, ' ', repeat('- ', 100), text)")
     reviews = t.documents.select(F.expr("string(doc_id % 5)").alias("isbn13"), F.lit("goodreads").alias("source"), F.col("doc_id").alias("pos"), "doc_id",
-                                 F.expr("IF(doc_id % 9 = 0, '', string(doc_id * 7 % 61))").alias("review_id"),
-                                 F.expr("concat('Opening words ', doc_id * 13 % 83, ' of ', lang)").alias("text"))
-    return artefacts.dedupe_reviews_either_key(artefacts.usable_reviews(reviews)).select("doc_id", "review_id")
+                                 F.expr("IF(doc_id % 9 = 0, '', string(doc_id * 7 % 61))").alias("review_id"), opening.alias("text"), F.length("text").cast("bigint").alias("chars"))
+    return artefacts.dedupe_reviews_either_key(artefacts.usable_reviews(reviews)).select("doc_id", "review_id", "chars")
 
 
-@catalog.query(f"""SELECT source, count(*) AS kept FROM (SELECT {sql_source("doc_id")} AS source, length(trim(substr(text, 1, CAST(doc_id % 31 AS INTEGER)))) AS n FROM documents)
+@catalog.query(f"""SELECT source, count(*) AS kept, CAST(sum(n) AS BIGINT) AS chars FROM (
+  SELECT {sql_source("doc_id")} AS source, length(trim(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, CAST(doc_id % 31 AS INTEGER)) ELSE text END)) AS n FROM documents)
   WHERE n >= CASE source WHEN 'goodreads' THEN 20 WHEN 'openlibrary' THEN 1 WHEN 'bookbub' THEN 1 ELSE 2 END GROUP BY 1""")
 def review_min_chars(t: Tables):
-    reviews = t.documents.select(source_of(F.col("doc_id")).alias("source"), F.trim(F.expr("substr(text, 1, int(doc_id % 31))")).alias("text"))
-    return artefacts.usable_reviews(reviews).groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
+    """Whole texts; every third is cut short, so that each shop's least length decides some rows."""
+    body = F.expr("IF(doc_id % 3 = 0, substr(text, 1, int(doc_id % 31)), text)")
+    reviews = t.documents.select(source_of(F.col("doc_id")).alias("source"), F.trim(body).alias("text"))
+    return artefacts.usable_reviews(reviews).groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("text")).cast("bigint").alias("chars"))

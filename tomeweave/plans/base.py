@@ -19,16 +19,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def wide(self, name: str) -> DataFrame:
-        """A text table for heavy per-row work.
-
-        A table of few, unsplittable row groups would keep most cores idle, so it is dealt out
-        again; a table with enough scan tasks (any large one) is left as it is.
-        """
-        table = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
 
 @dataclass
 class Catalog:

@@ -131,7 +131,7 @@ _BODY = """CASE page_id % 7 WHEN 1 THEN '<div class="g-recaptcha"></div>' || htm
    WHEN contains(substr(lower(body), 1, 8192), 'access denied') THEN 'anti-bot interstitial in rendered DOM (''access denied'')' END AS rendered FROM h""")
 def page_walls(t: Tables):
     """Captured responses with a wall marker planted in some of them."""
-    r = t.wide("pages").select(
+    r = t.pages.select(
         "page_id", F.expr(_BODY).alias("body"), F.expr("CASE page_id % 5 WHEN 4 THEN 403 WHEN 3 THEN 429 WHEN 2 THEN 503 ELSE 200 END").alias("status"),
         F.expr("CASE page_id % 11 WHEN 0 THEN 'challenge' WHEN 1 THEN 'allow' END").alias("waf"),
         F.expr("CASE page_id % 13 WHEN 0 THEN 'image/png' WHEN 1 THEN NULL ELSE 'text/html' END").alias("kind"))
@@ -147,7 +147,7 @@ def page_classes(t: Tables):
              "<h1>Page not found</h1>", "<img src=\"crackedegg.jpg\">", "", ""]
     shops = ["amazon", "amazon", "kobo", "bookbub", "bookbub", "audible", "audible", "amazon"]
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("page_id", F.lit(8)) + 1).cast("int"))
-    made = t.wide("pages").select("page_id", pick(shops).alias("source"), F.concat(pick(signs), "html").alias("html"),
+    made = t.pages.select("page_id", pick(shops).alias("source"), F.concat(pick(signs), "html").alias("html"),
                           F.when(F.pmod("page_id", F.lit(8)) == 5, F.lit("https://www.audible.com/pd/x")).otherwise(
                               F.lit("https://www.example.com/dp/x")).alias("url"))
     return made.select("page_id", walls.page_class(F.col("source"), F.col("url"), F.col("html"), F.lit(False)).alias("page_class"))
@@ -176,5 +176,5 @@ def host_limits(t: Tables):
     kind = F.pmod("page_id", F.lit(4))
     host = (F.when(kind == 1, F.lit("covers.openlibrary.org")).when(kind == 2, F.concat(F.lit("ia"), F.col("page_id").cast("string"), F.lit(".us.archive.org")))
             .when(kind == 3, F.lit("openlibrary.org")).otherwise(host_of(F.col("url"))))
-    found = t.wide("pages").select("page_id", host.alias("host"))
+    found = t.pages.select("page_id", host.alias("host"))
     return found.withColumn("limits", hosts.host_limits(F.col("host"), 1.0, 2.0, 25)).select("page_id", "host", "limits.min_delay", "limits.timeout")

@@ -22,7 +22,7 @@ _BASE_SQL = f"""b AS (SELECT p_partkey AS k, {sql_isbn13("p_partkey")} AS isbn13
 
 
 def _base(t: Tables) -> DataFrame:
-    rows = t.wide("part").withColumn("isbn13", book_isbn13("p_partkey"))
+    rows = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
     return rows.selectExpr("p_partkey AS k", "isbn13", "concat('10-', p_partkey) AS isbn10", "p_name AS title", "p_brand AS maker", "lower(p_type) AS kind",
                            "p_size AS size", "date_add(date'2001-01-01', int(p_partkey % 5000)) AS day")
 

@@ -16,40 +16,41 @@ def sql_fold(x: str) -> str:
 
 
 # ------------------------------------------------------------------ cleaning
-@catalog.query("""WITH d AS (SELECT doc_id, '  ' || replace(text, '. ', ' & ' || chr(10) || chr(10) || chr(10) || chr(10)) || chr(9) || 'é…< z' AS s FROM documents),
+@catalog.query("""WITH d AS (SELECT doc_id, '  ' || replace(text, '. ', ' & ' || chr(10) || chr(10) || chr(10) || chr(10)) || chr(9) || 'é…< z – ’’ {,¬it; ' || CASE WHEN doc_id % 50 = 0 THEN '½⟺' ELSE '' END AS s FROM documents),
   c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(s, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS s FROM d)
   SELECT doc_id, md5(s) AS digest, length(s) AS chars FROM c""")
 def clean_text(t: Tables):
     """Documents dirtied with entities, carriage returns, control and zero-width characters."""
-    dirty = F.concat(F.lit("  "), F.replace("text", F.lit(". "), F.lit(" &amp;\x07 \r\n\r\n\n\n")), F.lit("\t&eacute;&hellip;&#60;​&nbsp;&#x7a; "))
-    cleaned = t.wide("documents").select("doc_id", text.clean(dirty).alias("s"))
+    dirty = F.concat(F.lit("  "), F.replace("text", F.lit(". "), F.lit(" &amp;\x07 \r\n\r\n\n\n")), F.lit("\t&eacute;&hellip;&#60;​&nbsp;&#x7a; &#150; &#146;&#x92; &#123;&#44;&notit; "),
+                     F.expr("IF(doc_id % 50 = 0, '&half;&#x1;&Longleftrightarrow;', '')"))
+    cleaned = text.clean_rows(t.documents.select("doc_id", dirty.alias("s")), "s")
     return cleaned.select("doc_id", F.md5("s").alias("digest"), F.length("s").cast("bigint").alias("chars"))
 
 
 @catalog.query(f"SELECT doc_id, md5({sql_fold('text')}) AS digest FROM documents")
 def fold_text(t: Tables):
-    return t.wide("documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("digest"))
+    return t.documents.select("doc_id", F.md5(text.fold(F.col("text"))).alias("digest"))
 
 
 @catalog.query(f"""SELECT conv_id, turn, {sql_fold("regexp_split_to_array(text, '\\s*(?::|;|\\s[-–—]\\s|\\(|\\[)\\s*')[1]")} AS main FROM (
   SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role || ': ' || text WHEN 1 THEN replace(text, '. ', ' (') ELSE replace(text, ', ', ' - ') END AS text FROM conversations)""")
 def main_parts(t: Tables):
     made = F.expr("CASE turn % 3 WHEN 0 THEN concat(role, ': ', text) WHEN 1 THEN replace(text, '. ', ' (') ELSE replace(text, ', ', ' - ') END")
-    return t.wide("conversations").select("conv_id", "turn", text.main_part(made).alias("main"))
+    return t.conversations.select("conv_id", "turn", text.main_part(made).alias("main"))
 
 
 @catalog.query("""SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text || chr(10) || 'tail', '^\\s+|\\s+$', '', 'g'), '\\n+', chr(10), 'g') || chr(10)) AS digest FROM conversations""")
 def file_text(t: Tables):
     """What a text file of each turn would hold."""
     raw = F.concat(F.regexp_replace("text", "\\n+", "\r\n"), F.lit("\r\ntail \r\n"))
-    return t.wide("conversations").select("conv_id", "turn", F.md5(text.utf8_lines(raw)).alias("digest"))
+    return t.conversations.select("conv_id", "turn", F.md5(text.utf8_lines(raw)).alias("digest"))
 
 
 @catalog.query("""SELECT doc_id, length(replace(text, '*', '')) + length(regexp_replace(regexp_replace(text, '\\*{2,}', '', 'g'), '[^*]', '', 'g')) AS kept FROM (
   SELECT doc_id, replace(text, ', ', '** *') AS text FROM documents)""")
 def bold_marks(t: Tables):
     made = F.replace("text", F.lit(", "), F.lit("** *"))
-    return t.wide("documents").select("doc_id", F.length(text.drop_bold_marks(made)).cast("bigint").alias("kept"))
+    return t.documents.select("doc_id", F.length(text.drop_bold_marks(made)).cast("bigint").alias("kept"))
 
 
 @catalog.query("""WITH d AS (SELECT doc_id, text || ' ' || text AS s, split_part(text || ' ' || text, chr(10), 1) AS f FROM documents),
@@ -57,20 +58,20 @@ def bold_marks(t: Tables):
   SELECT doc_id, md5(CASE WHEN length(f) >= 40 AND again > 0 THEN regexp_replace(substr(s, 1, length(f) + again - 1), '^\\s+|\\s+$', '', 'g') ELSE s END) AS digest FROM p""")
 def blurb_repair(t: Tables):
     twice = F.concat("text", F.lit(" "), "text")
-    return t.wide("documents").select("doc_id", F.md5(text.repair_repeated(twice)).alias("digest"))
+    return t.documents.select("doc_id", F.md5(text.repair_repeated(twice)).alias("digest"))
 
 
 @catalog.query("""WITH c AS (SELECT conv_id, turn, text, CASE turn % 2 WHEN 0 THEN upper(substr(text, 1, 15)) ELSE role END AS h FROM conversations)
   SELECT conv_id, turn, md5(CASE WHEN starts_with(lower(text), lower(h)) THEN text ELSE h || chr(10) || chr(10) || text END) AS digest FROM c""")
 def review_headings(t: Tables):
     heading = F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 1, 15))).otherwise(F.col("role"))
-    return t.wide("conversations").select("conv_id", "turn", F.md5(text.with_heading(heading, F.col("text"))).alias("digest"))
+    return t.conversations.select("conv_id", "turn", F.md5(text.with_heading(heading, F.col("text"))).alias("digest"))
 
 
 @catalog.query("""SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 1 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END) AS digest FROM conversations""")
 def editorial_notes(t: Tables):
     made = F.expr("CASE turn % 3 WHEN 0 THEN concat(text, ' Librarian\\'s note: x') WHEN 1 THEN concat('Librarians note: skip\\n\\n', text) ELSE text END")
-    return t.wide("conversations").select("conv_id", "turn", F.md5(text.drop_librarian_note(made)).alias("digest"))
+    return t.conversations.select("conv_id", "turn", F.md5(text.drop_librarian_note(made)).alias("digest"))
 
 
 # ------------------------------------------------------------------ titles and people
@@ -139,7 +140,7 @@ def split_lists(t: Tables):
   f AS (SELECT doc_id, lower(replace(trim(word), 'ß', 'ss')) AS k, arg_min(word, i) AS word, min(i) AS i FROM w WHERE trim(word) <> '' GROUP BY 1, 2)
   SELECT doc_id, count(*) AS words, md5(string_agg(word, ' ' ORDER BY i)) AS digest FROM f GROUP BY 1""")
 def ordered_dedupe(t: Tables):
-    kept = t.wide("documents").select("doc_id", lists.dedupe(F.split("text", " ")).alias("w"))
+    kept = t.documents.select("doc_id", lists.dedupe(F.split("text", " ")).alias("w"))
     return kept.select("doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ")).alias("digest")).where("words > 0")
 
 
@@ -149,14 +150,14 @@ _LANGS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGE_NAMES.item
 @catalog.query(f"""SELECT name, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 4 THEN 'Klingonese' ELSE coalesce({_LANGS_SQL}[lang], lang) END AS name FROM documents) GROUP BY 1""")
 def language_names(t: Tables):
     raw = F.expr("CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN concat(upper(lang), '-XX') WHEN 2 THEN concat(lang, '_AT') WHEN 3 THEN concat(' ', lang, ' ') ELSE 'klingonese' END")
-    return t.wide("documents").select(text.language_name(raw).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return t.documents.select(text.language_name(raw).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @catalog.query("""SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source, 'Fiction'] END, ', ') AS genre FROM documents""")
 def genre_union(t: Tables):
     own = F.array("lang", F.concat(F.lit(" "), "source", F.lit(" ")), F.upper("lang"))
     record = F.array(F.upper("source"), F.lit(""), F.lit("Fiction"), F.lit("fiction"))
-    return t.wide("documents").select("doc_id", lists.genre_text(lists.union_genres(own, record)).alias("genre"))
+    return t.documents.select("doc_id", lists.genre_text(lists.union_genres(own, record)).alias("genre"))
 
 
 @catalog.query("""SELECT p_partkey, p_brand AS publisher, p_type AS "language", 'n' || p_size AS pages FROM part""")
@@ -181,7 +182,7 @@ def iso_dates(t: Tables):
              F.concat(F.lit("c. "), shape("yyyy")), shape("dd/MM/yyyy"), shape("yyyy/M/d"), shape("yyyy-M"), shape("d MMM yyyy"), shape("MM/dd/yyyy"),
              F.concat(F.lit(" "), "o_orderpriority"), F.lit("  ")]
     raw = F.element_at(F.array(*forms), (F.pmod("o_orderkey", F.lit(12)) + 1).cast("int"))
-    dated = t.wide("orders").select("o_orderkey", dates.iso_date(raw).alias("iso"))
+    dated = t.orders.select("o_orderkey", dates.iso_date(raw).alias("iso"))
     return dated.select("o_orderkey", "iso", dates.date_precision(F.col("iso")).alias("precision"))
 
 
@@ -198,7 +199,7 @@ def pacific_dates(t: Tables):
 @catalog.query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS short, strftime(o_orderdate, '%Y-%m-%d') AS stamp FROM orders")
 def short_dates(t: Tables):
     day = F.col("o_orderdate").cast("date")
-    return t.wide("orders").select("o_orderkey", dates.us_short_date(F.date_format(day, "MM-dd-yy")).alias("short"),
+    return t.orders.select("o_orderkey", dates.us_short_date(F.date_format(day, "MM-dd-yy")).alias("short"),
                            dates.stamp_date(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("stamp"))
 
 
@@ -207,5 +208,5 @@ def phrase_dates(t: Tables):
     day = F.col("o_orderdate").cast("date")
     reviewed = F.concat(F.lit("Reviewed in the United States on "), F.date_format(day, "MMMM d, yyyy"))
     made = F.concat(F.lit("Published "), F.date_format(day, "MMMM yyyy"), F.lit(" by "), "o_orderpriority")
-    parts = t.wide("orders").select("o_orderkey", dates.iso_date(dates.reviewed_on(reviewed)).alias("reviewed"), dates.published_by(made).alias("p"))
+    parts = t.orders.select("o_orderkey", dates.iso_date(dates.reviewed_on(reviewed)).alias("reviewed"), dates.published_by(made).alias("p"))
     return parts.select("o_orderkey", "reviewed", F.col("p.date").alias("published"), F.col("p.publisher").alias("publisher"))
