@@ -108,3 +108,18 @@ def test_image_types_from_files(spark, tmp_path):
     images = stores.read_images(spark, str(tmp_path))
     got = {r["url"][-5:]: r["e"] for r in images.select("url", image_ext(F.col("content"), F.lit(None).cast("string"), F.col("url")).alias("e")).collect()}
     assert got == {"a.jpg"[-5:]: "png", "b.PNG"[-5:]: "png"}
+
+
+def test_upserts_write_only_touched_buckets_and_can_run_again(spark, tmp_path):
+    from tomeweave.streaming import incremental
+
+    root = str(tmp_path / "keyed")
+    apply = incremental.upsert_batches(spark, root, ["k"], ["ts"], buckets=4)
+    make = lambda *rows: spark.createDataFrame(list(rows), "k string, ts bigint, v string")
+    batches = [make(*[(f"k{i}", 1, "old") for i in range(20)]), make(("k3", 2, "new"), ("k3", 3, "newer"), ("k99", 2, "new")), make(("k99", 5, "last"))]
+    for number in (0, 1, 1, 2, 2):
+        apply(batches[number], number)
+    held = incremental._manifest(spark, root, 2)
+    got = {(r["k"], r["ts"], r["v"]) for r in incremental.stored(spark, root, held, batches[0]).collect()}
+    assert got == {(f"k{i}", 1, "old") for i in range(20) if i != 3} | {("k3", 3, "newer"), ("k99", 5, "last")}
+    assert len([b for b in held.values() if b == 2]) == 1 and 0 in held.values()

@@ -40,6 +40,8 @@ class _Tokens(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        # how many of each tag are open, so that no event has to look through the open ones
+        self.count: dict[str, int] = {}
 
     def _add(self, tag, attrs, text):
         self.rows.append([len(self.rows), len(self.rows), tag, attrs, text])
@@ -47,20 +49,22 @@ class _Tokens(HTMLParser):
 
     def _pop(self):
         at = self.open.pop()
+        self.count[self.rows[at][2]] -= 1
         if self.rows[at][2] in _BLOCKS:
             self._add("/block", (), None)
         self.rows[at][1] = len(self.rows) - 1
 
     def _close_implied(self, tag):
-        names = [self.rows[i][2] for i in self.open]
-        if tag in _CLOSES_P and "p" in names:
+        if tag in _CLOSES_P and self.count.get("p"):
             while self.rows[self.open[-1]][2] != "p":
                 self._pop()
             self._pop()
         closes, fence = _CLOSES.get(tag, ((), ()))
+        if not any(self.count.get(name) for name in closes):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             name = self.rows[self.open[depth]][2]
-            if name in fence or not closes:
+            if name in fence:
                 break
             if name in closes:
                 while len(self.open) > depth:
@@ -75,6 +79,7 @@ class _Tokens(HTMLParser):
         at = self._add(tag, tuple(seen.items()), None)
         if tag not in _VOID:
             self.open.append(at)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -82,15 +87,14 @@ class _Tokens(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if any(self.rows[i][2] == tag for i in self.open):
+        if self.count.get(tag):
             while self.rows[self.open[-1]][2] != tag:
                 self._pop()
             self._pop()
 
     def handle_data(self, data):
-        inside = [self.rows[i][2] for i in self.open]
-        kind = ("#raw" if any(t in _RAW for t in inside)
-                else "#hidden" if "noscript" in inside else "#text")
+        kind = ("#raw" if any(self.count.get(t) for t in _RAW)
+                else "#hidden" if self.count.get("noscript") else "#text")
         self._add(kind, (), data if kind == "#raw" else html.unescape(data))
 
     def nodes(self, page):

@@ -40,4 +40,4 @@ def stream_upsert(t: Tables):
 @catalog.query("SELECT DISTINCT 'b' || (event_id % 313) AS isbn13 FROM events")
 def stream_dedupe(t: Tables):
     entries = _stream(t).events.select(F.expr("concat('b', event_id % 313)").alias("isbn13"), F.col("ts").cast("timestamp").alias("ts"))
-    return incremental.run_to_table(incremental.first_seen(entries, "3650 days").select("isbn13"), "isbn13 string", "dedupe")
+    return incremental.run_to_table(incremental.first_seen(entries, "1 day").select("isbn13"), "isbn13 string", "dedupe")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..fixed import PAUSE_SECONDS, PAUSE_STEPS, STRIKES_BEFORE_PAUSE
@@ -60,17 +61,40 @@ def first_seen(entries: DataFrame, delay: str) -> DataFrame:
     return entries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["isbn13"])
 
 
-def upsert_batches(spark: SparkSession, root: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, root: str, number: int) -> dict[int, int]:
+    """Which batch wrote each bucket's latest rows, as of a batch; at most one row per bucket."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["batch"] for r in spark.read.parquet(f"{root}/manifest/number={number}").collect()}
+
+
+def stored(spark: SparkSession, root: str, held: dict[int, int], like: DataFrame) -> DataFrame:
+    """The rows of some buckets."""
+    paths = [f"{root}/data/number={batch}/_bucket={bucket}" for bucket, batch in sorted(held.items())]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
+
+def upsert_batches(spark: SparkSession, root: str, keys: list[str], order: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` body that replaces stored records by key.
 
-    Every batch writes a new snapshot beside the old one, named by its batch number, so a batch
-    that is run again after a failure reads the same predecessor and writes the same snapshot.
+    Records lie in buckets by a hash of their key, and a batch writes new only the buckets it
+    touches, beside the old ones; a small manifest per batch names each bucket's latest files.  A
+    batch that is run again after a failure reads the same manifest and writes the same files.
     """
     def apply(batch: DataFrame, number: int) -> None:
-        new = latest(batch, keys, order)
-        if number > 0:
-            new = upsert(spark.read.parquet(f"{root}/snapshot={number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{root}/snapshot={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = latest(batch, keys, order).persist()
+        held = _manifest(spark, root, number - 1)
+        touched = {r[0] for r in new.select(bucket).distinct().collect()}
+        merged = upsert(stored(spark, root, {b: held[b] for b in touched & held.keys()}, new), new, keys)
+        merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/data/number={number}")
+        held |= dict.fromkeys(touched, number)
+        (spark.createDataFrame(sorted(held.items()), "bucket int, batch bigint").coalesce(1)
+         .write.mode("overwrite").parquet(f"{root}/manifest/number={number}"))
+        new.unpersist()
     return apply
 
 
@@ -89,14 +113,20 @@ def run_to_table(stream: DataFrame, schema, name: str) -> DataFrame:
 
 
 def run_upserts(stream: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Run the keyed upsert over what is there now and return the last snapshot."""
+    """Run the keyed upsert over what is there now and return the records."""
     spark = stream.sparkSession
     root = scratch(spark, name)
-    query = (stream.writeStream.foreachBatch(upsert_batches(spark, f"{root}/out", keys, order))
-             .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
-    query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
-    return spark.read.parquet(f"{root}/out/snapshot={last}")
+    done = [-1]
+    apply = upsert_batches(spark, f"{root}/out", keys, order)
+
+    def counted(batch: DataFrame, number: int) -> None:
+        apply(batch, number)
+        done.append(number)
+
+    (stream.writeStream.foreachBatch(counted).option("checkpointLocation", f"{root}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    empty = spark.createDataFrame([], stream.schema)
+    return stored(spark, f"{root}/out", _manifest(spark, f"{root}/out", max(done)), empty)
 
 
 __all__ = ["HostStreak", "first_seen", "host_streaks", "run_to_table", "run_upserts", "upsert_batches"]
