@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duration_text, rating_text
 from ..functions.urls import host_of
-from ..operators import hosts, outcomes, report, walls
+from ..operators import hosts, outcomes, passes, report, walls
 from .base import Catalog, Tables
-from .derive import FETCH_SQL, OUTCOMES_SQL, fetch_log, outcomes as derived_outcomes
+from .derive import FETCH_SQL, OUTCOMES_SQL, SOURCES_SQL, fetch_log, source_of, sql_source
+from .derive import outcomes as derived_outcomes
 
 catalog = Catalog()
 
@@ -52,6 +53,48 @@ def block_registry(t: Tables):
     return outcomes.block_registry(fetch_log(t)).select("host", "seq", "registered")
 
 
+_RUN_SQL = f"""{_SUMMARY_SQL}, books AS (SELECT DISTINCT event_id % 997 AS n FROM events),
+pairs AS (SELECT n, '978' || lpad(CAST(n AS VARCHAR), 10, '0') AS isbn13, unnest({SOURCES_SQL}) AS source FROM books),
+before AS (SELECT 'no_data' AS kind, isbn13, source FROM pairs WHERE source = {sql_source("(n + 1)")} AND n % 2 = 0
+  UNION ALL SELECT 'incomplete', isbn13, source FROM pairs WHERE source = {sql_source("n")} AND n % 3 = 0),
+found AS (SELECT '978' || lpad(CAST(doc_id % 997 AS VARCHAR), 10, '0') AS isbn13, {sql_source("doc_id")} AS source, min(doc_id) AS d FROM documents GROUP BY ALL),
+passes AS (SELECT p.isbn13, p.source, f.d IS NOT NULL AS has, f.d % 2 = 1 AS flawed, coalesce(f.d % 4 = 0, false) AS incomplete,
+    s.block_reason, coalesce(s.responded_hosts, 0) AS responded,
+    NOT EXISTS (FROM before b WHERE b.kind = 'incomplete' AND b.isbn13 = p.isbn13 AND b.source = p.source)
+    AND (p.source = {sql_source("p.n")} OR EXISTS (FROM before b WHERE b.kind = 'no_data' AND b.isbn13 = p.isbn13 AND b.source = p.source)) AS skipped
+  FROM pairs p LEFT JOIN found f USING (isbn13, source) LEFT JOIN summary s USING (isbn13, source)),
+run_outcomes AS (SELECT *, CASE WHEN skipped THEN 'skipped' WHEN NOT has AND block_reason IS NOT NULL THEN 'blocked' WHEN NOT has THEN 'empty' WHEN flawed THEN 'partial' ELSE 'ok' END AS status,
+  skipped OR has OR (block_reason IS NULL AND responded > 0) AS trustworthy FROM passes)"""
+
+
+def _run(t: Tables):
+    """Books of the fetch log, records of the documents, and a state before made of both."""
+    number = F.pmod("event_id", F.lit(997))
+    pairs = (t.events.select(number.alias("n")).distinct()
+             .select("n", F.concat(F.lit("978"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("isbn13")))
+    stored = pairs.select("n", "isbn13", source_of(F.col("n")).alias("source"))
+    absent = pairs.where("n % 2 = 0").select("isbn13", source_of(F.col("n") + 1).alias("source"), F.lit("no_data").alias("kind"))
+    ledgers = absent.unionByName(stored.where("n % 3 = 0").select("isbn13", "source", F.lit("incomplete").alias("kind")))
+    book = F.concat(F.lit("978"), F.lpad(F.pmod("doc_id", F.lit(997)).cast("string"), 10, "0"))
+    least = t.documents.groupBy(book.alias("isbn13"), source_of(F.col("doc_id")).alias("source")).agg(F.min("doc_id").alias("d"), F.min_by("text", "doc_id").alias("title"))
+    one = F.array(F.lit("x"))
+    records = least.select("isbn13", "source", "title", one.alias("authors"), F.expr("IF(d % 2 = 1, '', 'p')").alias("publisher"), F.lit("o").alias("origin"),
+                           F.lit("2020").alias("date_of_publication"), F.lit("en").alias("language"), one.alias("genres"), (F.col("d") % 4 == 0).alias("incomplete"))
+    return passes.run(pairs, stored, ledgers, records, fetch_log(t))
+
+
+@catalog.query(f"WITH {_RUN_SQL} SELECT isbn13, source, status, trustworthy FROM run_outcomes")
+def run_outcomes(t: Tables):
+    return _run(t).outcomes.select("isbn13", "source", "status", "trustworthy")
+
+
+@catalog.query(f"""WITH {_RUN_SQL}, changes AS (SELECT source, 'no_data' AS kind, isbn13, 'note' AS op FROM run_outcomes WHERE status = 'empty' AND trustworthy
+    UNION ALL SELECT source, 'incomplete', isbn13, CASE WHEN incomplete THEN 'note' ELSE 'discard' END FROM run_outcomes WHERE status <> 'skipped' AND (incomplete OR has))
+  SELECT source, kind, isbn13 FROM changes WHERE op = 'note' UNION SELECT source, kind, isbn13 FROM before ANTI JOIN changes USING (source, kind, isbn13)""")
+def run_ledgers(t: Tables):
+    return _run(t).ledgers
+
+
 # ------------------------------------------------------------------ reports
 @catalog.query(f"""WITH {OUTCOMES_SQL} SELECT source, count(*) AS seen, count(*) FILTER (WHERE has_metadata) AS metadata, CAST(sum(reviews) AS BIGINT) AS reviews,
   CAST(sum(covers) AS BIGINT) AS covers, count(*) FILTER (WHERE status='ok') AS ok, count(*) FILTER (WHERE status='partial') AS partial, count(*) FILTER (WHERE status='empty') AS empty,
