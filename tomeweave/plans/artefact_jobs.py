@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import artefacts
+from ..stores import review_pages
 from .base import Catalog, Tables
 from .derive import source_of, sql_source
+from .texts import sql_fold
 
 catalog = Catalog()
 
@@ -133,3 +136,45 @@ def review_min_chars(t: Tables):
     body = F.expr("IF(doc_id % 3 = 0, substr(text, 1, int(doc_id % 31)), text)")
     reviews = t.documents.select(source_of(F.col("doc_id")).alias("source"), F.trim(body).alias("text"))
     return artefacts.usable_reviews(reviews).groupBy("source").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+# ------------------------------------------------------------------ captured review pages
+_PAGED = r"""WITH p AS (SELECT doc_id % 40 AS b, doc_id // 40 AS page_no, doc_id, source AS author,
+    trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS t FROM documents),
+k AS (SELECT *, {key} AS k FROM p WHERE length(t) >= 2),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY b, k ORDER BY page_no) = 1)
+SELECT b AS book, row_number() OVER (PARTITION BY b ORDER BY page_no) AS n, md5('Reviewer: ' || author || chr(10) || chr(10) || t) AS digest FROM f
+QUALIFY row_number() OVER (PARTITION BY b ORDER BY page_no) <= 20"""
+
+
+def _paged(t: Tables, source: str, body: str) -> DataFrame:
+    """Every document as the one review of a captured reply; its whole text passes the reader."""
+    safe = "replace(replace(text, '&', '&amp;'), '<', '&lt;')"
+    pages = t.documents.select(F.expr("string(doc_id % 40)").alias("isbn13"), F.lit(source).alias("source"), F.expr("doc_id div 40").alias("page_no"),
+                               F.expr(body.format(safe=safe)).alias("body"))
+    first = spark_empty(t)
+    done = review_pages.review_path(review_pages.with_pages(first, pages), 20)
+    return done.select(F.col("isbn13").cast("bigint").alias("book"), "n", F.md5("body").alias("digest"))
+
+
+def spark_empty(t: Tables) -> DataFrame:
+    """No first page: all reviews come from the captured replies."""
+    return t.spark.createDataFrame([], "isbn13 string, source string, pos bigint, review_id string, text string, reviewer string, rating string, date string, url string")
+
+
+@catalog.query(_PAGED.format(key="lower(author) || '|' || substr(lower(regexp_replace(t, '\\s+', ' ', 'g')), 1, 180)"))
+def review_pages_kobo(t: Tables):
+    return _paged(t, "kobo", "concat('<div class=\"review-item\"><span class=\"review-author\">', source, '</span><p class=\"review-text\">', {safe}, '</p></div>')")
+
+
+@catalog.query(_PAGED.format(key=f"substr({sql_fold('t')}, 1, 400)"))
+def review_pages_audible(t: Tables):
+    return _paged(t, "audible", "concat('<adbl-review-tile reviewer=\"', source, '\"><adbl-text-block slot=\"review-summary\">', {safe}, '</adbl-text-block></adbl-review-tile>')")
+
+
+@catalog.query(_PAGED.format(key=r"lower(trim(regexp_replace(substr(t, 1, 200), '[^\p{L}\p{N}_]+', ' ', 'g')))").replace("length(t) >= 2", "length(t) >= 20 AND doc_id % 9 <> 0"))
+def review_pages_goodreads(t: Tables):
+    """Ids differ, so the opening words decide; every ninth reply reports an error and holds nothing."""
+    body = ("IF(doc_id % 9 = 0, '{{\"errors\": [1]}}', to_json(named_struct('data', named_struct('getReviews', named_struct('edges', array(named_struct('node', "
+            "named_struct('id', concat('r', doc_id), 'text', {safe}, 'creator', named_struct('name', source)))))))))")
+    return _paged(t, "goodreads", body)
