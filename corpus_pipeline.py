@@ -30,13 +30,15 @@ def _scratch(spark: SparkSession, name: str) -> Scratch:
     return _open[-1]
 
 
-def _retexted(docs: DataFrame, cut: DataFrame, columns: list[str]) -> DataFrame:
-    """``cut(kept, new_text)`` as documents: ``n_chars`` follows the text, and texts that lost all their words go."""
-    changed = ~F.col("new_text").eqNullSafe(F.col("kept.text"))
-    emptied = changed & ~F.col("new_text").rlike(WORD) & F.col("kept.text").rlike(WORD)
-    out = {"text": F.col("new_text"), "n_chars": F.when(changed, F.length("new_text").cast("bigint")).otherwise(F.col("kept.n_chars"))}
-    return cut.where(~F.coalesce(emptied, F.lit(False))).select(*[
-        (out[c] if c in out else F.col("kept")[c]).cast(docs.schema[c].dataType).alias(c) for c in columns])
+def _retexted(cut: DataFrame, gone: str, docs: DataFrame) -> DataFrame:
+    """``cut(rest, text, gone)`` as documents; a text that lost all its words goes.
+
+    Where words are gone, ``n_chars`` follows the text.
+    """
+    n_chars = F.when(F.col(gone) > 0, F.length("text").cast("bigint")).otherwise(F.col("rest.n_chars"))
+    out = {"text": F.col("text"), "n_chars": n_chars}
+    left = cut.where((F.col(gone) == 0) | F.col("text").rlike(WORD))
+    return left.select(*[(out[c] if c in out else F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +55,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of ``REPEAT_WORDS`` words or more that stand anywhere else."""
-    found = substring_dedup.substring_dedup(docs, REPEAT_WORDS, keep=tuple(docs.columns), scratch=_scratch(spark, "repeats"))
-    new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("kept.text"))
-    return _retexted(docs, found.select("kept", new.alias("new_text")), docs.columns)
+    rest = tuple(c for c in docs.columns if c != "text")
+    found = substring_dedup.substring_dedup(docs, REPEAT_WORDS, keep=rest, rejoin=False, scratch=_scratch(spark, "repeats"))
+    return _retexted(found.select(F.col("kept").alias("rest"), F.col("kept_text").alias("text"), "n_removed"), "n_removed", docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the phrases of ``BENCHMARK_WORDS`` words of benchmark items."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    kept = docs.withColumn("kept", F.struct(*docs.columns)).select("kept", "doc_id", "text")
-    cut = decontaminate.remove_contamination(kept, benchmark, BENCHMARK_WORDS)
-    return _retexted(docs, cut.select("kept", F.col("text").alias("new_text")), docs.columns)
+    return _retexted(decontaminate.remove_contamination(docs, benchmark, BENCHMARK_WORDS), "n_hit", docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

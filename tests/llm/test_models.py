@@ -92,11 +92,12 @@ def test_held_out_quality(spark):
     rows = quality_rows()
     docs = spark.createDataFrame([r for r, _ in rows] + [cases.row(None, None), cases.row(None, ""), rows[0][0]], cases.SCHEMA)
     labels = spark.createDataFrame([(r[0], q) for i, (r, q) in enumerate(rows) if i % 2] + [(None, 1), (4, None)], "doc_id bigint, quality int")
-    got = quality_scores(docs, labels, sample=200, keep=("kept", "score"))
+    got = quality_scores(docs, labels, sample=200, keep=("kept", "score", "text"))
     assert got.columns == ["doc_id", "held_out", "score", "predicted", "kept"]
     found = got.collect()
     truth = {r[0]: q for r, q in rows}
-    assert len(found) == len(rows) + 3 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["kept"]["score"] == 0.5 for r in found)
+    said = {r[1] for r, _ in rows} | {None, ""}
+    assert len(found) == len(rows) + 3 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["kept"]["score"] == 0.5 and r["kept"]["text"] in said for r in found)
     held = [r for r in found if r["doc_id"] is not None and r["held_out"]]
     assert all(r["held_out"] == (rest(r["doc_id"], 5) == 0) for r in found)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)

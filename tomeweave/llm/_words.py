@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -45,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(16, int(n - 1).bit_length())
+            size = (n // 65536 + 2) * 65536
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
                 self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse)]), dtype=np.uint64)
@@ -119,6 +119,7 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def windows(words: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -30,13 +30,28 @@ from tomeweave.llm._words import SPACES, Words, binaries, pieces
 
 HEAD_WORDS, CLASS_WORDS, CLASSES, PASSES = 200_000, 4096, 32, 4
 SMOOTH = 0.1
+MERGE = 500_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, merged over some hundred thousand before they leave the task."""
+    keys, counts = [], []
+
+    def merged() -> pa.RecordBatch:
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
+
     for batch in batches:
-        for _, _, data, offsets in pieces(batch.column("text"), 8 << 20):
+        for _, _, data, offsets in pieces(batch.column("text")):
             key, n = np.unique(Words(data, offsets, SPACES, True).hash, return_counts=True)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            keys.append(key)
+            counts.append(n)
+            if sum(map(len, keys)) > MERGE:
+                yield merged()
+                keys, counts = [], []
+    if keys:
+        yield merged()
 
 
 @dataclass

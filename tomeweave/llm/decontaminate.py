@@ -24,6 +24,7 @@ from tomeweave.llm._words import MARKS, Words, pieces
 SHARD = 1 << 19
 BLOCK_BYTES = 16 << 20
 SAMPLE = 8
+ROWS = 500
 
 
 class Phrases:
@@ -229,7 +230,7 @@ def _search(shared, names: list[str], all_rows: bool):
                 shard = shard or _Shard(phrases, names)
                 shard.add(Words(data, offsets, MARKS, True), tuple(batch.column(c).slice(low, high - low) for c in names))
                 shard.bytes += len(data)
-                if shard.weight >= SHARD or shard.bytes >= 24 << 20:
+                if shard.weight >= SHARD or shard.bytes >= 8 << 20:
                     yield ready()
                     shard = None
         if shard:
@@ -256,31 +257,14 @@ MERGED = """aggregate(array_sort(flatten(all_spans)), CAST(array() AS array<stru
          ELSE concat(done, array(s)) END)"""
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id",
-                  item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Where the words of benchmark items stand in documents.
-
-    Words are runs of ASCII letters (capitals as small ones), digits and all that is not ASCII.  A
-    phrase is ``window`` consecutive words of an item, or the whole of a shorter item.  Returns
-    ``id_col``, ``n_words``, ``n_hit``, ``spans`` (merged ranges of hit words) and ``items`` (ids
-    of the items with a phrase there, as strings, in order).
-
-    * Null and empty texts have no words, on either side; an item without words is never found.
-    * Items with one id count once; a null item id hits words but is not listed.
-    * Repeated rows come back as often as they stand; ids may be null or repeated.
-    * Columns that ``keep`` names come along in a struct ``kept``; all others are left out.
-    * An empty table gives an empty table; an empty benchmark finds nothing.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("row"), F.col(id_col).alias("id"),
-                       *([F.struct(*keep).alias("kept")] if keep else []), F.col(text).alias("text"))
-    found = more = None
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text: str, block_bytes: int, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``rows(row, id, ..., text)`` with ``n_words``, ``n_hit``, ``spans`` and ``items``."""
+    spark, found, more = rows.sparkSession, None, None
     for items, texts in _blocks(benchmark, item_col, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(Phrases(items, texts, window))
-        part = (rows if found is None else rows.select("row", "text"))
-        names = [c for c in part.columns if c != "text"]
-        kind = ", ".join(f"{c} {part.schema[c].dataType.simpleString()}" for c in names)
-        part = part.mapInArrow(_search(shared, names, found is None), FOUND.format(kind=kind))
+        part, wanted = (rows, names) if found is None else (rows.select("row", "text"), ["row"])
+        kind = ", ".join(f"{c} {part.schema[c].dataType.simpleString()}" for c in wanted)
+        part = part.mapInArrow(_search(shared, wanted, found is None), FOUND.format(kind=kind))
         if found is None:
             found = part
         else:
@@ -294,17 +278,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                  .withColumn("spans", F.expr(MERGED))
                  .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]))
                  .withColumn("items", F.concat("items", F.coalesce("more_items", none))))
-    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", F.array_sort(F.array_distinct("items")).alias("items"),
-                        *(["kept"] if keep else []))
+    return found.withColumn("items", F.array_sort(F.array_distinct("items")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id",
+                  item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Where the words of benchmark items stand in documents.
+
+    Words are runs of ASCII letters (capitals as small ones), digits and all that is not ASCII.  A
+    phrase is ``window`` consecutive words of an item, or the whole of a shorter item.  Returns
+    ``id_col``, ``n_words``, ``n_hit``, ``spans`` (merged ranges of hit words) and ``items`` (ids
+    of the items with a phrase there, as strings, in order).
+
+    * Null and empty texts have no words, on either side; an item without words is never found.
+    * Items with one id count once; a null item id hits words but is not listed.
+    * Repeated rows come back as often as they stand; ids may be null or repeated.
+    * Other columns are left out, so their names cannot clash.
+    * An empty table gives an empty table; an empty benchmark finds nothing.
+    """
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    found = _found(rows, benchmark, window, item_col, item_text, block_bytes, ["row", "id"])
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the bytes from the first to the last word of each span."""
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         out = []
-        texts, spans = batch.column("text"), batch.column("spans")
-        for value, found in zip(texts, spans):
-            if not value.is_valid or not found.is_valid or not len(found):
+        for value, found in zip(batch.column("text"), batch.column("spans")):
+            if not value.is_valid or not len(found):
                 out.append(value.as_py())
                 continue
             data = np.frombuffer(value.as_py().encode(), np.uint8)
@@ -315,16 +317,19 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = words.end[span["end"] - 1]
             parts.append(data[at:].tobytes())
             out.append(b"".join(parts).decode())
-        kept = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "spans")]
-        yield pa.record_batch([*[batch.column(i) for i in kept], pa.array(out, pa.string())], [*[batch.schema.names[i] for i in kept], "text"])
+        yield pa.record_batch([batch.column("rest"), batch.column("n_hit"), batch.column("n_words"), pa.array(out, pa.string())],
+                              ["rest", "n_hit", "n_words", "text"])
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", **names) -> DataFrame:
-    """``docs`` with the bytes from the first to the last word of each hit span cut out of ``text``.
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id",
+                         item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``rest`` (a struct of the other columns), ``n_words``, ``n_hit`` and the text with its hits cut out.
 
-    Same rules as ``contamination``; a null text stays null, and a text without hits stays as it is.
+    From the first to the last word of each hit span all bytes go.  Same rules as
+    ``contamination``; a null text stays null, and a text without hits stays as it is.
     """
-    found = contamination(docs, benchmark, window, text, keep=tuple(docs.columns), **names)
-    cut = found.select("kept", "spans", F.col("kept")[text].alias("text")).mapInArrow(
-        _without, f"kept {found.schema['kept'].dataType.simpleString()}, text string")
-    return cut.select(*[F.col("text").alias(text) if c == text else F.col("kept")[c].alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("row"), F.struct(*rest).alias("rest"), F.col(text).alias("text"))
+    found = _found(rows, benchmark, window, item_col, item_text, block_bytes, ["row", "rest", "text"])
+    kind = rows.schema["rest"].dataType.simpleString()
+    return found.select("rest", "n_hit", "n_words", "spans", "text").mapInArrow(_without, f"rest {kind}, n_hit bigint, n_words bigint, text string")

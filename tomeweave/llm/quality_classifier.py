@@ -32,6 +32,7 @@ for _i, _group in enumerate([b".", b",", b"!", b"?", b"|", b"#*$%&", b"'\"`", b"
     _CLASS[list(_group)] = 7 + _i
 CLASSES = int(_CLASS.max()) + 1
 RATES = 16
+ROWS = 128
 WIDTH = 3 * RATES + CLASSES * CLASSES
 
 
@@ -129,15 +130,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Model(mean, scale, weight, bias, prior)
 
 
-def _scores(shared):
+def _scores(shared, names: list[str]):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names = [x for x in batch.schema.names if x != "text"]
             for low, high, data, offsets in pieces(batch.column("text")):
                 n, scores = high - low, []
-                for a in range(0, n, 512):
-                    b = min(n, a + 512)
+                for a in range(0, n, ROWS):
+                    b = min(n, a + ROWS)
                     scores.append(model.score(features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])))
                 score = np.concatenate(scores)
                 yield pa.record_batch([*[batch.column(x).slice(low, high - low) for x in names], pa.array(score, pa.float64())], [*names, "score"])
@@ -179,12 +179,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     * An empty table gives an empty table.
     """
     model = train(docs, labels, sample, text, id_col, label)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
-    names = [c for c in rows.columns if c != "text"]
+    rest = [c for c in keep if c != text]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
+    names = [c for c in rows.columns if c != "text" or text in keep]
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     if model is None:
         scored = rows.withColumn("score", F.lit(1.0))
     else:
-        scored = rows.select(*names, "text").mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), f"{kind}, score double")
+        scored = rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), names), f"{kind}, score double")
+    kept = [F.struct(*[(F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in keep]).alias("kept")] if keep else []
     return scored.select(F.col("id").alias(id_col), (remainder("id", 5) == 0).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"), *(["kept"] if keep else []))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)

@@ -29,6 +29,7 @@ from tomeweave.llm._store import Scratch
 from tomeweave.llm._words import SPACES, Words, between, binaries, pieces, running, windows
 
 ANCHOR_WORDS = 6
+ROWS = 500
 RUNS = "row bigint, start int, length int, anchor bigint, stretch bigint"
 OPENED = "anchor bigint, stretch bigint, window bigint, row bigint, start int"
 
@@ -140,9 +141,10 @@ def _cover(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _cut(min_words: int):
+def _cut(min_words: int, rejoin: bool):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few rows at a time keep a worker's memory small
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = {"n_words": [], "n_removed": [], "kept_text": [], "repeats": []}
             for text, found in zip(batch.column("text"), batch.column("found")):
                 words = (text.as_py() or "").encode().split()
@@ -155,7 +157,7 @@ def _cut(min_words: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                 out["n_words"].append(len(hit))
                 out["n_removed"].append(int(hit.sum()))
-                out["kept_text"].append(b" ".join(words).decode())
+                out["kept_text"].append(b" ".join(words).decode() if rejoin or hit.any() else text.as_py())
                 out["repeats"].append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
             kept = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "found", "row")]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -166,12 +168,13 @@ def _cut(min_words: int):
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 35, anchor_words: int = ANCHOR_WORDS, text: str = "text",
-                    id_col: str = "doc_id", keep: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+                    id_col: str = "doc_id", keep: tuple[str, ...] = (), rejoin: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Remove every word that a window of ``min_words`` words covers whose words stand anywhere else.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  Windows are judged on the input, so all copies
     of a repeat go.  Returns ``id_col`` and ``n_words``, ``n_removed``, ``kept_text`` (the words
-    left, joined by one space) and ``repeats`` (the maximal repeats as ranges of words).
+    left, joined by one space; without ``rejoin`` a text that loses nothing stays as it is) and
+    ``repeats`` (the maximal repeats as ranges of words).
 
     * Null and empty texts have no words: 0, 0 and an empty ``kept_text``.
     * A row that stands twice is its own copy: its windows are repeats.
@@ -189,6 +192,6 @@ def substring_dedup(docs: DataFrame, min_words: int = 35, anchor_words: int = AN
     names = [c for c in rows.columns if c not in ("text", "row")]
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
     out = (rows.join(found, "row", "left").select(*names, "row", "text", "found")
-           .mapInArrow(_cut(min_words), f"{kind}, n_words bigint, n_removed bigint, kept_text string, "
+           .mapInArrow(_cut(min_words, rejoin), f"{kind}, n_words bigint, n_removed bigint, kept_text string, "
                                         "repeats array<struct<start: bigint, end: bigint>>"))
     return out.withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from tomeweave.llm._words import SPACES, Words, pieces
 
 CHUNK, OVERLAP, STABLE, GUARD = 1 << 16, 1 << 10, 8, 256
 HUGE = 1 << 20
-CACHED = 1_500_000
+CACHED = 1_000_000
 #: ASCII punctuation that may be split off the letter before it; no part of a contraction or of a special token.
 _SPLIT = np.zeros(256, bool)
 _SPLIT[list(b".,!?;:*$%&#()")] = True
@@ -171,10 +171,10 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def encoded(path: str, column: pa.Array, huge: int = HUGE, size: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(path: str, column: pa.Array, huge: int = HUGE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, ids, bounds of each row)."""
     coder = encoder(path)
-    for low, high, data, offsets in pieces(column, size):
+    for low, high, data, offsets in pieces(column):
         if (high == low + 1 and len(data) >= huge) or not coder.exact:
             rows = [encode_huge(coder.tokenizer, data[a:b].tobytes().decode()) for a, b in zip(offsets, offsets[1:])]
             yield low, np.concatenate(rows).astype(np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
@@ -187,7 +187,7 @@ def _count(path: str, chunk: int, overlap: int):
         coder = encoder(path)
         for batch in batches:
             sizes, counts = [], []
-            for _, _, data, offsets in pieces(batch.column("text"), 4 << 20):
+            for _, _, data, offsets in pieces(batch.column("text")):
                 size = np.diff(offsets)
                 huge = (size > 2 * chunk) | (not coder.exact)
                 count = np.zeros(len(size), np.int64)
