@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.llm import decontaminate, minhash_dedup, pack, quality_classifier, substring_dedup
-from tomeweave.llm._store import Scratch
+from tomeweave.llm._store import Scratch, small_batches
 from tomeweave.llm.queries import word_bpe
 
 REPEAT_WORDS, BENCHMARK_WORDS, CAPACITY, END_ID = 50, 10, 4096, 1
@@ -26,6 +26,7 @@ def _scratch(spark: SparkSession, name: str) -> Scratch:
     """A stage's own tables; those of the stage before, whose result is written by now, go."""
     while _open:
         _open.pop().drop()
+    small_batches(spark)
     _open.append(Scratch(spark, name))
     return _open[-1]
 
@@ -43,6 +44,7 @@ def _retexted(cut: DataFrame, gone: str, docs: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    _scratch(spark, "quality")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_classifier.quality_scores(docs, labels, keep=tuple(docs.columns))
     return scored.where("predicted = 1").select("kept.*")
@@ -62,6 +64,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the phrases of ``BENCHMARK_WORDS`` words of benchmark items."""
+    _scratch(spark, "benchmark")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _retexted(decontaminate.remove_contamination(docs, benchmark, BENCHMARK_WORDS), "n_hit", docs)
 

@@ -28,3 +28,9 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> SparkSession:
+    """Bound the bytes of an Arrow batch, of which a task and its worker hold some copies; results do not change."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark

@@ -13,6 +13,7 @@ all tasks and searched in all rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -147,11 +148,24 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(int(size.sum()))
 
 
+def without_spans(text: str | None, starts: np.ndarray, ends: np.ndarray) -> str | None:
+    """A text without the bytes from the first to the last word of each span of words."""
+    if not len(starts):
+        return text
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]), MARKS, True)
+    parts, at = [], 0
+    for start, end in zip(starts, ends):
+        parts.append(data[at:words.start[start]].tobytes())
+        at = words.end[end - 1]
+    return b"".join([*parts, data[at:].tobytes()]).decode()
+
+
 class _Shard:
     """Documents gathered for one index, and their hits."""
 
-    def __init__(self, phrases: Phrases, names: list[str]) -> None:
-        self.phrases, self.names = phrases, names
+    def __init__(self, phrases: Phrases, names: list[str], cut: bool) -> None:
+        self.phrases, self.names, self.cut = phrases, names, cut
         self.columns: list[tuple] = []
         self.sizes: list[np.ndarray] = []
         self.symbols: list[np.ndarray] = []
@@ -211,13 +225,18 @@ class _Shard:
         names = [self.phrases.items[i] for i in pairs[1]]
         known = np.array([x is not None for x in names], bool)
         item = pa.array([x for x in names if x is not None], pa.string())
+        columns = [pa.concat_arrays([c[i] for c in self.columns]) for i in range(len(self.names))]
+        if self.cut:
+            at = self.names.index("text")
+            bounds = np.searchsorted(document[head], np.arange(n + 1))
+            columns[at] = pa.array([without_spans(value.as_py(), start[head[a:b]], stretch[last[a:b]]) for value, a, b in zip(columns[at], bounds, bounds[1:])], pa.string())
         return pa.record_batch([
-            *[pa.concat_arrays([c[i] for c in self.columns]) for i in range(len(self.columns[0]))], pa.array(np.concatenate(self.sizes)),
+            *columns, pa.array(np.concatenate(self.sizes)),
             pa.array(hit), pa.ListArray.from_arrays(cut(document[head]), span), pa.ListArray.from_arrays(cut(pairs[0][known]), item)],
             [*self.names, "n_words", "n_hit", "spans", "items"])
 
 
-def _search(shared, names: list[str], all_rows: bool):
+def _search(shared, names: list[str], all_rows: bool, cut: bool):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, shard = shared.value, None
 
@@ -227,7 +246,7 @@ def _search(shared, names: list[str], all_rows: bool):
 
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column("text")):
-                shard = shard or _Shard(phrases, names)
+                shard = shard or _Shard(phrases, names, cut)
                 shard.add(Words(data, offsets, MARKS, True), tuple(batch.column(c).slice(low, high - low) for c in names))
                 shard.bytes += len(data)
                 if shard.weight >= SHARD or shard.bytes >= 8 << 20:
@@ -257,14 +276,21 @@ MERGED = """aggregate(array_sort(flatten(all_spans)), CAST(array() AS array<stru
          ELSE concat(done, array(s)) END)"""
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text: str, block_bytes: int, names: list[str]) -> DataFrame:
-    """The columns ``names`` of ``rows(row, id, ..., text)`` with ``n_words``, ``n_hit``, ``spans`` and ``items``."""
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text: str, block_bytes: int, names: list[str], cut: bool = False) -> DataFrame:
+    """The columns ``names`` of ``rows(row, id, ..., text)`` with ``n_words``, ``n_hit``, ``spans`` and ``items``.
+
+    With ``cut`` the column ``text`` has its hits cut out: by the search itself if the benchmark is
+    one block, else after the blocks' spans are merged.
+    """
     spark, found, more = rows.sparkSession, None, None
-    for items, texts in _blocks(benchmark, item_col, item_text, block_bytes):
+    blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    ahead = [next(blocks), *islice(blocks, 1)]
+    alone = len(ahead) == 1
+    for items, texts in chain(ahead, blocks):
         shared = spark.sparkContext.broadcast(Phrases(items, texts, window))
         part, wanted = (rows, names) if found is None else (rows.select("row", "text"), ["row"])
         kind = ", ".join(f"{c} {part.schema[c].dataType.simpleString()}" for c in wanted)
-        part = part.mapInArrow(_search(shared, wanted, found is None), FOUND.format(kind=kind))
+        part = part.mapInArrow(_search(shared, wanted, found is None, cut and alone), FOUND.format(kind=kind))
         if found is None:
             found = part
         else:
@@ -278,7 +304,12 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int, item_col: str, it
                  .withColumn("spans", F.expr(MERGED))
                  .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]))
                  .withColumn("items", F.concat("items", F.coalesce("more_items", none))))
-    return found.withColumn("items", F.array_sort(F.array_distinct("items")))
+    found = found.withColumn("items", F.array_sort(F.array_distinct("items")))
+    if not cut or alone:
+        return found
+    rest = [c for c in found.columns if c != "text"]
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in rest)
+    return found.select(*rest, "text").mapInArrow(_without, f"{kinds}, text string")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id",
@@ -302,23 +333,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the bytes from the first to the last word of each span."""
     for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-        out = []
-        for value, found in zip(batch.column("text"), batch.column("spans")):
-            if not value.is_valid or not len(found):
-                out.append(value.as_py())
-                continue
-            data = np.frombuffer(value.as_py().encode(), np.uint8)
-            words = Words(data, np.array([0, len(data)]), MARKS, True)
-            parts, at = [], 0
-            for span in found.as_py():
-                parts.append(data[at:words.start[span["start"]]].tobytes())
-                at = words.end[span["end"] - 1]
-            parts.append(data[at:].tobytes())
-            out.append(b"".join(parts).decode())
-        yield pa.record_batch([batch.column("rest"), batch.column("n_hit"), batch.column("n_words"), pa.array(out, pa.string())],
-                              ["rest", "n_hit", "n_words", "text"])
+        spans = [(np.array([s["start"] for s in x]), np.array([s["end"] for s in x])) for x in batch.column("spans").to_pylist()]
+        texts = [without_spans(value.as_py(), *span) for value, span in zip(batch.column("text"), spans)]
+        rest = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+        yield pa.record_batch([*[batch.column(i) for i in rest], pa.array(texts, pa.string())], [*[batch.schema.names[i] for i in rest], "text"])
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", id_col: str = "doc_id", item_col: str = "item_id",
@@ -330,6 +349,5 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("row"), F.struct(*rest).alias("rest"), F.col(text).alias("text"))
-    found = _found(rows, benchmark, window, item_col, item_text, block_bytes, ["row", "rest", "text"])
-    kind = rows.schema["rest"].dataType.simpleString()
-    return found.select("rest", "n_hit", "n_words", "spans", "text").mapInArrow(_without, f"rest {kind}, n_hit bigint, n_words bigint, text string")
+    found = _found(rows, benchmark, window, item_col, item_text, block_bytes, ["row", "rest", "text"], cut=True)
+    return found.select("rest", "n_words", "n_hit", "text")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.llm._store import small_batches
 from tomeweave.llm.chat_format import digests, format_conversations
 from tomeweave.llm.class_lm import class_scores
 from tomeweave.llm.decontaminate import contamination
@@ -32,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query(r"""
