@@ -156,14 +156,15 @@ def quality_outliers(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     base = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     base = scratch.table(base.withColumns(_vector()), "statistics")
     sizes = base.where("not base_failed").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    pooled = scratch.table(
-        sizes.withColumn("big", F.col("n") >= least_rows)
-        .withColumn("rest", F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)).over(_by(F.col("key.a"))))
-        .select("key", F.when(F.col("big"), F.to_json(F.array("key.a", "key.b")))
-                .when(F.col("rest") >= least_rows, F.to_json(F.array("key.a"))).otherwise(F.lit("[]")).alias("cell")), "cells")
+    pooled = (sizes.withColumn("big", F.col("n") >= least_rows)
+              .withColumn("rest", F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)).over(_by(F.col("key.a"))))
+              .select("key", "n", F.when(F.col("big"), F.to_json(F.array("key.a", "key.b")))
+                      .when(F.col("rest") >= least_rows, F.to_json(F.array("key.a"))).otherwise(F.lit("[]")).alias("cell")))
+    pooled = pooled.withColumn("total", F.sum("n").over(_by(F.col("cell")))).where(F.col("total") >= least_rows)
+    pooled = scratch.table(pooled.select("key", "cell"), "cells")
+    # stored, so that every aggregate by cell combines before its shuffle
     rows = scratch.table(base.where("not base_failed").join(pooled, base["key"].eqNullSafe(pooled["key"])).select("cell", *_names()), "rows")
-    enough = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("cell")
-    fitted = minimum_covariance(rows.join(scratch.table(enough, "enough"), "cell"), scratch)
+    fitted = minimum_covariance(rows, scratch)
     cells = scratch.table(pooled.join(fitted, "cell"), "models").withColumnRenamed("key", "model_key")
     judged = base.join(cells, base["key"].eqNullSafe(cells["model_key"]), "left")
     far = F.col("distance") > F.lit(chi_square(len(STATISTICS), quantile))
