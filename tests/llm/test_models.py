@@ -171,6 +171,21 @@ def test_exchange_finds_planted_classes():
     assert (classes == truth).all() or (classes == 1 - truth).all()
 
 
+def test_words_beyond_the_seeds_get_classes_too(spark):
+    """Rare words of two kinds alternate; which kind may follow is known only if each rare word has a class."""
+    rng, rows = random.Random(9), []
+    some = lambda k: f"{k}{rng.randrange(4) if rng.random() < 0.5 else rng.randrange(4, 150)}"
+    for i in range(400):
+        rows.append(cases.row(i, " ".join(some(k) for _ in range(30) for k in "xy")))
+    # rare words in the right order and in a wrong one, both held out
+    held = [i for i in range(1000, 1100) if rest(i, 7) == 2][:2]
+    order = [f"{k}{j}" for j in range(50, 100) for k in "xy"]
+    rows += [cases.row(held[0], " ".join(order)), cases.row(held[1], " ".join(sorted(order)))]
+    for head in (10 ** 6, 100, 8):
+        got = {r["doc_id"]: r["score"] for r in class_scores(spark.createDataFrame(rows, cases.SCHEMA), head_words=head, class_words=8, n_classes=2).collect()}
+        assert got[held[0]] > got[held[1]] + 20, head
+
+
 def test_the_head_is_bounded(spark):
     counts = spark.createDataFrame([(i, 1 + 1000 // (i + 1)) for i in range(2000)], "word bigint, n bigint")
     for limit in (0, 1, 50, 5000):

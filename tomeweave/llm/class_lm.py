@@ -4,20 +4,25 @@
 
 * *Counts* cover every token of the training part; the map side combines them before a shuffle.
 * The ``head`` of the vocabulary (a bounded number of the most frequent words) is known to every
-  task.  All other words are looked up by a join of their tokens with the counts.
-* *Exchange clustering.*  The ``class_words`` most frequent words start in arbitrary classes.  A
-  pass over all training tokens counts the classes before and after each of them; then every word
-  in turn moves to the class that gives the training text the highest likelihood.  Passes repeat
-  with new counts.  All other words, seen or not, share one open class; the text's border is one
-  more class.
-* *Smoothing.*  Transitions are smoothed by a constant.  In the open class a word has its count
-  plus one, and one further slot stands for any unknown word; so all probabilities sum to one.
+  task.  All other words, the tail, are looked up by joins of their tokens with the word table.
+* *Seeds.*  The ``class_words`` most frequent words start in arbitrary classes.  A pass over all
+  training tokens counts the classes before and after each of them; then every seed in turn moves
+  to the class that gives the training text the highest likelihood.
+* *Every training word* then gets a class.  The counts of classes beside each word are a Spark
+  table; tasks move each word to its best class, given the class-by-class totals.  Passes repeat
+  with new counts until the classes tell no more about their neighbours.  The number of classes
+  grows with the vocabulary.  A class of its own is open for words that training has not seen,
+  one more is the text's border.
+* *Smoothing.*  Transitions are smoothed by a constant.  In the open class one slot stands for any
+  unknown word; so all probabilities sum to one.  Without seeds all words share the open class,
+  each with its count plus one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,13 @@ from tomeweave.llm._sample import remainder
 from tomeweave.llm._store import Scratch
 from tomeweave.llm._words import SPACES, Words, binaries, pieces
 
-HEAD_WORDS, CLASS_WORDS, CLASSES, PASSES = 200_000, 4096, 32, 4
+#: Words known to every task, seeds of the classes among them, and the least number of classes of a larger vocabulary.
+HEAD_WORDS, CLASS_WORDS, CLASSES = 200_000, 4096, 32
 SMOOTH = 0.1
+#: Passes go on while they add this share to the classes' information on their neighbours.
+LEAST_GAIN = 0.01
+#: Counts added to a pair of classes and to what chance would give it, when a word looks for its class.
+SHRINK = 5.0
 MERGE = 500_000
 
 
@@ -125,6 +135,219 @@ def _contexts(shared):
     return body
 
 
+def _around(shared):
+    """How often each class stands before (side 0) and after (1) each head word, where the neighbour is no tail word."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes, kinds, dense = shared.value
+        border = kinds - 1
+        often = np.zeros(dense * 2 * kinds, np.int64)
+        keys, counts = [], []
+
+        def made(cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(words[cell // (2 * kinds)]), pa.array((cell // kinds % 2).astype(np.int8)), pa.array((cell % kinds).astype(np.int32)),
+                                    pa.array(n)], ["word", "side", "cls", "n"])
+
+        def merged() -> pa.RecordBatch:
+            cell, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return made(cell, np.bincount(back, np.concatenate(counts), len(cell)).astype(np.int64))
+
+        for batch in batches:
+            for ids, own, _, size in _tokens(batch, classes, border):
+                place = np.arange(len(ids)) + np.repeat(np.arange(len(size)), size) + 1
+                for side, near in ((0, own[place - 1]), (1, own[place + 1])):
+                    known = (ids < len(words)) & (near < kinds)
+                    cell = (ids[known] * 2 + side) * kinds + near[known]
+                    often += np.bincount(cell[cell < len(often)], minlength=len(often))
+                    key, n = np.unique(cell[cell >= len(often)], return_counts=True)
+                    keys.append(key)
+                    counts.append(n)
+                if sum(map(len, keys)) > MERGE:
+                    yield merged()
+                    keys, counts = [], []
+        if keys:
+            yield merged()
+        cell = np.flatnonzero(often)
+        yield made(cell, often[cell])
+    return body
+
+
+TAIL = -1
+
+
+def _tail_tokens(shared, pairs: bool):
+    """Tail tokens with the head id or ``TAIL`` before and after each, or else the pairs of neighbours that are both tail words."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_head = shared.value
+        same = np.arange(n_head + 1)
+        for batch in batches:
+            row = 0
+            for _, own, _, size in _tokens(batch, same, n_head + 1):
+                near = np.where(own == n_head, TAIL, own).astype(np.int32)
+                word = np.zeros(len(own), np.int64)
+                word[near == TAIL] = batch.column("tail").slice(row, len(size)).flatten().to_numpy()
+                uid, trained = (np.append(0, np.repeat(batch.column(c).slice(row, len(size)).to_numpy(zero_copy_only=False), size + 1)) for c in ("uid", "trained"))
+                row += len(size)
+                if pairs:
+                    at = np.flatnonzero((near[:-1] == TAIL) & (near[1:] == TAIL))
+                    yield pa.record_batch([pa.array(uid[at]), pa.array(trained[at].astype(bool)), pa.array(word[at]), pa.array(word[at + 1])], ["uid", "trained", "l", "r"])
+                else:
+                    at = np.flatnonzero(near == TAIL)
+                    yield pa.record_batch([pa.array(uid[at]), pa.array(trained[at].astype(bool)), pa.array(word[at]), pa.array(near[at - 1]), pa.array(near[at + 1])],
+                                          ["uid", "trained", "word", "left", "right"])
+    return body
+
+
+def _beside_tail(shared):
+    """What one tail token of a known class adds: its neighbours' classes to its own counts, and its class to theirs."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, classes = shared.value
+        for batch in batches:
+            word, own = batch.column("word").to_numpy(), batch.column("class").to_numpy()
+            for side, name in ((0, "left"), (1, "right")):
+                near = batch.column(name).to_numpy()
+                known, head = near != TAIL, (near >= 0) & (near < len(words))
+                mine, theirs = word[known], words[near[head]]
+                keys = np.concatenate([mine, theirs])
+                sides = np.concatenate([np.full(len(mine), side, np.int8), np.full(len(theirs), 1 - side, np.int8)])
+                yield pa.record_batch([pa.array(keys), pa.array(sides), pa.array(np.concatenate([classes[near[known]], own[head]]).astype(np.int32)),
+                                       pa.array(np.ones(len(keys), np.int64))], ["word", "side", "cls", "n"])
+    return body
+
+
+def information(pairs: np.ndarray) -> float:
+    """What the class of a token tells about the next one's, in nats over all tokens."""
+    expected = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / max(1, pairs.sum())
+    seen = pairs > 0
+    return float((pairs[seen] * np.log(pairs[seen] / expected[seen])).sum())
+
+
+def best_classes(word: np.ndarray, side: np.ndarray, cls: np.ndarray, n: np.ndarray, ratio: np.ndarray, allowed: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The class of highest likelihood for each word, given counts of the classes beside it; ties keep the old one.
+
+    ``ratio`` is the logarithm of each pair of classes' count over what chance would give it.
+    """
+    n_classes = len(allowed)
+    value = np.zeros((len(old), n_classes))
+    for start in range(0, len(word), 1 << 14):
+        at = slice(start, start + (1 << 14))
+        part = np.where((side[at] == 0)[:, None], ratio[cls[at], :n_classes], ratio[:n_classes, cls[at]].T) * n[at, None]
+        first = np.flatnonzero(np.append(True, np.diff(word[at]) != 0)[:len(part)])
+        value[word[at][first]] += np.add.reduceat(part, first, axis=0)
+    value[:, ~allowed] = -np.inf
+    best = value.argmax(1)
+    stays = np.flatnonzero(old < n_classes)
+    keep = stays[value[stays, old[stays]] >= value[stays, best[stays]]]
+    best[keep] = old[keep]
+    return best
+
+
+def _move(shared):
+    """Each word with its best class; in the first pass seeds stay where they are."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio, allowed, fixed = shared.value
+        for whole in batches:
+            for row in range(0, whole.num_rows, 4096):
+                batch = whole.slice(row, 4096)
+                cells = batch.column("cells")
+                flat = cells.flatten()
+                word = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+                old, rank = batch.column("class").to_numpy(), batch.column("rank")
+                best = best_classes(word, *(flat.field(c).to_numpy() for c in ("side", "cls", "n")), ratio, allowed, old)
+                ranks = rank.fill_null(np.iinfo(np.int32).max).to_numpy()
+                yield pa.record_batch([batch.column("word"), rank, batch.column("n"), pa.array(np.where(ranks < fixed, old, best).astype(np.int32))],
+                                      ["word", "rank", "n", "class"])
+    return body
+
+
+def _ranked(shared):
+    """The word table: rank in the head (null for a tail word), count and class."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, classes = shared.value
+        for batch in batches:
+            at = head.encode(batch.column("word").to_numpy()).astype(np.int32)
+            yield pa.record_batch([batch.column("word"), pa.array(at, mask=at == len(head.index)), batch.column("n"), pa.array(classes[at].astype(np.int32))],
+                                  ["word", "rank", "n", "class"])
+    return body
+
+
+WORD, CELL = "word bigint, rank int, n bigint, class int", "word bigint, side byte, cls int, n bigint"
+
+
+def _part(scratch: Scratch, name: str) -> Scratch:
+    """A folder in that of ``scratch``, which can be dropped alone."""
+    part = Scratch(scratch.spark, name)
+    part.folder = f"{scratch.folder}/{name}"
+    return part
+
+
+def _class_of_every_word(counts: DataFrame, training: DataFrame, tokens: DataFrame, both: DataFrame, head: Head, classes: np.ndarray, n_seeds: int, n_classes: int,
+                         empty: int, passes: int | None, scratch: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The word table with a class for each word, the classes of head words, and the counts of pairs of classes."""
+    send, kinds, border = counts.sparkSession.sparkContext.broadcast, n_classes + 2, n_classes + 1
+    held = _part(scratch, "words-0")
+    table = held.table(counts.mapInArrow(_ranked(send((head, classes))), WORD), "words")
+    best, best_held, told = None, None, 0.0
+    for turn in count():
+        fresh = _part(scratch, f"pass-{turn}")
+        # a tail neighbour's class is past the kinds, so that its counts come from the joins alone
+        around = training.mapInArrow(_around(send((head.words, np.append(classes[:-1], kinds), kinds, n_seeds))), CELL)
+        tail = table.where("rank is null").select("word", "class")
+        beside = tokens.join(tail, "word").select("word", "class", "left", "right").mapInArrow(
+            _beside_tail(send((head.words, np.append(classes[:-1], [n_classes, border])))), CELL)
+        cells = around.unionByName(beside)
+        for known, other, side in (("l", "r", 0), ("r", "l", 1)):
+            of = tail.select(F.col("word").alias(known), F.col("class").alias("cls"))
+            cells = cells.unionByName(both.join(of, known).select(F.col(other).alias("word"), F.lit(side).cast("byte").alias("side"), "cls", F.lit(1).cast("bigint").alias("n")))
+        cells = (cells.groupBy("word", "side", "cls").agg(F.sum("n").alias("n"))
+                 .groupBy("word").agg(F.collect_list(F.struct("side", "cls", "n")).alias("cells")))
+        counted = fresh.table(cells.join(table, "word").select("word", "rank", "n", "class", "cells"), "contexts")
+        got = (counted.select("class", F.explode("cells").alias("c")).where(f"c.side = 1 or c.cls = {border}")
+               .groupBy("class", "c.side", "c.cls").agg(F.sum("c.n").alias("n")).toArrow())
+        own, side, cls, n = (got.column(c).to_numpy() for c in ("class", "side", "cls", "n"))
+        pairs = np.zeros((kinds, kinds))
+        np.add.at(pairs, (np.where(side == 1, own, border), np.where(side == 1, cls, own)), n)
+        pairs[border, border] = empty
+        now = information(pairs)
+        # the first pass gives every word a class; what a later one loses is not kept
+        if turn > 1 and now <= told:
+            fresh.drop()
+            held.drop()
+            return best
+        if best:
+            best_held.drop()
+        best, best_held = (table, classes, pairs), held
+        if turn and turn == passes or turn > 1 and now <= told * (1 + LEAST_GAIN):
+            fresh.drop()
+            return best
+        told = now
+        expected = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum()
+        ratio = np.log((pairs + SHRINK) / (expected + SHRINK))
+        held = _part(scratch, f"words-{turn + 1}")
+        table = held.table(counted.mapInArrow(_move(send((ratio, pairs[:n_classes].sum(1) > 0, n_seeds if turn == 0 else 0))), WORD), "words")
+        fresh.drop()
+        known = table.where("rank is not null").select("rank", "class").toArrow()
+        classes = classes.copy()
+        classes[known.column("rank").to_numpy()] = known.column("class").to_numpy()
+
+
+def _tail_steps(shared, names: tuple[str, str] | None):
+    """Logarithms of tail tokens' emissions and steps from and to head words, or of the steps between the two classes of ``names``."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, classes, slots, more = shared.value
+        for batch in batches:
+            if names:
+                value = steps[batch.column(names[0]).to_numpy(), batch.column(names[1]).to_numpy()]
+                base, known = np.zeros(len(value)), np.zeros(len(value), np.int64)
+            else:
+                own, left, right = (batch.column(c).to_numpy() for c in ("class", "left", "right"))
+                n = batch.column("n").to_numpy()
+                value = (np.where(left == TAIL, 0, steps[classes[left], own]) + np.where(right == TAIL, 0, steps[own, classes[right]])
+                         + np.log10(np.maximum(1, n + more)) - slots[own])
+                base, known = np.log10(n + 1), (n > 0).astype(np.int64)
+            yield pa.record_batch([batch.column("uid"), pa.array(value), pa.array(base), pa.array(known)], ["uid", "tail_score", "tail_log", "tail_known"])
+    return body
+
+
 def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray, n_classes: int) -> np.ndarray:
     """One sweep: each word moves to the class with the best likelihood, given the classes around it."""
     def gain(x):
@@ -206,7 +429,7 @@ def head_of(counts: DataFrame, limit: int) -> Head:
     return Head(words[order], n[order])
 
 
-def class_scores(docs: DataFrame, head_words: int = HEAD_WORDS, class_words: int = CLASS_WORDS, n_classes: int = CLASSES, passes: int = PASSES,
+def class_scores(docs: DataFrame, head_words: int = HEAD_WORDS, class_words: int = CLASS_WORDS, n_classes: int | None = None, passes: int | None = None,
                  text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """Log-probability (base 10) of every whole text under a class bigram model and an add-one unigram.
 
@@ -214,6 +437,10 @@ def class_scores(docs: DataFrame, head_words: int = HEAD_WORDS, class_words: int
     small letters; each text ends with one end token.  Returns ``id_col``, ``held_out``,
     ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and ``perplexity``.
 
+    The classes start from the ``class_words`` most frequent words, and every training word gets
+    one.  Without ``n_classes`` their number is the vocabulary's size to the power 0.3, and at
+    least ``CLASSES``; without ``passes`` they are made until another pass adds little.
+
     * Null and empty texts are the end token alone.
     * Without training texts nothing is known: the base score is 0, classes and counts are empty.
     * Each row is scored, also one that stands twice or has a null id.
@@ -226,52 +453,72 @@ def class_scores(docs: DataFrame, head_words: int = HEAD_WORDS, class_words: int
     trained = remainder("id", 7) != 2
     counts = scratch.table(rows.where(trained).select("text").mapInArrow(_count_words, "word bigint, n bigint")
                            .groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     head = head_of(counts, head_words)
-    n_class_words = min(class_words, len(head.words))
-    n_classes = max(1, min(n_classes, n_class_words))
+    n_seeds = min(class_words, len(head.words))
+    n_classes = max(1, min(n_classes or max(CLASSES, round(sums["words"] ** 0.3)), n_seeds))
     kinds, opened, border = n_classes + 2, n_classes, n_classes + 1
     send = spark.sparkContext.broadcast
     encoded = (rows.mapInArrow(_encode(send(head)), f"id {kind}, n_words bigint, ids binary, tail array<bigint>")
                .withColumn("uid", F.monotonically_increasing_id()))
     encoded = scratch.table(encoded, "encoded")
     training = encoded.where(trained).select("ids")
+    marked = encoded.where("size(tail) > 0").select("uid", trained.alias("trained"), "ids", "tail")
+    tokens = scratch.table(marked.mapInArrow(_tail_tokens(send(len(head.words)), False), "uid bigint, trained boolean, word bigint, left int, right int"), "tail")
+    both = scratch.table(marked.mapInArrow(_tail_tokens(send(len(head.words)), True), "uid bigint, trained boolean, l bigint, r bigint"), "tail-pairs")
 
     classes = np.full(len(head.words) + 1, opened)
-    classes[:n_class_words] = np.arange(n_class_words) % n_classes
-    for turn in range(passes + 1):
-        cells = (training.mapInArrow(_contexts(send((classes, n_class_words, kinds))), "side byte, cell int, n bigint")
+    classes[:n_seeds] = np.arange(n_seeds) % n_classes
+    told = 0.0
+    for turn in count():
+        cells = (training.mapInArrow(_contexts(send((classes, n_seeds, kinds))), "side byte, cell int, n bigint")
                  .groupBy("side", "cell").agg(F.sum("n").alias("n")).toArrow())
         side, cell, n = (cells.column(c).to_numpy() for c in ("side", "cell", "n"))
-        dense = [np.bincount(cell[side == k], n[side == k], minlength=size) for k, size in enumerate([n_class_words * kinds] * 2 + [kinds * kinds])]
-        if turn < passes and n_class_words:
-            classes[:n_class_words] = exchange(classes[:n_class_words], dense[0].reshape(-1, kinds), dense[1].reshape(-1, kinds), n_classes)
-    pairs = dense[2].reshape(kinds, kinds)
+        dense = [np.bincount(cell[side == k], n[side == k], minlength=size) for k, size in enumerate([n_seeds * kinds] * 2 + [kinds * kinds])]
+        pairs = dense[2].reshape(kinds, kinds)
+        now = information(pairs)
+        if not n_seeds or turn == passes or turn and now <= told * (1 + LEAST_GAIN):
+            break
+        told = now
+        classes[:n_seeds] = exchange(classes[:n_seeds], dense[0].reshape(-1, kinds), dense[1].reshape(-1, kinds), n_classes)
+    table = counts.withColumn("class", F.lit(opened))
+    if n_seeds:
+        table, classes, pairs = _class_of_every_word(counts, training, tokens.where("trained"), both.where("trained"), head, classes, n_seeds, n_classes,
+                                                     int(pairs[border, border]), passes, scratch)
 
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     texts = int(pairs[:, border].sum())
-    tokens, vocabulary = int(sums["tokens"]) + texts, int(sums["words"]) + (1 if texts else 0)
-    steps = np.log10((pairs + SMOOTH) / (pairs + SMOOTH).sum(1, keepdims=True))
-    in_class = np.bincount(classes[:-1], head.counts, minlength=kinds)[:n_classes]
-    open_slots = int(sums["tokens"]) - int(in_class.sum()) + int(sums["words"]) - n_class_words + 1
+    n_tokens, vocabulary = int(sums["tokens"]) + texts, int(sums["words"]) + (1 if texts else 0)
+    # a tail word's steps and emission come by the joins; here its tokens have none
+    steps = np.zeros((kinds + 1, kinds + 1))
+    steps[:kinds, :kinds] = np.log10((pairs + SMOOTH) / (pairs + SMOOTH).sum(1, keepdims=True))
+    in_class = pairs[:, :kinds].sum(0)
+    in_class[opened] = 1 if n_seeds else int(sums["tokens"]) + int(sums["words"]) + 1
+    slots, more = np.log10(np.maximum(1, in_class)), 0 if n_seeds else 1
     counted = np.append(head.counts, 0).astype(np.float64)
-    emits = np.log10(counted + 1) - np.log10(open_slots)
-    emits[:n_class_words] = np.log10(head.counts[:n_class_words] / in_class[classes[:n_class_words]])
-    # the tail's own counts come by the join; here its tokens have none of their emission
+    emits = np.log10(np.maximum(1, counted + more)) - slots[classes]
     emits[-1] = 0.0
     base = np.log10(counted + 1)
-    model = Model(classes, steps, emits, base, border)
+    model = Model(np.append(classes[:-1], kinds), steps, emits, base, border)
 
     partial = encoded.select("uid", "id", "n_words", F.size("tail").cast("bigint").alias("n_tail"), "ids").mapInArrow(
         _scores(send(model)), f"uid bigint, id {kind}, n_words bigint, n_tail bigint, head_score double, head_base double, head_known bigint")
-    looked = (encoded.select("uid", F.explode("tail").alias("word")).join(counts, "word", "left")
-              .groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1))).alias("tail_log"), F.count("n").alias("tail_known")))
+    shared = send((steps, np.append(classes[:-1], [opened, border]), slots, more))
+    made = "uid bigint, tail_score double, tail_log double, tail_known bigint"
+    tail = table.select("word", "n", "class")
+    of = lambda key, name: tail.select(F.col("word").alias(key), F.col("class").alias(name))
+    either = lambda name: F.coalesce(name, F.lit(opened)).alias(name)
+    looked = tokens.join(tail, "word", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"), either("class"), "left", "right").mapInArrow(
+        _tail_steps(shared, None), made)
+    linked = both.join(of("l", "a"), "l", "left").join(of("r", "b"), "r", "left").select("uid", either("a"), either("b")).mapInArrow(
+        _tail_steps(shared, ("a", "b")), made)
+    looked = looked.unionByName(linked).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tail_score", "tail_log", "tail_known")])
     end_base = float(np.log10(texts + 1))
     none = F.lit(0.0)
     return (partial.join(looked, "uid", "left").select(
         F.col("id").alias(id_col), (~trained).alias("held_out"), (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if texts else 0)).alias("n_known"),
-        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        F.lit(n_tokens).cast("bigint").alias("train_tokens"),
         (F.col("head_base") + F.coalesce("tail_log", none) + F.lit(end_base)
-         - (F.col("n_words") + 1) * F.lit(float(np.log10(tokens + vocabulary + 1)))).alias("base_score"),
-        (F.col("head_score") + F.coalesce("tail_log", none) - F.col("n_tail") * F.lit(float(np.log10(open_slots)))).alias("score"))
+         - (F.col("n_words") + 1) * F.lit(float(np.log10(n_tokens + vocabulary + 1)))).alias("base_score"),
+        (F.col("head_score") + F.coalesce("tail_score", none)).alias("score"))
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
