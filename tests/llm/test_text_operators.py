@@ -219,3 +219,32 @@ def test_a_template_that_rewrites_history_is_flagged(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")], "conv_id bigint, turn bigint, role string, text string")
     got = {r["conv_id"]: r for r in format_conversations(rows, last_only).collect()}
     assert got[1]["rewrites"] and got[1]["loss"] == [] and not got[2]["rewrites"]
+
+
+def test_templates_with_a_state_beyond_one_block(spark):
+    roles = ["system", *["user", "assistant"] * 100]
+
+    def numbered_turns(messages):
+        return "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(messages))
+
+    def alternating(messages):
+        if [r for r, _ in messages] != roles[:len(messages)]:
+            raise ValueError("roles must alternate behind the system turn")
+        return f"[{messages[0][1]}]" + "".join(f"<{r}>{t}" for r, t in messages[1:])
+
+    def far(messages):
+        # the first turn goes once there are more than 100
+        return "".join(f"{r}: {t}\n" for r, t in messages[len(messages) > 100:])
+
+    turns = [(r, f"text {i}") for i, r in enumerate(roles)]
+    rows = [(c, i, r, t) for c, n in ((1, 201), (2, 70), (None, 130)) for i, (r, t) in enumerate(turns[:n])]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for template, flagged in ((numbered_turns, set()), (alternating, set()), (far, {1, None})):
+        got = defaultdict(list)
+        for r in sorted(format_conversations(table, template).collect(), key=lambda r: r["block"]):
+            got[r["conv_id"]].append(r)
+        for conv, n in ((1, 201), (2, 70), (None, 130)):
+            assert "".join(r["formatted"] for r in got[conv]) == template(turns[:n])
+            assert {r["rewrites"] for r in got[conv]} == {conv in flagged}
+            learnt = [r["formatted"][m["start"]:m["end"]] for r in got[conv] for m in r["loss"]]
+            assert learnt == ([] if conv in flagged else [t for r, t in turns[:n] if r == "assistant"])

@@ -6,8 +6,9 @@ with the former, and the rest is the turn.  Where its text stands is found by re
 prefix with a mark in place of the text.  A template whose new output does not start with the
 former rewrites history: its conversations are flagged, and no loss mask is given for them.
 
-Conversations are cut into blocks of ``BLOCK`` turns, each rendered behind the ``CONTEXT`` turns
-before it, so a prefix is never longer than that and a long conversation is spread over tasks.
+Conversations are cut into blocks of ``BLOCK`` turns, so a long conversation is spread over tasks.
+Each block is rendered behind all turns before it.  Only for a template that is declared stateless
+(a turn's text never depends on the others) a block stands behind the ``CONTEXT`` turns before it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeweave.llm._store import Scratch
 from tomeweave.operators.skew import numbered
 
 BLOCK, CONTEXT = 64, 2
@@ -36,6 +38,9 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
                    for role, text in turns)
 
 
+marked_turns.stateless = True
+
+
 def plain(value: str) -> str:
     """Undo the escapes of ``marked_turns``."""
     return _PLAIN.sub(lambda m: m[1], value)
@@ -66,9 +71,9 @@ def locate_turns(template: Template, turns: list[tuple[str, str]], known: int =
     """
     before = template(turns[:known]) if known else ""
     base, spans = len(before), []
+    mark = _unused([t for turn in turns for t in turn])
     for i in range(known, len(turns)):
         after = template(turns[:i + 1])
-        mark = _unused([t for turn in turns[:i + 1] for t in turn])
         probe = template([*turns[:i], (turns[i][0], mark)])
         if not (after.startswith(before) and probe.startswith(before)) or probe.count(mark, len(before)) != 1:
             return template(turns)[base:], None
@@ -101,10 +106,24 @@ def _render(template: Template, loss_roles: tuple[str, ...]):
     return body
 
 
+def _render_whole(template: Template):
+    """The whole text of a conversation whose history the template rewrites, as one block without spans."""
+    def body(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        text = template(list(zip(table.column("role").to_pylist(), table.column("text").to_pylist())))
+        return pa.table({"conversation": table.column("conversation").slice(0, 1), "block": pa.array([0], pa.int64()), "formatted": [text]})
+    return body
+
+
 def format_conversations(conversations: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",),
-                         conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+                         conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                         stateless: bool | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Formatted blocks of conversations: ``conv_id``, ``block``, ``formatted``, ``turns``, ``loss`` and ``rewrites``.
 
+    ``stateless`` says that a turn's text never depends on the others; a template may declare it by
+    an attribute of that name.  A conversation is flagged as a whole if any block rewrites history;
+    it is then one block, without places and loss ranges.
+
     The blocks of a conversation, in order, make its formatted text.  ``turns`` has the places of
     each turn and its text in the block, ``loss`` the ranges to be learnt, in code points.
 
@@ -121,15 +140,26 @@ def format_conversations(conversations: DataFrame, template: Template = marked_t
     placed = numbered(rows, ["conversation"], F.col("turn") / BLOCK, ["turn", "role", "text"], "n", start=0)
     block = F.floor(F.col("n") / BLOCK).cast("bigint")
     late = F.col("n") % BLOCK >= BLOCK - CONTEXT
-    spread = placed.withColumn("to", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
-    spread = spread.select("conversation", F.col("to").alias("block"), "n", "role", "text", (F.col("to") != block).alias("context"))
+    if stateless is None:
+        stateless = getattr(template, "stateless", False)
     # a block that would hold context alone does not exist
     last = placed.groupBy("conversation").agg(F.floor(F.max("n") / BLOCK).cast("bigint").alias("last"))
-    spread = (spread.join(last.withColumnRenamed("conversation", "c"), F.col("conversation").eqNullSafe(F.col("c")))
-              .where("block <= last").drop("c", "last"))
+    known = placed.join(last.withColumnRenamed("conversation", "c"), F.col("conversation").eqNullSafe(F.col("c"))).drop("c")
+    blocks = F.when(late & (block < F.col("last")), F.array(block, block + 1)).otherwise(F.array(block)) if stateless else F.sequence(block, F.col("last"))
+    spread = known.withColumn("to", F.explode(blocks))
+    spread = spread.select("conversation", F.col("to").alias("block"), "n", "role", "text", (F.col("to") != block).alias("context"))
     out = spread.groupBy("conversation", "block").applyInArrow(
         _render(template, tuple(loss_roles)), f"conversation {kind}, block bigint, formatted string, turns {SPAN}, "
                                               "loss array<struct<start: bigint, end: bigint>>, rewrites boolean")
+    scratch = scratch or Scratch(conversations.sparkSession, "chat-format")
+    out = scratch.table(out, "blocks")
+    flagged = scratch.table(out.where("rewrites").select(F.col("conversation").alias("c")).distinct(), "flagged")
+    if not flagged.isEmpty():
+        same = F.col("conversation").eqNullSafe(F.col("c"))
+        whole = placed.join(flagged, same, "left_semi").groupBy("conversation").applyInArrow(
+            _render_whole(template), f"conversation {kind}, block bigint, formatted string")
+        none = {c: F.array().cast(out.schema[c].dataType) for c in ("turns", "loss")}
+        out = out.join(flagged, same, "left_anti").unionByName(whole.withColumns({**none, "rewrites": F.lit(True)}))
     return out.withColumnRenamed("conversation", conv_id)
 
 
