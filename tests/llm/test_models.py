@@ -217,6 +217,21 @@ def test_held_out_languages(spark):
     assert {r["lang_pred"] for r in languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    """Ninety languages of their own syllables; the rarest has a tenth of the others' rows."""
+    rng, rows = random.Random(11), []
+    sounds = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(5)] for k in range(90)}
+    for k, (lang, made) in enumerate(sounds.items()):
+        for i in range(2 if k > 70 else 20):
+            rows.append(cases.row(next(j for j in range(1000 * k + 10 * i, 10 ** 6) if rest(j, 4) != 2), " ".join(rng.choice(made) for _ in range(30)), lang))
+    held = {}
+    for k, (lang, made) in enumerate(sounds.items()):
+        held[next(j for j in range(10 ** 6 + 100 * k, 10 ** 7) if rest(j, 4) == 2)] = lang
+        rows.append(cases.row(list(held)[-1], " ".join(rng.choice(made) for _ in range(30)), lang))
+    got = {r["doc_id"]: r["lang_pred"] for r in languages(spark.createDataFrame(rows, cases.SCHEMA)).collect()}
+    assert {i: got[i] for i in held} == held
+
+
 def test_presence_counts_ngrams_once():
     data = np.frombuffer("abab aBAB".encode(), np.uint8)
     rows = language_id.presence(data, np.array([0, 4, 5, 9]))

@@ -14,15 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm._sample import bounded, remainder
+from tomeweave.llm._sample import remainder
 from tomeweave.llm._words import _LOWERED, mixed, pieces
 
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 ROWS = 128
+#: Landmarks that each language has at least, however many languages there are.
+LEAST_LANDMARKS = 10
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -44,25 +46,39 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.sqrt(np.maximum(1, out.sum(1, keepdims=True)))
 
 
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    rows = np.unpackbits(bits, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(1, rows.sum(1, keepdims=True)))
+
+
 class Model:
     """Landmarks and the regression's weights, ready for one product per batch."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str], landmarks: int, ridge: float, seed: int = 5) -> None:
+    def __init__(self, bits: np.ndarray, langs: list[str], landmarks: int, ridge: float, seed: int = 5) -> None:
+        """From packed presence bits, unpacked some rows at a time."""
         self.langs = sorted(set(langs))
         names = np.array(langs)
         draw = np.random.default_rng(seed)
-        share = max(1, landmarks // len(self.langs))
+        share = max(LEAST_LANDMARKS, landmarks // len(self.langs))
         # the landmarks are spread evenly over the languages
         chosen = np.concatenate([draw.permutation(np.flatnonzero(names == lang))[:share] for lang in self.langs])
-        self.landmarks = np.ascontiguousarray(rows[chosen].T)
-        value, vector = np.linalg.eigh((rows[chosen] @ self.landmarks).astype(np.float64))
+        rows = _unpacked(bits[chosen])
+        self.landmarks = np.ascontiguousarray(rows.T)
+        value, vector = np.linalg.eigh((rows @ self.landmarks).astype(np.float64))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
-        mapped = np.concatenate([(rows @ self.landmarks) @ root, np.ones((len(rows), 1))], axis=1)
-        target = np.where(names[:, None] == np.array(self.langs), 1.0, 0.0)
-        weight = 1 / np.maximum(1, (names[:, None] == np.array(self.langs)).sum(0))[np.searchsorted(self.langs, names)] * len(rows) / len(self.langs)
-        square = mapped.T @ (mapped * weight[:, None]) + ridge * np.eye(mapped.shape[1])
-        solved = np.linalg.solve(square, mapped.T @ (target * weight[:, None]))
+        place = np.searchsorted(self.langs, names)
+        weight = 1 / np.maximum(1, np.bincount(place, minlength=len(self.langs)))[place] * len(names) / len(self.langs)
+        size = root.shape[1] + 1
+        square, cross = ridge * np.eye(size), np.zeros((size, len(self.langs)))
+        for a in range(0, len(names), 4 * ROWS):
+            part = slice(a, a + 4 * ROWS)
+            mapped = (_unpacked(bits[part]) @ self.landmarks) @ root
+            mapped = np.concatenate([mapped, np.ones((len(mapped), 1))], axis=1)
+            weighted = mapped * weight[part, None]
+            square += mapped.T @ weighted
+            cross += weighted.T @ (place[part, None] == np.arange(len(self.langs)))
+        solved = np.linalg.solve(square, cross)
         self.weights, self.bias = (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
 
     def values(self, rows: np.ndarray) -> np.ndarray:
@@ -76,7 +92,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = min(high - low, a + ROWS)
                 rows = presence(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 found = [np.packbits(r > 0).tobytes() for r in rows]
-                yield pa.record_batch([batch.column("lang").slice(low + a, b - a), pa.array(found, pa.binary())], ["lang", "grams"])
+                yield pa.record_batch([batch.column(c).slice(low + a, b - a) for c in ("lang", "draw")] + [pa.array(found, pa.binary())], ["lang", "draw", "grams"])
 
 
 def _predict(shared):
@@ -99,24 +115,27 @@ def _predict(shared):
     return body
 
 
-def train(docs: DataFrame, landmarks: int = 160, per_language: int = 600, languages: int = 64, ridge: float = 0.3, text: str = "text",
+def train(docs: DataFrame, landmarks: int = 160, per_language: int = 600, ridge: float = 0.3, text: str = "text",
           id_col: str = "doc_id", label: str = "lang") -> Model | None:
     """A model from the training part (``crc32`` of the id modulo 4 is not 2) with a known language.
 
-    At most ``languages`` languages (the most frequent) of ``per_language`` rows each reach the driver.
+    Every language is learnt, from at most ``per_language`` rows each: those whose ids have the
+    least hashes.  They are bounded before a shuffle, and only keys are ordered.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang"))
     rows = rows.where(remainder("id", 4) != 2).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    found, langs = [], []
-    for lang, _ in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect():
-        got = bounded(rows.where(F.col("lang") == lang), ["id"], per_language).mapInArrow(_grams, "lang string, grams binary").limit(2 * per_language).toArrow()
-        bits = np.array([np.frombuffer(g.as_buffer(), np.uint8) for g in got.column("grams")])
-        found.append(np.unpackbits(bits.reshape(-1, BUCKETS // 8), axis=1).astype(np.float32))
-        langs += [lang] * len(found[-1])
-    if not langs:
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(7), "id").alias("draw"))
+
+    def first(part: DataFrame, *order: str) -> DataFrame:
+        return part.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_language).drop("_n")
+
+    keys = first(rows.select("lang", "draw"), "draw").distinct()
+    # rows of one id are bounded as well
+    got = first(rows.join(F.broadcast(keys), ["lang", "draw"], "left_semi").mapInArrow(_grams, "lang string, draw bigint, grams binary"), "draw", "grams").toArrow()
+    if not got.num_rows:
         return None
-    matrix = np.concatenate(found)
-    return Model(matrix / np.sqrt(np.maximum(1, matrix.sum(1, keepdims=True))), langs, landmarks, ridge)
+    bits = np.array([np.frombuffer(g.as_buffer(), np.uint8) for g in got.column("grams")])
+    return Model(bits, got.column("lang").to_pylist(), landmarks, ridge)
 
 
 def languages(docs: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "lang", **options) -> DataFrame:
