@@ -71,6 +71,20 @@ def test_odd_rows_are_rejected_and_small_cells_pooled(spark):
     assert not any(kept[1000 + i] for i in range(5)) and sum(kept[i] for i in range(600)) > 590
 
 
+def test_marks_and_doubled_lines_are_rejected_where_clean_texts_have_none(spark):
+    """Well under the old fixed floors: 10 % symbols, and 2.5 % doubled lines, per word; one mark in a clean text is no outlier."""
+    rng = random.Random(12)
+    plain = lambda: cases.prose(rng, rng.randrange(150, 250), 10 ** 6)
+    rows = [cases.row(i, plain() + (" &" if i % 40 == 0 else "")) for i in range(800)]
+    for i in range(4):
+        words = plain().split()
+        rows.append(cases.row(1000 + i, " ".join(w + ("*" if j % 10 == 0 else "") for j, w in enumerate(words))))
+        rows.append(cases.row(2000 + i, "\n".join([" ".join(words), *["again"] * (1 + len(words) // 40)])))
+    kept = {r["doc_id"]: r["kept"] for r in quality_outliers(spark.createDataFrame(rows, cases.SCHEMA)).collect()}
+    assert not any(kept[1000 + i] or kept[2000 + i] for i in range(4))
+    assert sum(kept[i] for i in range(800)) > 785
+
+
 def test_only_sql_functions_on_the_main_path(spark):
     docs, _ = cases.documents(spark)
     plan = quality_outliers(docs)._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,10 @@ Two starts run side by side (coordinate medians with median deviations, and Spea
 scores), and the one with the smaller determinant is kept.  Rows beyond a chi-square quantile of
 the squared Mahalanobis distance are rejected.
 
+A component that does not vary among a cell's rows has a floor instead of its spread: a third of
+what one mark, doubled line or repeated window makes in a text of median length, and for lengths a
+hundredth of the median deviation over all rows.
+
 A step needs one quantile and the first two moments per group: both combine before the shuffle,
 so a group of any size is never together in a task.  Distances come from a Cholesky factor
 written out as column expressions.
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from tomeweave.llm._store import Scratch
 
 SPACE = r"[\x20\x09-\x0D]"
-#: Vector components and the least spread that counts as variation in each.
-STATISTICS = {"v_length": 0.5, "v_word": 0.1, "v_symbols": 0.08, "v_lines": 0.12, "v_repeats": 0.12}
+STATISTICS = ("v_length", "v_word", "v_symbols", "v_lines", "v_repeats")
+#: The square of what one event makes in a text of one word; the share of that, and of a spread over all rows, that counts as none.
+EVENTS = {"v_symbols": 1, "v_lines": 10, "v_repeats": 10}
+STEP, DEGENERATE, ROUNDING = 1 / 3, 0.01, 1e-6
 H, STEPS, LEAST_ROWS, QUANTILE = 0.75, 4, 40, 0.9999
 
 
@@ -77,10 +83,19 @@ def _moments() -> list[Column]:
     return means + products
 
 
-def _factor(df: DataFrame) -> DataFrame:
+def floors(rows: DataFrame) -> dict[str, float]:
+    """The least spread of each component, from all rows; a few numbers."""
+    lengths = [c for c in _names() if c not in EVENTS]
+    middle = rows.agg(*[F.percentile_approx(c, 0.5, 1000).alias(c) for c in lengths]).first()
+    away = rows.agg(*[F.percentile_approx(F.abs(F.col(c) - F.lit(middle[c] or 0.0)), 0.5, 1000).alias(c) for c in lengths]).first()
+    words = max(1.0, math.expm1(middle["v_length"] or 0.0))
+    return {**{c: max(ROUNDING, DEGENERATE * 1.4826 * (away[c] or 0.0)) for c in lengths}, **{c: STEP * math.sqrt(n / words) for c, n in EVENTS.items()}}
+
+
+def _factor(df: DataFrame, least: dict[str, float]) -> DataFrame:
     """Cholesky factor ``l_i_j`` of the covariance and the logarithm of its determinant.
 
-    The least spread of each component is added, so a component that does not vary does no harm.
+    A component that varies less than its floor counts as if it varied by that.
     """
     names = _names()
     for i, name in enumerate(names):
@@ -89,7 +104,7 @@ def _factor(df: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             if i == j:
-                df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest + F.lit(STATISTICS[name] ** 2), F.lit(STATISTICS[name] ** 2))))
+                df = df.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(least[name] ** 2))))
             else:
                 df = df.withColumn(f"l_{i}_{j}", rest / F.col(f"l_{j}_{j}"))
     return df.withColumn("log_det", sum((F.log(F.col(f"l_{i}_{i}")) for i in range(len(names))), F.lit(0.0)))
@@ -106,17 +121,17 @@ def _distance() -> Column:
     return sum((z * z for z in solved), F.lit(0.0))
 
 
-def _estimates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return _factor(df.groupBy(*keys).agg(*_moments()))
+def _estimates(df: DataFrame, keys: list[str], least: dict[str, float]) -> DataFrame:
+    return _factor(df.groupBy(*keys).agg(*_moments()), least)
 
 
 def minimum_covariance(rows: DataFrame, scratch: Scratch, group: str = "cell", share: float = H, steps: int = STEPS) -> DataFrame:
     """Estimate per group: centre ``m_*``, factor ``l_*``, ``log_det``, and ``scale`` of the distances."""
-    names = _names()
+    names, least = _names(), floors(rows)
     medians = scratch.table(rows.groupBy(group).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"d_{c}") for c in names]), "medians")
     spread = scratch.table(rows.join(medians, group).groupBy(group).agg(
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"d_{c}")), 0.5, 1000).alias(f"s_{c}") for c in names]).join(medians, group), "spread")
-    robust = {c: (F.col(c) - F.col(f"d_{c}")) / F.greatest(F.col(f"s_{c}") * 1.4826, F.lit(STATISTICS[c])) for c in names}
+    robust = {c: (F.col(c) - F.col(f"d_{c}")) / F.greatest(F.col(f"s_{c}") * 1.4826, F.lit(least[c])) for c in names}
     first = sum((z * z for z in robust.values()), F.lit(0.0))
     # the second start orders rows by tanh scores, which no far row can stretch
     second = F.greatest(*[F.abs(F.tanh(z)) for z in robust.values()])
@@ -126,7 +141,7 @@ def minimum_covariance(rows: DataFrame, scratch: Scratch, group: str = "cell", s
     near, estimate = base, None
     for _ in range(steps):
         limits = scratch.table(near.groupBy(*keys).agg(F.percentile_approx("d", share, 1000).alias("limit")), "limits")
-        estimate = scratch.table(_estimates(near.join(limits, keys).where(F.col("d") <= F.col("limit")), keys), "estimate")
+        estimate = scratch.table(_estimates(near.join(limits, keys).where(F.col("d") <= F.col("limit")), keys, least), "estimate")
         near = rows.join(estimate, group).select(group, "start", *names, _distance().alias("d"))
     best = estimate.groupBy(group).agg(F.min_by(F.struct(*[c for c in estimate.columns if c != group]), F.struct("log_det", "start")).alias("b")).select(group, "b.*")
     best = scratch.table(best, "best")
