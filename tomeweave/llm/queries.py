@@ -14,6 +14,7 @@ from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.language_id import languages
 from tomeweave.llm.minhash_dedup import near_duplicates
 from tomeweave.llm.pack import pack
+from tomeweave.llm.periodic_runs import periodic_runs, respelled
 from tomeweave.llm.quality_classifier import quality_scores
 from tomeweave.llm.robust_outliers import quality_outliers
 from tomeweave.llm.substring_dedup import substring_dedup
@@ -144,3 +145,29 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
     return digests(format_conversations(rows.unionByName(tricky)))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+                  xor(4294967295, list_reduce([ord(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+                      lambda h, b: list_reduce(range(8), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(h, b)), 4294967295)) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM c),
+a AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a, CASE WHEN n > 0 AND h % 10 = 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] END AS w FROM a),
+s AS (SELECT doc_id, i, w[i + 1:i + 16] AS g FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM d WHERE n >= 24)),
+h AS (SELECT doc_id, i, hash(g) AS k, g FROM s),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.k = y.k AND x.g = y.g AND x.i < y.i),
+e AS (SELECT doc_id, q, min(i) AS start, max(i) + 16 + q - min(i) AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS v FROM m) GROUP BY doc_id, q, v),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM e WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY doc_id),
+b AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period OR
+      (y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))),
+z AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM d) p
+      ANTI JOIN z ON z.doc_id = p.doc_id AND z.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(o.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(o.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), min_words=24, powers=3, rule=respelled, spans=False)
