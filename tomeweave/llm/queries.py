@@ -18,6 +18,7 @@ from tomeweave.llm.periodic_runs import periodic_runs, respelled
 from tomeweave.llm.quality_classifier import quality_scores
 from tomeweave.llm.robust_outliers import quality_outliers
 from tomeweave.llm.substring_dedup import substring_dedup
+from tomeweave.llm.tier_pack import tier_pack
 from tomeweave.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +172,8 @@ SELECT d.doc_id, coalesce(o.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), min_words=24, powers=3, rule=respelled, spans=False)
+
+
+@query()
+def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=2, with_ids=False)
