@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tomeweave.llm._store import small_batches
 from tomeweave.llm.chat_format import digests, format_conversations
 from tomeweave.llm.class_lm import class_scores
+from tomeweave.llm.collocations import collocations
 from tomeweave.llm.decontaminate import contamination
 from tomeweave.llm.language_id import languages
 from tomeweave.llm.minhash_dedup import near_duplicates
@@ -177,3 +178,24 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_pack(table(spark, sf_dir, "documents"), word_bpe(), end_id=2, with_ids=False)
+
+
+@query(r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(coalesce(t, ''), '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+c AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g FROM w, (SELECT unnest(range(1, 5)) AS k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+b AS (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, k, g, f, unnest(range(1, k)) AS cut, w FROM b),
+y AS (SELECT x.lang, x.k, x.g, x.f AS a, x.cut, l.f AS l, r.f AS r, CAST(2000000 * CAST(x.f AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.g = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.g = array_to_string(w[cut + 1:], ' ')),
+s AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (SELECT lang, f, g, unnest(flatten([[array_to_string(w[j:j + m - 1], ' ') FOR j IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS part FROM b WHERE k > 2),
+m AS (SELECT lang, part AS g, max(f) AS longer FROM i GROUP BY ALL),
+t AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM s LEFT JOIN m USING (lang, g)
+      WHERE m.longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM t JOIN c USING (lang) WHERE rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000, covered=80)
