@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching
+from ..fixed import GOODREADS_FLOOR
+from ..operators import matching, similar
 from .base import Catalog, Tables
 from .derive import book_isbn13, sql_check10, sql_isbn13
 
@@ -25,6 +26,22 @@ scored AS (SELECT isbn13, p_size, 1 AS pos, c1 AS len, greatest(2.0 * w / (w + c
   UNION ALL SELECT isbn13, p_size, 3, w, 1.0, p_size % 2 = 0 FROM base)"""
 
 
+# the longest common block of a[al:ah] and b[bl:bh]: longest, then first in a, then first in b
+_BLOCK_SQL = """list_max(flatten([[{'k': len(list_filter(range(1, least(ah - i, bh - j) + 1), lambda k: a[i + 1:i + k] = b[j + 1:j + k])), 'i': -i, 'j': -j}
+  FOR j IN range(bl, bh)] FOR i IN range(al, ah)]))"""
+
+
+def sql_ratios(pairs: str) -> str:
+    """CTEs ``ratios(a, b, ratio)``: matching blocks left and right of the longest one, for each pair of texts of ``pairs(a, b)``."""
+    return f"""blocks(a, b, al, ah, bl, bh, m) AS (
+  SELECT *, {_BLOCK_SQL} FROM (SELECT DISTINCT a, b, 0 AS al, length(a) AS ah, 0 AS bl, length(b) AS bh FROM {pairs})
+  UNION ALL SELECT *, {_BLOCK_SQL} FROM (
+    SELECT a, b, CASE side WHEN 0 THEN al ELSE m.k - m.i END AS al, CASE side WHEN 0 THEN -m.i ELSE ah END AS ah,
+           CASE side WHEN 0 THEN bl ELSE m.k - m.j END AS bl, CASE side WHEN 0 THEN -m.j ELSE bh END AS bh
+    FROM blocks, (SELECT unnest([0, 1]) AS side) WHERE m.k > 0) WHERE al < ah AND bl < bh),
+ratios AS (SELECT a, b, 2.0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b)"""
+
+
 def _pairs(t: Tables):
     parts = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
     wanted = parts.selectExpr("isbn13", "p_name AS title", "array(p_brand) AS authors")
@@ -92,8 +109,36 @@ def pick_bookbub(t: Tables):
     return _rounded(matching.bookbub_pick(matching.pair_up(wanted, candidates))).select("isbn13", "rung", "score", "confident")
 
 
-@catalog.query()
+@catalog.query(f"""WITH RECURSIVE p AS (SELECT p_partkey, lower(p_name || ' of ' || p_type) AS a,
+  lower(reverse(string_split(p_name, ' ')[1]) || ' ' || string_split(p_name, ' ')[2] || ' or ' || p_type) AS b FROM part),
+{sql_ratios("p")} SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE ratio END, 6) AS score FROM p JOIN ratios USING (a, b)""")
 def title_scores(t: Tables):
-    """Real text ratios, no closed form: each name against a neighbouring spelling (tested against the standard library)."""
+    """Real text ratios: each name against a neighbouring spelling."""
     pairs = t.part.selectExpr("p_partkey", "concat(p_name, ' of ', p_type) AS wanted", "concat(reverse(split(p_name, ' ')[0]), ' ', split(p_name, ' ')[1], ' or ', p_type) AS candidate")
     return matching.add_title_score(pairs, "wanted", "candidate").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+# a catalogue of other spellings: as it is, a letter lost, words turned, a letter changed, words added, words dropped
+_SPELLINGS = ["{n}", "concat(substring({n}, 1, 3), substring({n}, 5))", "concat({n}, ' tales')", "replace({n}, 'e', 'a')", "concat(reverse({n}), ' x')", "concat(substring({n}, 1, 1), {n})"]
+
+
+def _spelling(name: str, number: str) -> str:
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {s.format(n=name)}" for i, s in enumerate(_SPELLINGS)) + " END"
+
+
+_AUTHOR = "concat('Ann ', translate(p_brand, '#0123456789', 'xabcdefghij'))"
+
+@catalog.query(f"""WITH RECURSIVE wanted AS (SELECT min(p_partkey) AS wanted_id, lower(p_name) AS a, lower(translate(p_brand, '#0123456789', 'xabcdefghij')) AS s FROM part GROUP BY p_name, p_brand),
+raw AS (SELECT {_spelling("p_name", "p_size % 6")} AS title, p_brand, p_partkey FROM part),
+catalogue AS (SELECT min(p_partkey) AS candidate_id, lower(title) AS b, lower(translate(p_brand, '#0123456789', 'xabcdefghij')) AS t FROM raw GROUP BY title, p_brand),
+pairs AS (SELECT * FROM (SELECT DISTINCT a FROM wanted), (SELECT DISTINCT b FROM catalogue)),
+{sql_ratios("pairs")},
+scored AS (SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN greatest(ratio, 0.85) ELSE ratio END AS score FROM ratios)
+SELECT wanted_id, candidate_id, round(score, 6) AS score FROM scored JOIN wanted USING (a) JOIN catalogue USING (b) WHERE score >= 0.8 AND contains('ann ' || t, s)""")
+def similar_titles(t: Tables):
+    """Wanted books against a catalogue without a shared identifier; the oracle scores the cross product of different titles."""
+    wanted = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("wanted_id"))
+    wanted = wanted.selectExpr("wanted_id", "p_name AS title", f"array({_AUTHOR}) AS authors")
+    catalogue = t.part.selectExpr(f"{_spelling('p_name', 'p_size % 6')} AS title", "p_brand", "p_partkey").groupBy("title", "p_brand").agg(F.min("p_partkey").alias("candidate_id"))
+    catalogue = catalogue.selectExpr("candidate_id", "title", f"array({_AUTHOR}) AS authors")
+    return similar.similar(wanted, catalogue, GOODREADS_FLOOR).select("wanted_id", "candidate_id", F.round("score", 6).alias("score"))
