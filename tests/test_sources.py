@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -60,6 +63,56 @@ def test_quoted_cells_over_lines_and_rows_of_any_width(spark, tmp_path):
     assert problems(wide) == [(251, "column 1 is empty")] and wide.summary.first().asDict() == {"entries": 1, "duplicates": 249, "skipped": 1}
 
 
+def test_records_equal_the_standard_reader(spark, tmp_path):
+    rng, lists_of = random.Random(5), {}
+    for trial in range(40):
+        d = rng.choice(";,|\t")
+        rows = []
+        for _ in range(rng.randrange(1, 60)):
+            cells = ["".join(rng.choice(['"', '""', "\n", d, "a", "b c", "é", '"' + d, d + '"', ""]) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 5))]
+            rows.append(d.join('"' + c.replace('"', '""') + '"' if rng.random() < 0.5 else c.replace("\n", "") for c in cells))
+        # what closes every quote that is left open
+        text = "\n".join(rows) + "\n"
+        want = list(csv.reader(io.StringIO(text, newline=""), delimiter=d))
+        if text.count('"') % 2 or list(csv.reader(io.StringIO(text + "end", newline=""), delimiter=d))[-1] != ["end"]:
+            continue
+        path = write(tmp_path, text, f"r{trial}.csv")
+        lists_of.setdefault(d, []).append((path, [[c.strip(" ") for c in r] for r in want if r]))
+    assert sum(map(len, lists_of.values())) > 10
+    old = lists.BLOCK_LINES
+    lists.BLOCK_LINES = 4
+    try:
+        for d, files in lists_of.items():
+            lines = lists.read_lines(spark, [p for p, _ in files])
+            got = lists.join_quoted_lines(lines, d).where("value <> '' or open_quote").select("file", "row", lists.cells_of(F.col("value"), d).alias("cells"), "open_quote").orderBy("file", "row").collect()
+            for path, want in files:
+                assert [r["cells"] for r in got if r["file"].endswith(path)] == want
+                assert not any(r["open_quote"] for r in got)
+    finally:
+        lists.BLOCK_LINES = old
+
+
+def test_a_cell_of_any_length_over_many_blocks(spark, tmp_path):
+    long = "\n".join(f"line {i}, with \"\"marks\"\" and; signs" for i in range(5000))
+    path = write(tmp_path, f'ISBN,Title\n9780143127550,"{long}"\n9780312954154,"x"\n"never closed,9780062316097\n9780821716595,last\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
+        found = lists.read_identifier_list(spark, path)
+        assert [(e[0], e[1]) for e in entries(found)] == [("9780143127550", 5001), ("9780312954154", 5002), ("9780821716595", 5004)]
+        assert entries(found)[0][2] == long.replace('""', '"') and problems(found) == [(5003, "unparseable (open quote)")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_decoding_without_a_false_alarm(spark, tmp_path):
+    for content, want in (("9780143127550,Caf\u00e9 \ufffd\n".encode(), "Café \ufffd"), ("9780143127550,Caf\u00e9 \u201cx\u201d\n".encode("cp1252"), "Café “x”"),
+                          (b"9780143127550,Caf\xe9 \x81\x93\n", "Caf\xe9 \x81\x93"), ("\ufeff9780143127550,Z\u00fcrich\n".encode(), "Zürich")):
+        path = write(tmp_path, content, f"{len(want)}{want[-1]!a}.csv".replace("\\", ""))
+        assert [r["value"] for r in lists.read_with_fallback(spark, path).collect()] == ["9780143127550," + want]
+
+
 def test_delimiters_by_their_constancy(spark, tmp_path):
     for content, want in (("a;b\nc;d, e\n", ";"), ("a|b|c\n1|2|3\n", "|"), ("one\ntwo\n", ","), ('"a,b";c\n"d,e";f\n', ";"), ("a\tb\n", "\t"), ("a,b;c\n", ",")):
         assert lists.delimiter_of(lists.read_lines(spark, write(tmp_path, content, f"{ord(want)}{len(content)}.csv"))).first()[0] == want
@@ -84,6 +137,40 @@ def test_metadata_arrays(spark, tmp_path):
     assert [(r["source"], r["isbn13"], r["title"]) for r in got] == [("amazon", "1", "A"), ("amazon", "2", None), ("kobo", "3", None)] and got[0]["authors"] == ["x"]
 
 
+def test_arrays_of_any_shape_equal_the_standard_parser(spark, tmp_path):
+    rng, want = random.Random(4), []
+    odd = ["a}b", "{", '"', "\\", 'x\\"}', "[]", "é}", "", None, 5, 1.5, True, "},{", "\n}"]
+
+    def value(deep):
+        if deep > 3 or rng.random() < 0.4:
+            return rng.choice(odd)
+        if rng.random() < 0.4:
+            return [value(deep + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice('ab}"{'): value(deep + 1) for _ in range(rng.randrange(4))}
+
+    for i in range(48):
+        items = [{"isbn13": f"{i}-{j}", "v": value(0)} if rng.random() < 0.7 else value(0) for j in range(rng.randrange(30))]
+        if i % 8 == 3:
+            items = {"isbn13": str(i), "v": value(0)}
+        text = json.dumps(items, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)
+        if i % 6 == 5:
+            at = rng.randrange(len(text))
+            text = rng.choice([text[:at], text + "]", text + "x", text.replace("}", "}}", 1), "[," + text[1:], text[:-1] + ",,{}]", text + "\n "])
+        write(tmp_path, text, f"s{i}_metadata.json")
+        try:
+            body = json.loads(text)
+        except ValueError:
+            continue
+        want += [(f"s{i}", p, json.dumps(x, sort_keys=True)) for p, x in enumerate(body if isinstance(body, list) else [body]) if isinstance(x, dict)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = stores.read_metadata_arrays(spark, str(tmp_path / "*_metadata.json")).selectExpr("source", "pos", "to_json(record) AS r").collect()
+        assert sorted((r["source"], r["pos"], json.dumps(json.loads(r["r"]), sort_keys=True)) for r in rows) == sorted(want) and len(want) > 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_ledgers_round_trip(spark, tmp_path):
     write(tmp_path, "1 2\n2\n", "kobo_no_data.txt")
     write(tmp_path, "3\n", "amazon_incomplete.txt")
@@ -91,6 +178,7 @@ def test_ledgers_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == [("amazon", "incomplete", "3"), ("kobo", "no_data", "1"), ("kobo", "no_data", "2")]
     stores.write_ledgers(found, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out" / "kind=no_data" / "source=kobo")).count() == 2
+    assert sorted(map(tuple, stores.read_written_ledgers(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_snapshots_replace_without_touching_their_input(spark, tmp_path):

@@ -92,3 +92,52 @@ def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     seen = spread.withColumn("_seen", F.last("_value", True).over(inside))
     return (null_safe_join(seen, carried, [*keys, "_bucket"]).withColumn(name, F.coalesce("_seen", "_carry"))
             .drop("_bucket", "_value", "_seen", "_carry"))
+
+
+def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over a key's rows up to and including each; buckets as in :func:`numbered`."""
+    spread = _spread(df, bucket)
+    sizes = spread.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_rows"))
+    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = null_safe_join(spread.withColumn("_at", F.sum(value).over(inside)), _offsets(sizes, keys), [*keys, "_bucket"])
+    return placed.withColumn(name, F.col("_at") + F.col("_offset")).drop("_bucket", "_at", "_offset")
+
+
+def _composed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """For rows that each map state 0 to ``_f0`` and state 1 to ``_f1``: what all rows of a key up to each one do together (``_h``).
+
+    Behind the last row that forgets the state (both give the same) only the swaps count.
+    """
+    upto = (W.partitionBy(*keys) if keys else W).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    swaps = df.withColumn("_swaps", F.sum(((F.col("_f0") == 1) & (F.col("_f1") == 0)).cast("int")).over(upto))
+    reset = F.when(F.col("_f0") == F.col("_f1"), F.struct(F.col("_f0").alias("state"), F.col("_swaps").alias("at")))
+    reset = F.last(reset, True).over(upto)
+    known = (reset["state"] + F.col("_swaps") - reset["at"]) % 2
+    odd = F.col("_swaps") % 2
+    return swaps.withColumn("_h", F.struct(F.coalesce(known, odd).cast("int").alias("f0"), F.coalesce(known, 1 - odd).cast("int").alias("f1"))).drop("_swaps")
+
+
+def _applied(function: Column, state: Column) -> Column:
+    """A missing function keeps the state."""
+    return F.coalesce(F.when(state == 0, function["f0"]).otherwise(function["f1"]), state)
+
+
+def state_before(df: DataFrame, keys: list[str], bucket: Column, order: list[str], from_0: Column, from_1: Column, name: str) -> DataFrame:
+    """The state (0 or 1, at first 0) in which each row of a key is reached.
+
+    ``from_0`` and ``from_1`` are the states behind a row that is reached in 0 and in 1.  Rows are
+    composed within their bucket, buckets within a span, and spans: a row's function is its own,
+    whatever comes before it, so no task sees a whole key.
+    """
+    rows = _composed(_spread(df, bucket).withColumns({"_f0": from_0.cast("int"), "_f1": from_1.cast("int")}), [*keys, "_bucket"], order)
+    rows = rows.withColumn("_own", F.lag("_h").over(W.partitionBy(*keys, "_bucket").orderBy(*order)))
+    sums = rows.groupBy(*keys, "_bucket").agg(F.max_by("_h", F.struct(*order)).alias("_h")).withColumn("_span", _span())
+    sums = _composed(sums.select(*keys, "_bucket", "_span", F.col("_h")["f0"].alias("_f0"), F.col("_h")["f1"].alias("_f1")), [*keys, "_span"], ["_bucket"])
+    near = sums.withColumn("_near", F.lag("_h").over(W.partitionBy(*keys, "_span").orderBy("_bucket")))
+    spans = sums.groupBy(*keys, "_span").agg(F.max_by("_h", "_bucket").alias("_h"))
+    spans = _composed(spans.select(*keys, "_span", F.col("_h")["f0"].alias("_f0"), F.col("_h")["f1"].alias("_f1")), keys, ["_span"])
+    spans = spans.withColumn("_far", F.lag("_h").over((W.partitionBy(*keys) if keys else W).orderBy("_span")))
+    entry = null_safe_join(near.select(*keys, "_bucket", "_span", "_near"), spans.select(*keys, "_span", "_far"), [*keys, "_span"]).drop("_span")
+    joined = null_safe_join(rows, entry, [*keys, "_bucket"])
+    state = _applied(F.col("_own"), _applied(F.col("_near"), _applied(F.col("_far"), F.lit(0))))
+    return joined.withColumn(name, state).drop("_bucket", "_f0", "_f1", "_h", "_own", "_near", "_far")

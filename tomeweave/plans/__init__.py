@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["identifiers", "records", "runs", "texts", "pages", "shops", "artefact_jobs", "matches", "streams"]
+GROUPS = ["identifiers", "records", "runs", "texts", "pages", "shops", "artefact_jobs", "matches", "storage", "streams"]
 
 
 def catalogs():

@@ -2,27 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.markup import looks_like_html
-from ..functions.payload import as_object, elements, is_array, is_object, loads, raw_text
+from ..functions.payload import elements, is_object, raw_text
+from ..operators.skew import numbered, running_sum, state_before
+from ..session import checkpoint_folder
 
 
-def read_metadata_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``<source>_metadata.json`` arrays to ``(source, pos, isbn13, record)``.
+BLOCK_CHUNKS = 1 << 14
+_IN_STRING = r'(?:[^"\\]++|\\.)*+'
 
-    A file that does not parse gives no rows, elements that are no objects are dropped, and a
-    bare object is one record.  A file is one value, so this is for the exchange format; tables
-    that grow are kept as Parquet.
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file as pieces up to its closing braces: ``(file, _size, row, value)``.
+
+    The brace is the record separator of the scan, so one long line is many tasks as well.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
+                        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), "value")
+    return numbered(placed, ["file"], F.col("_block"), ["_order"], "row").drop("_block", "_order")
+
+
+def read_metadata_arrays(spark: SparkSession, path: str, name: str = r"([^/]*)_metadata\.json$") -> DataFrame:
+    """``<source>_metadata.json`` arrays to ``(source, pos, isbn13, record)``; ``name`` finds the source in a file's path.
+
+    A file that does not parse gives no rows, elements that are no objects are dropped (``pos``
+    counts them), and a bare object is one record.
+
+    One array of any size is read by many tasks: a file is cut at closing braces; each piece says
+    whether it ends inside a string, read from outside and from inside of one, and a scan
+    composes that.  Then the depth of brackets is a running sum, and a piece that ends one level
+    deep ends an element.  No task holds more than the pieces of one element.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", "^(.*)_metadata\\.json$", 1).alias("source"), loads(F.col("value")).alias("body"))
-    items = F.when(is_array(F.col("body")), elements(F.col("body"))).otherwise(F.array(as_object(F.col("body"))))
-    rows = files.select("source", F.posexplode(items).alias("pos", "record")).where(is_object(F.col("record")))
+    found = _chunks(spark, path)
+    quote = F.lit('"')
+    entered = F.regexp_replace("value", f'(?s)^{_IN_STRING}(?:"|$)', "")
+    closed = F.col("value").rlike(f'(?s)^{_IN_STRING}"')
+    unfinished = lambda text: F.contains(_strip_strings(text), quote)
+    known = state_before(found, ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], unfinished(F.col("value")), ~closed | unfinished(entered), "_inside")
+    checkpoint_folder(spark)
+    # every step below reads the pieces and their states
+    known = known.checkpoint()
+    bare = _strip_strings(F.when(F.col("_inside") == 0, F.col("value")).when(closed, entered).otherwise(F.lit("")))
+    # a file that ends with a brace has one behind its last piece, too: its size tells (a byte order mark is not read)
+    last = known.groupBy("file").agg(F.max("row").alias("_last"), (F.max("_size") - F.sum(F.octet_length("value") + 1)).isin(0, 3).alias("_closed"),
+                                    F.max((F.col("row") == 1) & F.col("value").rlike("^\\s*\\{")).alias("_lone"))
+    sized = known.join(last, "file").withColumn("_bare", F.split(bare, quote, 2)[0])
+    before_brace = (F.col("row") < F.col("_last")) | F.col("_closed")
+    # the brace counts where it stands outside strings
+    sized = sized.withColumn("_braced", before_brace & ~F.contains(bare, quote) & ((F.col("_inside") == 0) | closed))
+    count = lambda letters: F.length("_bare") - F.length(F.translate("_bare", letters, ""))
+    step = count("[{") - count("]}") - F.col("_braced").cast("int")
+    deep = running_sum(sized.withColumn("_step", step), ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], "_step", "_depth")
+    ends = F.col("_braced") & (F.col("_depth") == 1) & ~F.col("_lone")
+    placed = running_sum(deep.withColumn("_ends", ends.cast("int")), ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], "_ends", "_done")
+    text = F.concat("value", F.when(before_brace, F.lit("}")).otherwise(F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("row", text.alias("text"))))
+    # an element's number is that of the elements ended before it
+    groups = (placed.groupBy("file", (F.col("_done") - F.col("_ends")).alias("_element"))
+              .agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.max(F.col("row") == F.col("_last")).alias("_end"), F.max_by("_depth", "row").alias("_depth")))
+    # "[a, {..}" and ", b, {..}" and ", c]" become arrays of their own
+    first, body = F.col("_element") == 0, F.trim(F.regexp_replace("text", "^[\\s\\x{FEFF}]+|\\s+$", ""))
+    lone = first & F.col("_end") & ~F.startswith(body, F.lit("["))
+    opened = F.when(first & F.startswith(body, F.lit("[")), F.substr(body, F.lit(2))).when(~first & F.startswith(body, F.lit(",")), F.substr(body, F.lit(2)))
+    rest = F.when(F.col("_end"), F.when(F.endswith(body, F.lit("]")), F.regexp_replace(F.coalesce(opened, body), "\\s*\\]$", ""))).otherwise(opened)
+    # behind the last element only the end of the array may stand, in front of it no comma alone
+    rest = F.when(F.col("_end") & ~first & F.startswith(body, F.lit("]")), F.regexp_replace(body, "^\\]$", "")).otherwise(rest)
+    list_text = F.concat(F.lit("["), F.when(lone, body).otherwise(rest), F.lit("]"))
+    bad_comma = ~first & F.startswith(body, F.lit(",")) & (F.trim(F.coalesce(rest, F.lit(""))) == "")
+    parsed = groups.withColumn("items", F.when(~bad_comma, F.try_variant_get(F.try_parse_json(list_text), "$", "array<variant>")))
+    wrong = F.col("items").isNull() | (F.col("_end") & (F.col("_depth") != 0))
+    whole = parsed.groupBy("file").agg(F.max(wrong).alias("wrong")).where(~F.col("wrong")).select("file")
+    parsed = running_sum(parsed.join(whole, "file", "left_semi").withColumn("_n", F.size("items")), ["file"], F.col("_element") / BLOCK_CHUNKS, ["_element"], "_n", "_upto")
+    rows = parsed.select(F.regexp_extract("file", name, 1).alias("source"), (F.col("_upto") - F.col("_n")).alias("_before"), F.posexplode("items").alias("at", "record"))
+    rows = rows.where(is_object(F.col("record"))).select("source", (F.col("_before") + F.col("at")).alias("pos"), "record")
     return rows.select("source", "pos", F.trim(raw_text(F.col("record"), "isbn13")).alias("isbn13"), "record")
 
 
+def _strip_strings(text: Column) -> Column:
+    """What stands outside strings, read from outside; a string left open leaves its quote."""
+    return F.regexp_replace(F.regexp_replace(text, f'(?s)"{_IN_STRING}"', ""), f'(?s)"{_IN_STRING}\\\\?$', '"')
+
+
 def record_fields(rows: DataFrame) -> DataFrame:
     """The eight fields of stored records."""
     record = F.col("record")
@@ -40,6 +105,12 @@ def read_ledgers(spark: SparkSession, folder: str) -> DataFrame:
             .where("isbn13 <> ''").distinct())
 
 
+def read_written_ledgers(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_ledgers` wrote, as ``(source, kind, isbn13)``."""
+    lines = spark.read.schema("value string, kind string, source string").text(path)
+    return lines.select("source", "kind", F.col("value").alias("isbn13")).where("isbn13 <> ''").distinct()
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Image files with their content, for ``artefacts.image_ext``."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), F.col("length").alias("bytes"), "content")
@@ -69,6 +140,21 @@ def append_records(new: DataFrame, path: str) -> None:
     new.write.mode("append").partitionBy("source").parquet(path)
 
 
+def write_metadata_arrays(records: DataFrame, path: str, parts: int = 16) -> None:
+    """``(source, pos, record)`` with records as JSON text to array files, ``parts`` of them for each source.
+
+    Every file is one array in the order of ``pos``; ``read_metadata_arrays`` reads it with the
+    pattern ``source=([^/]+)/``.  More parts keep a big source's files and write tasks small.
+    """
+    dealt = records.withColumn("part", F.pmod(F.xxhash64("pos"), F.lit(parts)))
+    file = W.partitionBy("source", "part").orderBy("pos")
+    start = F.when(F.lag("pos").over(file).isNull(), F.lit("[")).otherwise(F.lit(""))
+    end = F.when(F.lead("pos").over(file).isNull(), F.lit("]")).otherwise(F.lit(","))
+    lines = dealt.select("source", "part", "pos", F.concat(start, "record", end).alias("value"))
+    (lines.repartition("source", "part").sortWithinPartitions("source", "part", "pos").drop("pos")
+     .write.partitionBy("source", "part").text(path))
+
+
 def snapshots(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the complete snapshots under a root."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
