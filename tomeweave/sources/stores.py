@@ -72,9 +72,10 @@ def read_metadata_arrays(spark: SparkSession, path: str, name: str = r"([^/]*)_m
     rest = F.when(F.col("_end"), F.when(F.endswith(body, F.lit("]")), F.regexp_replace(F.coalesce(opened, body), "\\s*\\]$", ""))).otherwise(opened)
     # behind the last element only the end of the array may stand, in front of it no comma alone
     rest = F.when(F.col("_end") & ~first & F.startswith(body, F.lit("]")), F.regexp_replace(body, "^\\]$", "")).otherwise(rest)
-    list_text = F.concat(F.lit("["), F.when(lone, body).otherwise(rest), F.lit("]"))
+    # the parser stops behind a whole value; inside an object anything that follows is an error
+    list_text = F.concat(F.lit('{"x":['), F.when(lone, body).otherwise(rest), F.lit("]}"))
     bad_comma = ~first & F.startswith(body, F.lit(",")) & (F.trim(F.coalesce(rest, F.lit(""))) == "")
-    parsed = groups.withColumn("items", F.when(~bad_comma, F.try_variant_get(F.try_parse_json(list_text), "$", "array<variant>")))
+    parsed = groups.withColumn("items", F.when(~bad_comma, F.try_variant_get(F.try_parse_json(list_text), "$.x", "array<variant>")))
     wrong = F.col("items").isNull() | (F.col("_end") & (F.col("_depth") != 0))
     whole = parsed.groupBy("file").agg(F.max(wrong).alias("wrong")).where(~F.col("wrong")).select("file")
     parsed = running_sum(parsed.join(whole, "file", "left_semi").withColumn("_n", F.size("items")), ["file"], F.col("_element") / BLOCK_CHUNKS, ["_element"], "_n", "_upto")
