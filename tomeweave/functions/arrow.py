@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import html
+import re
 import sys
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import ORIGIN_KEYS
+
 # executors need no copy of this package: the helpers travel with the task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,11 +30,52 @@ _RAW = frozenset(("script", "style", "template"))
 # captured pages are often escaped twice, so text and these attributes are resolved once more
 _READ_AS_TEXT = frozenset(("content", "aria-label", "alt", "reviewer", "review-date"))
 
+#: Values up to this length are indexed; no selector asks for a longer one.
+INDEXED_LENGTH = 64
+_ORIGIN_LABELS = frozenset(ORIGIN_KEYS)
+
 NODE_TYPE = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("last", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType())]))
+PAGE_TYPE = T.StructType([T.StructField("list", NODE_TYPE), T.StructField("index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
+
+
+def _squashed(text):
+    return re.sub("[^0-9a-z]+", "", text.lower())
+
+
+def _postings(rows):
+    """Where each tag, class, attribute and attribute value stands: sorted positions by ``<tag``, ``.class``, ``@name`` and ``=name value``.
+
+    Three more hold the places that may name an origin: ``*meta``, ``*prop`` and ``*label``.
+    """
+    index = {}
+    add = lambda key, at: index.setdefault(key, []).append(at)
+    for at, _, tag, attrs, text in rows:
+        if tag == "#text":
+            if len(text) <= 200 and _squashed(text.split(":", 1)[0]) in _ORIGIN_LABELS:
+                add("*label", at)
+            continue
+        if tag[0] in "#/":
+            continue
+        add("<" + tag, at)
+        labelled = False
+        for name, value in attrs:
+            add("@" + name, at)
+            if len(value) <= INDEXED_LENGTH:
+                add(f"={name} {value}", at)
+            if name == "class":
+                for token in dict.fromkeys(re.split(r"[ \t\n\x0b\f\r]+", value)):
+                    add("." + token, at)
+            elif name in ("property", "name", "itemprop") and len(value) <= 200 and _squashed(value) in _ORIGIN_LABELS:
+                labelled = True
+                if name == "itemprop":
+                    add("*prop", at)
+        if labelled and tag == "meta":
+            add("*meta", at)
+    return index
 
 
 class _Tokens(HTMLParser):
@@ -105,26 +150,29 @@ class _Tokens(HTMLParser):
         return self.rows
 
 
-@F.arrow_udf(NODE_TYPE)
+def _ends(lists):
+    return pa.array([0, *accumulate(map(len, lists))], pa.int32())
+
+
+@F.arrow_udf(PAGE_TYPE)
 def parse_nodes(pages: pa.Array) -> pa.Array:
-    """HTML text to its flat node list; null stays null."""
-    offsets, attr_offsets, keys, values = [0], [0], [], []
-    pos, last, tags, texts, valid = [], [], [], [], []
+    """HTML text to its flat node list and the index over it; null stays null."""
+    lists, indexes, missing = [], [], []
     for page in pages.to_pylist():
-        valid.append(page is not None)
-        for p, end, tag, attrs, text in _Tokens().nodes(page) if page else ():
-            pos.append(p), last.append(end), tags.append(tag), texts.append(text)
-            keys.extend(k for k, _ in attrs)
-            values.extend(v for _, v in attrs)
-            attr_offsets.append(len(keys))
-        offsets.append(len(pos))
-    attr_map = pa.MapArray.from_arrays(pa.array(attr_offsets, pa.int32()),
-                                       pa.array(keys, pa.string()), pa.array(values, pa.string()))
-    rows = pa.StructArray.from_arrays(
-        [pa.array(pos, pa.int32()), pa.array(last, pa.int32()), pa.array(tags, pa.string()),
-         attr_map, pa.array(texts, pa.string())], ["pos", "last", "tag", "attrs", "text"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows,
-                                    mask=pa.array([not v for v in valid], pa.bool_()))
+        missing.append(page is None)
+        lists.append(_Tokens().nodes(page) if page else [])
+        indexes.append(_postings(lists[-1]))
+    rows = [row for rows in lists for row in rows]
+    pos, last, tags, attrs, texts = list(zip(*rows)) or [()] * 5
+    pairs = [pair for own in attrs for pair in own]
+    attr_map = pa.MapArray.from_arrays(_ends(attrs), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    nodes = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(last, pa.int32()), pa.array(tags, pa.string()), attr_map, pa.array(texts, pa.string())],
+                                       ["pos", "last", "tag", "attrs", "text"])
+    keys = [key for index in indexes for key in index]
+    found = [at for index in indexes for at in index.values()]
+    places = pa.ListArray.from_arrays(_ends(found), pa.array([p for at in found for p in at], pa.int32()))
+    index = pa.MapArray.from_arrays(_ends(indexes), pa.array(keys, pa.string()), places)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(_ends(lists), nodes), index], ["list", "index"], mask=pa.array(missing, pa.bool_()))
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -151,28 +199,25 @@ def seq_ratios(lefts: pa.Array, rights: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.float64()))
 
 
+#: A whole string of either quote, also one that never ends, or a single bracket.
+_STRING_OR_BRACKET = re.compile(r'''"(?:[^"\\]|\\.)*(?:"|\\?\Z)|'(?:[^'\\]|\\.)*(?:'|\\?\Z)|[\[\]]''', re.S)
+_DEEPER = {"[": 1, "]": -1}
+
+
+def _closing(text):
+    """End of the bracket that closes the first one; None without."""
+    marks = [m for m in _STRING_OR_BRACKET.finditer(text or "") if m[0] in _DEEPER]
+    depths = accumulate(_DEEPER[m[0]] for m in marks)
+    return next((m.end() for m, depth in zip(marks, depths) if depth == 0), None)
+
+
 @F.arrow_udf(T.StringType())
 def bracket_block(texts: pa.Array) -> pa.Array:
     """The balanced ``[...]`` a text starts with, quotes respected; null when it never closes."""
     out = []
     for text in texts.to_pylist():
-        depth, quote, skip, found = 0, "", False, None
-        for at, char in enumerate(text or ""):
-            if skip:
-                skip = False
-            elif quote:
-                skip = char == "\\"
-                quote = "" if char == quote else quote
-            elif char in "\"'":
-                quote = char
-            elif char == "[":
-                depth += 1
-            elif char == "]":
-                depth -= 1
-                if depth == 0:
-                    found = text[:at + 1]
-                    break
-        out.append(found)
+        end = _closing(text)
+        out.append(None if end is None else text[:end])
     return pa.array(out, pa.string())
 
 

@@ -1,88 +1,126 @@
-"""Selections over parsed pages: plain column expressions on the flat node list.
-
-``arrow.parse_nodes`` turns a page into an array of nodes in document order, each with the
-position of its last descendant.  A subtree is therefore a slice, and every selector below
-is a filter on a slice: no shuffle, no further Python.  Entities are resolved while parsing,
-so the text of a node only needs its white space tidied.
+"""Selections over parsed pages: plain column expressions on a node list and its index.
+
+``arrow.parse_nodes`` turns a page into ``struct<list, index>``: nodes in document order, each with
+the position of its last descendant, and the positions of every tag, class, attribute and
+attribute value, noted in the same pass.  A selector looks its rarest part up and tests only
+the nodes found there; a descendant is a position within a range.  So no selector reads the
+whole list, there is no shuffle and no further Python.  Entities are resolved while parsing, so
+the text of a node only needs its white space tidied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import BLOCK_TAGS, ORIGIN_KEYS
-from .core import keep_nonblank, let, literal_array
+from ..fixed import BLOCK_TAGS
+from .arrow import INDEXED_LENGTH
+from .core import keep_nonblank, let
 from .payload import place_text
-from .text import squash, tidy
-
-Test = Callable[[Column], Column]
+from .text import tidy
 
 
 def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-def el(tag: str | list[str] | None = None, cls: str | list[str] = (), attrs: dict | None = None,
-       has: list[str] = ()) -> Test:
-    """A node test: tag, classes, attribute values and attributes that must be present.
+@dataclass(frozen=True)
+class El:
+    """A node test: tag, classes, attribute values and attributes that must be present."""
 
-    An attribute value that starts with ``^``, ``*`` or ``~`` is a prefix, a substring or a
-    regular expression.
-    """
-    tags = [tag] if isinstance(tag, str) else tag
-    classes = [cls] if isinstance(cls, str) else list(cls)
+    tags: tuple[str, ...]
+    classes: tuple[str, ...]
+    attrs: tuple[tuple[str, str], ...]
+    has: tuple[str, ...]
 
-    def test(node: Column) -> Column:
-        checks = [node["tag"].isin(tags) if tags else ~node["tag"].rlike("^[#/]")]
-        if classes:
+    def __call__(self, node: Column) -> Column:
+        checks = [node["tag"].isin(list(self.tags)) if self.tags else ~node["tag"].rlike("^[#/]")]
+        if self.classes:
             own = F.split(F.coalesce(attr(node, "class"), F.lit("")), "\\s+")
-            checks += [F.array_contains(own, c) for c in classes]
-        for name, value in (attrs or {}).items():
+            checks += [F.array_contains(own, c) for c in self.classes]
+        for name, value in self.attrs:
             held = F.coalesce(attr(node, name), F.lit(""))
             checks.append(F.startswith(held, F.lit(value[1:])) if value[:1] == "^" else
                           F.contains(held, F.lit(value[1:])) if value[:1] == "*" else
                           held.rlike(value[1:]) if value[:1] == "~" else held == value)
-        checks += [attr(node, name).isNotNull() for name in has]
-        out = checks[0]
-        for check in checks[1:]:
-            out = out & check
-        return out
+        checks += [attr(node, name).isNotNull() for name in self.has]
+        return reduce(lambda a, b: a & b, checks)
 
-    return test
+    def _exact(self) -> list[tuple[str, str]]:
+        return [(n, v) for n, v in self.attrs if v and v[0] not in "^*~" and len(v) <= INDEXED_LENGTH]
+
+    def keys(self) -> tuple[list[str], bool]:
+        """Index keys whose places hold all matches, the rarest kind first, and whether every node there is one."""
+        parts = len(self.classes) + len(self.attrs) + len(self.has) + bool(self.tags)
+        if exact := self._exact():
+            return [f"={exact[0][0]} {exact[0][1]}"], parts == 1
+        if self.classes:
+            return ["." + self.classes[0]], parts == 1
+        named = [*self.has, *[n for n, v in self.attrs if v.strip("^*~")]]
+        if named:
+            return ["@" + named[0]], parts == 1 and bool(self.has)
+        return ["<" + t for t in self.tags], parts == 1
+
+
+def el(tag: str | list[str] | None = None, cls: str | list[str] = (), attrs: dict | None = None,
+       has: list[str] = ()) -> El:
+    """A node test.
+
+    An attribute value that starts with ``^``, ``*`` or ``~`` is a prefix, a substring or a
+    regular expression.
+    """
+    tags = (tag,) if isinstance(tag, str) else tuple(tag or ())
+    return El(tags, (cls,) if isinstance(cls, str) else tuple(cls), tuple((attrs or {}).items()), tuple(has))
+
+
+def places(nodes: Column, key: str) -> Column:
+    """Sorted positions under one index key; null for a page without nodes."""
+    index = nodes["index"]
+    return F.coalesce(F.try_element_at(index, F.lit(key)), F.when(index.isNotNull(), F.array().cast("array<int>")))
+
+
+def _matches(nodes: Column, test: El) -> Column:
+    keys, whole = test.keys()
+    if not keys:
+        return F.transform(F.filter(nodes["list"], test), lambda n: n["pos"])
+    found = places(nodes, keys[0]) if len(keys) == 1 else F.sort_array(F.concat(*[places(nodes, k) for k in keys]))
+    return found if whole else F.filter(found, lambda p: test(F.get(nodes["list"], p)))
+
+
+def at(nodes: Column, found: Column) -> Column:
+    """The nodes at some positions."""
+    return F.transform(found, lambda p: F.get(nodes["list"], p))
 
 
 def subtree(nodes: Column, node: Column) -> Column:
     """The node and everything inside it."""
-    return F.slice(nodes, node["pos"] + 1, node["last"] - node["pos"] + 1)
+    return F.slice(nodes["list"], node["pos"] + 1, node["last"] - node["pos"] + 1)
 
 
 def inside(nodes: Column, node: Column) -> Column:
-    return F.slice(nodes, node["pos"] + 2, node["last"] - node["pos"])
+    return F.slice(nodes["list"], node["pos"] + 2, node["last"] - node["pos"])
 
 
-def select(nodes: Column, *chain: Test) -> Column:
+def select(nodes: Column, *chain: El) -> Column:
     """All nodes matching a descendant chain, in document order."""
-    found = F.filter(nodes, chain[0])
-    for test in chain[1:]:
-        found = _descend(nodes, found, test)
-    return found
+    return at(nodes, _descend(nodes, _matches(nodes, chain[0]), chain[1:]))
 
 
-def select_in(nodes: Column, node: Column, *chain: Test) -> Column:
+def select_in(nodes: Column, node: Column, *chain: El) -> Column:
     """The same below one node."""
-    found = F.filter(inside(nodes, node), chain[0])
-    for test in chain[1:]:
-        found = _descend(nodes, found, test)
-    return found
+    below = F.filter(_matches(nodes, chain[0]), lambda p: (p > node["pos"]) & (p <= node["last"]))
+    return at(nodes, _descend(nodes, below, chain[1:]))
+
 
+def _descend(nodes: Column, scopes: Column, chain: tuple[El, ...]) -> Column:
+    def below(found: Column, test: El) -> Column:
+        return let(found, lambda held: F.filter(_matches(nodes, test), lambda p: F.exists(
+            held, lambda s: (p > s) & (p <= F.get(nodes["list"], s)["last"]))))
 
-def _descend(nodes: Column, scopes: Column, test: Test) -> Column:
-    spots = F.flatten(F.transform(scopes, lambda s: F.transform(
-        F.filter(inside(nodes, s), test), lambda n: n["pos"])))
-    return F.transform(F.sort_array(F.array_distinct(spots)), lambda p: F.get(nodes, p))
+    return reduce(below, chain, scopes)
 
 
 def first(found: Column) -> Column:
@@ -110,7 +148,7 @@ def html_text_of(nodes: Column, node: Column) -> Column:
 
 
 def page_text(nodes: Column) -> Column:
-    return tidy(_rendered(nodes, BLOCK_TAGS))
+    return tidy(_rendered(nodes["list"], BLOCK_TAGS))
 
 
 def prose_of(nodes: Column, node: Column) -> Column:
@@ -125,20 +163,20 @@ def _rendered(part: Column, blocks: list[str]) -> Column:
                                     .when(n["tag"].isin(breaks), F.lit("\n")).otherwise(F.lit(""))), "")
 
 
-def sel(nodes: Column, *chains: list[Test]) -> Column:
+def sel(nodes: Column, *chains: list[El]) -> Column:
     """Clean text of the first node of the first chain that has any; null when none has."""
     return F.coalesce(*[F.nullif(text_of(nodes, first(select(nodes, *chain))), F.lit(""))
                         for chain in chains])
 
 
-def sels(nodes: Column, *chains: list[Test]) -> Column:
+def sels(nodes: Column, *chains: list[El]) -> Column:
     """Clean, de-duplicated text of every node that any chain finds, chain by chain."""
     from .lists import dedupe
     return dedupe(F.concat(*[F.transform(select(nodes, *chain), lambda n: text_of(nodes, n))
                              for chain in chains]))
 
 
-def attr_values(nodes: Column, name: str, *chain: Test) -> Column:
+def attr_values(nodes: Column, name: str, *chain: El) -> Column:
     """Every non-empty value of one attribute on the nodes a chain finds."""
     from .lists import dedupe
     return dedupe(keep_nonblank(F.transform(select(nodes, *chain), lambda n: F.trim(attr(n, name)))))
@@ -146,11 +184,10 @@ def attr_values(nodes: Column, name: str, *chain: Test) -> Column:
 
 def meta(nodes: Column, *names: str) -> Column:
     """Content of the first meta tag for a key, by property, then name, then itemprop."""
-    tags = F.filter(nodes, el("meta"))
     options = []
     for key in names:
         for holder in ("property", "name", "itemprop"):
-            node = first(F.filter(tags, el(attrs={holder: key})))
+            node = first(select(nodes, el("meta", attrs={holder: key})))
             options.append(F.nullif(tidy(attr(node, "content")), F.lit("")))
     return F.coalesce(*options)
 
@@ -168,27 +205,18 @@ def looks_like_html(html: Column) -> Column:
 
 def origin_of(nodes: Column) -> Column:
     """Place of publication in the markup: meta, itemprop, then a labelled cell or text."""
-    wanted = literal_array(ORIGIN_KEYS)
-    known = lambda c: F.coalesce(F.array_contains(wanted, squash(c)), F.lit(False))
     best = lambda found: F.get(F.filter(found, lambda p: p.isNotNull()), 0)
+    marked = lambda key: at(nodes, places(nodes, key))
 
-    by_meta = best(F.transform(
-        F.filter(nodes, lambda n: (n["tag"] == "meta") & (known(attr(n, "property")) | known(attr(n, "name"))
-                                                          | known(attr(n, "itemprop")))),
-        lambda n: place_text(attr(n, "content"))))
-    by_prop = best(F.transform(
-        F.filter(nodes, lambda n: known(attr(n, "itemprop"))),
-        lambda n: F.coalesce(place_text(attr(n, "content")), place_text(strings(nodes, n, "\n")))))
+    by_meta = best(F.transform(marked("*meta"), lambda n: place_text(attr(n, "content"))))
+    by_prop = best(F.transform(marked("*prop"), lambda n: F.coalesce(place_text(attr(n, "content")), place_text(strings(nodes, n, "\n")))))
 
     def beside(label: Column) -> Column:
         rest = F.regexp_extract(label["text"], "(?s)^[^:]*:(.*)$", 1)
-        holder = F.element_at(F.filter(nodes, lambda n: (n["pos"] < label["pos"]) & (n["last"] >= label["pos"])
+        holder = F.element_at(F.filter(nodes["list"], lambda n: (n["pos"] < label["pos"]) & (n["last"] >= label["pos"])
                                        & ~n["tag"].rlike("^[#/]")), -1)
-        after = F.get(F.filter(F.slice(nodes, holder["last"] + 2, F.size(nodes)),
+        after = F.get(F.filter(F.slice(nodes["list"], holder["last"] + 2, F.size(nodes["list"])),
                                lambda n: ~n["tag"].rlike("^[#/]")), 0)
         return F.coalesce(place_text(rest), place_text(strings(nodes, after, "\n")))
 
-    by_label = best(F.transform(
-        F.filter(nodes, lambda n: (n["tag"] == "#text") & (F.length(n["text"]) <= 200)
-                 & known(F.regexp_extract(n["text"], "^[^:]*", 0))), beside))
-    return F.coalesce(by_meta, by_prop, by_label)
+    return F.coalesce(by_meta, by_prop, best(F.transform(marked("*label"), beside)))

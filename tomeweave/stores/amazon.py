@@ -39,7 +39,7 @@ def detail_rows(nodes: Column) -> Column:
 
     def bullet(item: Column) -> Column:
         bold = first(select_in(nodes, item, el("span", "a-text-bold")))
-        rest = F.slice(nodes, bold["last"] + 2, F.greatest(item["last"] - bold["last"], F.lit(0)))
+        rest = F.slice(nodes["list"], bold["last"] + 2, F.greatest(item["last"] - bold["last"], F.lit(0)))
         value = first(F.filter(rest, el("span")))
         return F.when(bold.isNotNull(), F.struct(
             F.lower(label_text(strings(nodes, bold, " "))).alias("k"), label_text(strings(nodes, value, " ")).alias("v"),
@@ -68,7 +68,7 @@ def authors(nodes: Column, tag_authors: Column) -> Column:
     linked = sels(nodes, [el(attrs={"id": "bylineInfo"}), el("span", "author"), el("a", "a-link-normal")],
                   [el(attrs={"id": "bylineInfo_feature_div"}), el("span", "author"), el("a")])
     byline = first(select(nodes, el(attrs={"id": "bylineInfo"})))
-    binding = first(F.filter(nodes, lambda n: (n["tag"] == "#text") & F.contains(n["text"], F.lit("Format: "))
+    binding = first(F.filter(nodes["list"], lambda n: (n["tag"] == "#text") & F.contains(n["text"], F.lit("Format: "))
                              & (n["pos"] > byline["pos"])))
     anchors = F.filter(select(nodes, el(attrs={"id": "bylineInfo"}), el("a", attrs={
         "href": r"~(?i)/e/B[A-Z0-9]{9}|field-author|/author/"})), lambda a: F.coalesce(a["pos"] < binding["pos"], F.lit(True)))
@@ -83,7 +83,7 @@ def genres(nodes: Column, rows: Column) -> Column:
     crumbs = F.filter(sels(nodes, [el(attrs={"id": "wayfinding-breadcrumbs_feature_div"}), el("ul"), el("li"),
                                    el("span", "a-list-item"), el("a")]), lambda c: ~F.lower(c).isin(AMAZON_DROP_CRUMBS))
     ranked = F.flatten(F.transform(F.filter(rows, lambda r: F.contains(r["k"], F.lit("best sellers rank"))), lambda r: F.transform(
-        select_in(nodes, F.get(nodes, r["at"]), el("a")), lambda a: text_of(nodes, a))))
+        select_in(nodes, F.get(nodes["list"], r["at"]), el("a")), lambda a: text_of(nodes, a))))
     named = F.transform(F.filter(ranked, lambda t: (t != "") & ~t.rlike(r"(?i)^see top \d+")),
                         lambda t: F.trim(F.regexp_replace(t, r"\s*\((?:Books|Kindle Store)\)\s*$", "")))
     return dedupe(F.concat(crumbs, named))
@@ -109,7 +109,7 @@ def reviews(nodes: Column) -> Column:
             iso_date(reviewed_on(text_of(nodes, inner(hook("span", "review-date"))))).alias("date"),
             F.when(own != "", F.concat(F.lit(SITE + "/gp/customer-reviews/"), own)).alias("url"))
 
-    found = F.filter(nodes, lambda n: n["tag"].isin("div", "li") & (attr(n, "data-hook") == "review"))
+    found = select(nodes, el(["div", "li"], attrs={"data-hook": "review"}))
     return F.filter(F.transform(found, row).cast(f"array<{REVIEW}>"), lambda r: r["text"] != "")
 
 
@@ -139,7 +139,7 @@ def to_records(pages: DataFrame) -> DataFrame:
     nodes, rows, details, url = F.col("nodes"), F.col("detail_rows"), F.col("details"), F.col("page_url")
     title = F.coalesce(sel(nodes, [el("span", attrs={"id": "productTitle"})]), F.col("tag_title"))
     found = probe([("the merged product-detail map", F.size(details) > 0, origin_in_map(details)),
-                   ("the page DOM and og:/meta tags", F.size(nodes) > 0, origin_of(nodes))])
+                   ("the page DOM and og:/meta tags", F.size(nodes["list"]) > 0, origin_of(nodes))])
     printed = first_label(details, ["country of origin", "country/region of origin"])
     asin = isbn.asin_of_url(url)
     proses = [prose_of(nodes, first(select(nodes, *chain))) for chain in (
@@ -170,8 +170,8 @@ def to_records(pages: DataFrame) -> DataFrame:
 def search_rows(pages: DataFrame) -> DataFrame:
     """Result pages ``(isbn13, rung, html)`` to candidate rows in the shop's order."""
     nodes = F.col("nodes")
-    found = F.filter(nodes, lambda n: (n["tag"] == "div") & attr(n, "data-asin").isNotNull() & (
-        (attr(n, "data-component-type") == "s-search-result") | attr(n, "data-index").isNotNull()))
+    found = F.filter(select(nodes, el("div", has=["data-asin"])), lambda n: (
+        attr(n, "data-component-type") == "s-search-result") | attr(n, "data-index").isNotNull())
     df = parsed(pages).select("isbn13", "rung", "nodes", F.posexplode(found).alias("pos", "row"))
     name = F.coalesce(first(select_in(nodes, F.col("row"), el("h2"), el("span"))), first(select_in(nodes, F.col("row"), el("h2"))))
     return df.select("isbn13", "rung", F.col("pos").cast("bigint").alias("pos"),

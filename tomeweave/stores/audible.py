@@ -101,7 +101,7 @@ def to_records(pages: DataFrame) -> DataFrame:
     spoken = F.coalesce(text(audio, "inLanguage"), text(details, "language"))
     found = probe([("the Audiobook/Product JSON-LD", F.size(as_map(audio)) > 0, origin_in(audio)),
                    ("the embedded component JSON", F.size(as_map(details)) > 0, origin_in(details)),
-                   ("the page DOM (adbl-metadata slots and og:/meta tags)", F.size(nodes) > 0, origin_of(nodes))])
+                   ("the page DOM (adbl-metadata slots and og:/meta tags)", F.size(nodes["list"]) > 0, origin_of(nodes))])
     blurb = F.coalesce(blank_to_null(html_text(raw_text(audio, "description"))),
                        blank_to_null(html_text_of(nodes, first(select(nodes, el("adbl-text-block", attrs={"slot": "summary"}))))),
                        meta(nodes, "og:description", "description", "twitter:description"))

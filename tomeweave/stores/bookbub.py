@@ -97,14 +97,14 @@ def to_records(pages: DataFrame) -> DataFrame:
     own = keep_nonblank(F.concat(deals, tags))
     shown = sel(nodes, [el(cls="expandable-text-description")], [el(cls="expandable-text-rendered")])
     blurb = F.coalesce(*[blank_to_null(html_text(c)) for c in (raw_text(data, "description"), raw_text(data, "blurb"), raw_text(blob, "description"), shown)])
-    images = F.filter(nodes, lambda n: (n["tag"] == "img") & F.array_contains(F.split(F.coalesce(attr(n, "class"), F.lit("")), "\\s+"), "book-cover-image"))
+    images = select(nodes, el("img", "book-cover-image"))
     images = F.concat(images, select(nodes, el(cls="cover-image"), el("img")))
     alt_title = lambda n: F.regexp_extract(F.coalesce(attr(n, "alt"), F.lit("")), COVER_ALT, 1)
     chosen = F.coalesce(F.get(F.filter(images, lambda n: (alt_title(n) != "") & (fold(alt_title(n)) == fold(F.col("_title")))), 0), F.get(images, 0))
     urls = F.array(raw_text(data, "coverUrl"), meta(nodes, "og:image", "twitter:image"), F.coalesce(blank_to_null(attr(chosen, "src")), attr(chosen, "data-src")))
     found = probe([("the parsed detail rows", F.size(pairs) > 0, origin_in_map(pairs)),
                    ("the data-book-json book JSON payload", F.size(as_map(data)) > 0, origin_in(data)),
-                   ("the page DOM and og:/book: meta tags", F.size(nodes) > 0, origin_of(nodes))])
+                   ("the page DOM and og:/book: meta tags", F.size(nodes["list"]) > 0, origin_of(nodes))])
     df = compute_once(df, _origin=found)
     return shaped(
         df, "bookbub", book_url=F.col("url"), title=F.col("_title"), authors=page_authors(nodes, data, blob),

@@ -99,7 +99,7 @@ def to_records(pages: DataFrame) -> DataFrame:
         ("the __NEXT_DATA__ Apollo cache's work record", F.size(as_map(work)) > 0, origin_in(work)),
         ("its book record (details included)", F.size(as_map(book)) > 0, origin_in(book)),
         ("the JSON-LD Book blocks", F.size("_blobs") > 0, origin_in(blob_list)),
-        ("the book page DOM and og:/meta tags", F.size("nodes") > 0, origin_of(nodes))])
+        ("the book page DOM and og:/meta tags", F.size("nodes.list") > 0, origin_of(nodes))])
     fuzzy = F.coalesce("fuzzy", F.lit(False)) if "fuzzy" in df.columns else F.lit(False)
     web = text(book, "webUrl")
     usable = ((F.size("cache") > 0) | sel(nodes, heading).isNotNull()) & verify_lax(F.col("isbn13"), page13, fuzzy)
@@ -151,7 +151,7 @@ def search_rows(pages: DataFrame) -> DataFrame:
     rows = F.array_distinct(F.concat(
         F.transform(select(nodes, el("tr", has=["itemtype"])), lambda n: n["pos"]),
         F.transform(select(nodes, el("table", "tableList"), el("tr")), lambda n: n["pos"])))
-    df = parsed(pages).select("isbn13", "nodes", F.posexplode(F.transform(F.sort_array(rows), lambda p: F.get(nodes, p))).alias("pos", "row"))
+    df = parsed(pages).select("isbn13", "nodes", F.posexplode(F.transform(F.sort_array(rows), lambda p: F.get(nodes["list"], p))).alias("pos", "row"))
     link = first(select_in(nodes, F.col("row"), el("a", "bookTitle")))
     df = df.withColumn("link", link).where(F.col("link").isNotNull())
     link = F.col("link")

@@ -65,7 +65,7 @@ def authors(nodes: Column, book: Column, work: Column) -> Column:
     area = el("span", ["authors", "product-field"])
 
     def credited(a: Column) -> Column:
-        holder = F.element_at(F.filter(nodes, lambda n: (n["tag"] == "li") & (n["pos"] < a["pos"]) & (n["last"] >= a["pos"])), -1)
+        holder = F.element_at(F.filter(select(nodes, el("li")), lambda n: (n["pos"] < a["pos"]) & (n["last"] >= a["pos"])), -1)
         tag = first(select_in(nodes, holder, el("span", "mobile-library-tag")))
         role = F.lower(text_of(nodes, tag))
         return F.when((role == "") | F.contains(role, F.lit("author")), text_of(nodes, a)).otherwise(F.lit(""))
@@ -151,7 +151,7 @@ def to_records(pages: DataFrame) -> DataFrame:
         ("the googleProduct blob", F.size(as_map(product)) > 0, origin_in(product)),
         ("the injected ld+json blocks", F.size("blobs") > 0, origin_in(F.try_parse_json(F.to_json("blobs")))),
         ("the bookitem-secondary-metadata DOM rows", F.size(rows) > 0, origin_in_map(rows)),
-        ("the page DOM and og:/meta tags", F.size(nodes) > 0, origin_of(nodes))])
+        ("the page DOM and og:/meta tags", F.size(nodes["list"]) > 0, origin_of(nodes))])
     image = F.coalesce(first(select(nodes, el("div", "main-product-image"), el("img", "cover-image"))), first(select(nodes, el("img", "cover-image"))))
     urls = F.array(raw_text(work, "image"), raw_text(product, "image"), raw_text(work, "thumbnailUrl"), attr(image, "src"),
                    meta(nodes, "og:image", "twitter:image"))
