@@ -212,3 +212,25 @@ def test_best_prefers_the_shorter_title_and_the_right_author(spark):
                                   "isbn13 string, pos int, title string, authors array<string>")
     got = rows(matching.best(matching.pair_up(wanted, found), 5).select("isbn13", "rank", "pos"), "isbn13", "rank")
     assert got == [("1", 1, 1), ("1", 2, 0), ("2", 1, 1)]
+
+
+def test_run_counts_one_record_per_pair_and_any_payload(spark):
+    from tomeweave.operators import passes
+
+    columns = ("isbn13 string, source string, title string, authors array<string>, publisher string, origin string, date_of_publication string, language string, "
+               "genres array<string>, reviews array<string>, warnings array<string>, failed boolean, seq int")
+    full = ["t", ["a"], "p", "o", "2020", "en", ["g"]]
+    bare = [None] * 7
+    records = spark.createDataFrame([
+        ("1", "kobo", *bare, ["a review"], None, None, 1), ("2", "kobo", *full, None, None, None, 1), ("2", "kobo", *bare, None, None, None, 2),
+        ("3", "kobo", *full, None, None, None, 1), ("3", "kobo", *full, None, None, None, 1), ("4", "kobo", *full, None, ["odd page"], None, 1),
+        ("5", "kobo", *bare, None, None, True, 1)], columns)
+    wanted = spark.createDataFrame([(str(i),) for i in range(1, 7)], "isbn13 string")
+    none = spark.createDataFrame([], "isbn13 string, source string, kind string")
+    log = spark.createDataFrame([(str(i), "kobo", "kobo.example", "2024-01-01 00:00:00", None, 200, i) for i in range(1, 7)],
+                                "isbn13 string, source string, host string, ts string, block_reason string, status int, seq int").withColumn("ts", F.col("ts").cast("timestamp"))
+    log = log.withColumn("responded", F.lit(True))
+    done = passes.run(wanted, none.drop("kind"), none, records, log)
+    got = sorted((r["isbn13"], r["status"]) for r in done.outcomes.where("source = 'kobo'").collect())
+    assert got == [("1", "partial"), ("2", "empty"), ("3", "ok"), ("4", "partial"), ("5", "error"), ("6", "empty")]
+    assert sorted(r["isbn13"] for r in done.ledgers.where("kind = 'no_data'").collect()) == ["2", "6"]

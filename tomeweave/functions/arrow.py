@@ -25,6 +25,7 @@ _CLOSES_P = frozenset(("address article aside blockquote center div dl fieldset
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
            "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_CLOSING = _CLOSES_P | frozenset(_CLOSES)
 _BLOCKS = frozenset("p div li tr section article h1 h2 h3 h4 h5 h6 blockquote".split())
 _RAW = frozenset(("script", "style", "template"))
 # captured pages are often escaped twice, so text and these attributes are resolved once more
@@ -87,17 +88,25 @@ class _Tokens(HTMLParser):
         self.open: list[int] = []
         # how many of each tag are open, so that no event has to look through the open ones
         self.count: dict[str, int] = {}
+        self.raw = 0
+
+    def updatepos(self, i, j):
+        """Lines and columns are of no use here."""
+        return j
 
     def _add(self, tag, attrs, text):
         self.rows.append([len(self.rows), len(self.rows), tag, attrs, text])
         return len(self.rows) - 1
 
     def _pop(self):
-        at = self.open.pop()
-        self.count[self.rows[at][2]] -= 1
-        if self.rows[at][2] in _BLOCKS:
+        row = self.rows[self.open.pop()]
+        tag = row[2]
+        self.count[tag] -= 1
+        if tag in _RAW:
+            self.raw -= 1
+        elif tag in _BLOCKS:
             self._add("/block", (), None)
-        self.rows[at][1] = len(self.rows) - 1
+        row[1] = len(self.rows) - 1
 
     def _close_implied(self, tag):
         if tag in _CLOSES_P and self.count.get("p"):
@@ -116,7 +125,8 @@ class _Tokens(HTMLParser):
                     self._pop()
 
     def handle_starttag(self, tag, attrs):
-        self._close_implied(tag)
+        if tag in _CLOSING:
+            self._close_implied(tag)
         seen = {}
         for key, value in attrs:
             value = value or ""
@@ -125,6 +135,8 @@ class _Tokens(HTMLParser):
         if tag not in _VOID:
             self.open.append(at)
             self.count[tag] = self.count.get(tag, 0) + 1
+            if tag in _RAW:
+                self.raw += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -138,9 +150,8 @@ class _Tokens(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
-        kind = ("#raw" if any(self.count.get(t) for t in _RAW)
-                else "#hidden" if self.count.get("noscript") else "#text")
-        self._add(kind, (), data if kind == "#raw" else html.unescape(data))
+        kind = "#raw" if self.raw else "#hidden" if self.count.get("noscript") else "#text"
+        self._add(kind, (), html.unescape(data) if not self.raw and "&" in data else data)
 
     def nodes(self, page):
         self.feed(page)
