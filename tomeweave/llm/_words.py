@@ -1,7 +1,8 @@
 """Words, hashes and windows of many texts at once, in numpy over Arrow buffers.
 
-A word's hash is a polynomial over its bytes, a window's hash a polynomial over the hashes of its
-words; both come from one running sum, so their cost does not depend on the window's length.
+A word's hash is a sum over its bytes, each mixed with its place; a window's hash is a polynomial
+over the hashes of its words.  Both come from a running sum, so their cost does not depend on the
+window's length.  Windows of the operators have at most some 50 words.
 """
 
 from __future__ import annotations
@@ -67,6 +68,28 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * _powers.upto(len(sums))[1][start] + end.astype(np.uint64) - start.astype(np.uint64))
 
 
+def _letter_sums(data: np.ndarray, start: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Prefix sums of letters, each letter at each place of a word mixed to a number of its own.
+
+    A polynomial modulo 2^64 would not do for long words: it gives one hash to words whose letters
+    differ in a pattern that its powers of two cancel.
+    """
+    sums, begin = np.zeros(len(data) + 1, np.uint64), 0
+    for low in range(0, len(data), PIECE):
+        part = data[low:low + PIECE]
+        mine = start[np.searchsorted(start, low):np.searchsorted(start, low + len(part))]
+        begins = np.zeros(len(part), np.int64)
+        begins[mine - low] = mine
+        begins[0] = max(begins[0], begin)
+        np.maximum.accumulate(begins, out=begins)
+        begin = int(begins[-1])
+        place = (np.arange(low, low + len(part)) - begins).astype(np.uint64)
+        out = sums[low + 1:low + 1 + len(part)]
+        np.cumsum(mixed(codes[part] + place * _ODD), out=out)
+        out += sums[low]
+    return sums
+
+
 class Words:
     """Words of consecutive texts: byte ranges, hashes, and each text's range of words."""
 
@@ -87,7 +110,8 @@ class Words:
         self.end = np.flatnonzero(inside & (after | fresh[1:])) + 1
         self.data, self.offsets = data, offsets
         self.bounds = np.searchsorted(self.start, offsets)
-        self.hash = between(running((_LOWERED if lower else _LETTERS)[data]), self.start, self.end)
+        sums = _letter_sums(data, self.start, _LOWERED if lower else _LETTERS)
+        self.hash = mixed(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.start)
