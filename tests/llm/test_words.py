@@ -26,6 +26,9 @@ def names(text, lower=False):
 def test_words_that_a_polynomial_takes_for_one():
     a, b = colliding()
     assert a != b and len(set(names(f"{a} {b} {a}"))) == 2
+    # letters that change places 64 apart, and patterns over such places
+    many = ["".join("b" if i // 64 in turned and i % 64 == 5 else "a" for i in range(640)) for turned in [set(), {0}, {1}, {0, 3}, {1, 2}, {0, 3, 5, 6}, {1, 2, 4, 7}]]
+    assert len(set(names(" ".join(many)))) == len(many)
     assert names(f"{a} {b} {a}")[0] == names(f"x yy {a}")[2] == names(f"x yy {a.upper()}", True)[2]
 
 
@@ -37,14 +40,14 @@ def test_names_do_not_depend_on_blocks_or_neighbours():
         for w, h in zip(cases.words(t), hashes):
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
-    old = _words.PIECE
-    _words.PIECE = 1000
+    old = _words._BLOCK
+    _words._BLOCK = 1000
     try:
         for t, hashes in zip(texts, whole):
             data = np.frombuffer(t.encode(), np.uint8)
             assert Words(data, np.array([0, len(data)]), SPACES, False).hash.tolist() == hashes
     finally:
-        _words.PIECE = old
+        _words._BLOCK = old
 
 
 def test_token_counts_of_texts_with_both_words(spark):

@@ -1,6 +1,6 @@
 """Words, hashes and windows of many texts at once, in numpy over Arrow buffers.
 
-A word's hash is a sum over its bytes, each mixed with its place; a window's hash is a polynomial
+A word's hash is a sum over its bytes, each numbered by letter and place; a window's hash is a polynomial
 over the hashes of its words.  Both come from a running sum, so their cost does not depend on the
 window's length.  Windows of the operators have at most some 50 words.
 """
@@ -18,6 +18,11 @@ _BASE = np.uint64(0xD1342543DE82EF95)
 _LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWERED = _LETTERS.copy()
 _LOWERED[65:91] = _LETTERS[97:123]
+#: A number for each letter at each of ``_PLACES`` places of a word, as written and lower-cased.
+_PLACES, _BLOCK = 64, 1 << 15
+_PLACED = np.random.default_rng(20240301).integers(1, 1 << 63, (_PLACES, 256), dtype=np.uint64)
+_PLACED_LOWERED = _PLACED.copy()
+_PLACED_LOWERED[:, 65:91] = _PLACED[:, 97:123]
 
 #: Separators as a table over bytes: white space, and all ASCII but digits and small letters.
 SPACES = np.zeros(256, bool)
@@ -68,24 +73,29 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((sums[end] - sums[start]) * _powers.upto(len(sums))[1][start] + end.astype(np.uint64) - start.astype(np.uint64))
 
 
-def _letter_sums(data: np.ndarray, start: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Prefix sums of letters, each letter at each place of a word mixed to a number of its own.
+def _letter_sums(data: np.ndarray, start: np.ndarray, lower: bool) -> np.ndarray:
+    """Prefix sums of letters, each letter at each place of a word being a number of its own.
 
-    A polynomial modulo 2^64 would not do for long words: it gives one hash to words whose letters
-    differ in a pattern that its powers of two cancel.
+    Behind the last place of the table the places begin again, times a mixed number.  A polynomial
+    modulo 2^64 would not do for long words: it gives one hash to words whose letters differ in a
+    pattern that its powers of two cancel.
     """
+    table = (_PLACED_LOWERED if lower else _PLACED).ravel()
     sums, begin = np.zeros(len(data) + 1, np.uint64), 0
-    for low in range(0, len(data), PIECE):
-        part = data[low:low + PIECE]
-        mine = start[np.searchsorted(start, low):np.searchsorted(start, low + len(part))]
-        begins = np.zeros(len(part), np.int64)
-        begins[mine - low] = mine
-        begins[0] = max(begins[0], begin)
-        np.maximum.accumulate(begins, out=begins)
-        begin = int(begins[-1])
-        place = (np.arange(low, low + len(part)) - begins).astype(np.uint64)
+    for low in range(0, len(data), _BLOCK):
+        part = data[low:low + _BLOCK]
+        mine = start[np.searchsorted(start, low):np.searchsorted(start, low + len(part))] - low
+        place = np.full(len(part), begin - low, np.int64)
+        place[mine] = mine
+        np.maximum.accumulate(place, out=place)
+        begin = int(place[-1]) + low
+        np.subtract(np.arange(len(part)), place, out=place)
+        letters = table[((place & (_PLACES - 1)) << 8) | part]
+        if place.max() >= _PLACES:
+            far = place >= _PLACES
+            letters[far] *= mixed((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
         out = sums[low + 1:low + 1 + len(part)]
-        np.cumsum(mixed(codes[part] + place * _ODD), out=out)
+        np.cumsum(letters, out=out)
         out += sums[low]
     return sums
 
@@ -110,7 +120,7 @@ class Words:
         self.end = np.flatnonzero(inside & (after | fresh[1:])) + 1
         self.data, self.offsets = data, offsets
         self.bounds = np.searchsorted(self.start, offsets)
-        sums = _letter_sums(data, self.start, _LOWERED if lower else _LETTERS)
+        sums = _letter_sums(data, self.start, lower)
         self.hash = mixed(sums[self.end] - sums[self.start] + (self.end - self.start).astype(np.uint64))
 
     def __len__(self) -> int:
