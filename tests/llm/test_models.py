@@ -16,6 +16,7 @@ from tomeweave.llm.language_id import languages
 from tomeweave.llm.quality_classifier import fit, quality_scores
 from tomeweave.llm.robust_outliers import STATISTICS, chi_square, minimum_covariance, quality_outliers, statistics
 from tomeweave.llm._store import Scratch
+from tomeweave.llm._words import SPACES, Words
 
 
 def rest(doc_id, n):
@@ -134,8 +135,6 @@ def test_the_risk_of_hidden_negatives_stays_above_zero():
 @pytest.mark.parametrize("head, in_classes", [(10 ** 6, 50), (30, 10), (0, 0)])
 def test_scores_equal_a_plain_model(spark, head, in_classes):
     docs, rows = cases.documents(spark)
-    docs = docs.where("doc_id <> 14 or doc_id is null")
-    rows = [r for r in rows if r[0] != 14]
     split = [[*cases.words((r[1] or "").translate(cases.LOWER)), None] for r in rows]
     count = Counter(w for r, s in zip(rows, split) if rest(r[0], 7) != 2 for w in s)
     n, v = sum(count.values()), len(count)
@@ -168,6 +167,74 @@ def test_scores_of_the_open_class_equal_a_plain_sum(spark):
     assert Counter((r["doc_id"], round(r["score"], 6)) for r in class_scores(docs, head_words=0).collect()) == want
 
 
+@pytest.mark.parametrize("head, in_classes", [(10 ** 6, 12), (40, 10), (9, 9)])
+def test_scores_equal_a_plain_class_model(spark, monkeypatch, head, in_classes):
+    """For the classes that the operator found, every count, transition and emission is written down again."""
+    seen = {}
+    for name in ("head_of", "_head_classes", "_tail_classes"):
+        monkeypatch.setattr(class_lm, name, lambda *a, made=getattr(class_lm, name), name=name: seen.setdefault(name, made(*a)))
+    rng = random.Random(5)
+    some = lambda: f"w{min(int(rng.paretovariate(0.7)), 400)}"
+    rows = [cases.row(i, " ".join(some() for _ in range(rng.randrange(0, 40)))) for i in range(150)]
+    rows += [cases.row(500, " ".join(some() for _ in range(3000))), cases.row(None, None), cases.row(501, ""), cases.row(501, "only here w1 w399 w1 new")]
+    found = class_scores(spark.createDataFrame(rows, cases.SCHEMA), head_words=head, class_words=in_classes, n_classes=3).collect()
+    name = lambda w: int(Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), SPACES, True).hash.view(np.int64)[0])
+    classes = dict(zip(seen["head_of"].words.tolist(), seen["_head_classes"][0][:-1].tolist())) | {r["word"]: r["class"] for r in seen["_tail_classes"].collect()}
+    split = [cases.words(r[1] or "") for r in rows]
+    train = [s for r, s in zip(rows, split) if rest(r[0], 7) != 2]
+    count = Counter(w for s in train for w in s)
+    own = {w: classes.pop(name(w)) for w in count}
+    assert not classes and set(own.values()) <= {0, 1, 2}
+    members, steps = Counter(), np.zeros((5, 5))
+    for w, n in count.items():
+        members[own[w]] += n
+    path = lambda s: [4, *(own.get(w, 3) for w in s), 4]
+    for s in train:
+        for a, b in zip(path(s), path(s)[1:]):
+            steps[a, b] += 1
+    new = (sum(n == 1 for n in count.values()) + class_lm.SMOOTH) / (steps.sum() + 2 * class_lm.SMOOTH)
+    chance = steps + class_lm.SMOOTH
+    chance[3] = chance.sum(0)
+    chance[:, 3] = 0
+    chance = chance / chance.sum(1, keepdims=True) * (1 - new)
+    chance[:, 3] = new
+    assert np.allclose(chance.sum(1), 1)
+    want = Counter()
+    for r, s in zip(rows, split):
+        score = sum(math.log10(chance[a, b]) for a, b in zip(path(s), path(s)[1:])) + sum(math.log10(count[w] / members[own[w]]) for w in s if w in own)
+        want[r[0], len(s) + 1, round(score, 4)] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 4)) for r in found) == want
+
+
+def test_counts_beside_words_equal_a_plain_count(spark, monkeypatch):
+    """Held dense or sparse, in one shard or in many, by one task or by several."""
+    rng = np.random.default_rng(8)
+    classes, kinds = np.append(rng.integers(0, 4, 30), 3), 5
+    rows = [rng.integers(0, 31, n).astype(np.uint32) for n in (0, 1, 50, 400, 3)] * 3
+    pairs, near = np.zeros((kinds, kinds), int), np.zeros((20, 2, kinds), int)
+    for ids in rows:
+        own = [4, *classes[ids], 4]
+        for a, b in zip(own, own[1:]):
+            pairs[a, b] += 1
+        for i, word in enumerate(ids):
+            if 5 <= word < 25:
+                near[word - 5, 0, own[i]] += 1
+                near[word - 5, 1, own[i + 2]] += 1
+    table = spark.createDataFrame([(bytearray(ids.tobytes()),) for ids in rows], "ids binary").repartition(3)
+    for shard, dense in ((1 << 19, 1 << 22), (30, 0), (30, 1 << 22)):
+        monkeypatch.setattr(class_lm, "SHARD", shard)
+        ranks = class_lm.Ranks(classes, 5, 25, kinds)
+        assert ranks.shards == (1 if shard > 30 else 7)
+        blobs = []
+        monkeypatch.setattr(class_lm, "DENSE", dense)
+        body = class_lm._near(type("Held", (), {"value": ranks}))
+        for batch in table.toArrow().to_batches():
+            blobs += body(iter([batch]))
+        blobs = spark.createDataFrame([tuple(x.values()) for b in blobs for x in b.to_pylist()], class_lm.BLOB)
+        got_near, got_pairs = class_lm._counted(blobs, ranks)
+        assert (got_near == near).all() and (got_pairs == pairs).all()
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(6)
     truth = np.arange(40) % 2  # words of class 0 are followed by words of class 1 and the other way round
