@@ -141,3 +141,22 @@ def test_every_entity_equals_the_standard_library(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, c string")
     got = {r["i"]: r["c"] for r in text.unescape_rows(rows, "c").collect()}
     assert [got[i] for i in range(len(cases))] == [c if c is None else html.unescape(c) for c in cases]
+
+
+def test_white_space_rules_equal_patterns(spark):
+    """Drop, blank, join and trim as the five patterns do, on random runs of every character concerned."""
+    import random
+    import re
+
+    rng, wide = random.Random(3), "\t\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    letters = list(wide + "\x00\x01\x08\x0b\x0c\x0e\x1f\x7f\u200b\ufeff\u200cé") + [" ", "\n", "\r", "\r\n", "a"] * 5
+    cases = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(800)] + ["", " \n ", "a\r\x07\nb", "x" * 50_000 + "  "]
+
+    def plain(s):
+        s = re.sub("[\u200b\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+", "", s)
+        s = re.sub(f"[{wide}\u2000-\u200a ]+", " ", re.sub("\r\n?", "\n", s))
+        return re.sub("\n{3,}", "\n\n", re.sub(" ?\n ?", "\n", s)).strip(" \n")
+
+    rows = spark.createDataFrame(list(enumerate(cases)) + [(len(cases), None)], "i int, c string")
+    got = {r["i"]: r["t"] for r in rows.select("i", text.tidy(F.col("c")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [plain(c) for c in cases] and got[len(cases)] == ""

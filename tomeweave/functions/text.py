@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -28,7 +29,9 @@ def _entity_names() -> dict[str, str]:
     travel with every expression.
     """
     known = {}
-    for name in html.entities.name2codepoint:
+    # a map literal is searched from its start, so the usual names come first
+    usual = ("amp", "nbsp", "quot", "lt", "gt", "hellip", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo")
+    for name in dict.fromkeys([*usual, *html.entities.name2codepoint]):
         for spelling in (name, name + ";"):
             if spelling in html.entities.html5:
                 known["&" + spelling] = html.entities.html5[spelling]
@@ -75,14 +78,31 @@ def unescape(value: Column) -> Column:
     return apply_sql(value, _unescape_sql())
 
 
+@lru_cache(maxsize=1)
+def _longer_names() -> str:
+    """Pattern of the names beyond HTML 4 that begin with one that holds without a semicolon."""
+    known, opened = _entity_names(), re.compile(_open_names())
+    return "^(?:" + "|".join(sorted("&" + n for n in html.entities.html5 if "&" + n not in known and opened.match("&" + n))) + ")$"
+
+
+def _beyond_sql(v: str) -> str:
+    """SQL text: does the text bound to ``v`` hold a name that :func:`unescape` does not resolve as HTML 5 does?
+
+    A name without an HTML 4 name in front may be any of HTML 5, so it counts; behind one it must be a longer name of HTML 5.
+    """
+    packed = "\x02".join(f"{k}\x01" for k in _entity_names())
+    names = f"str_to_map({sql_text(packed)}, '\x02', '\x01')"
+    tokens = f"array_distinct(regexp_extract_all({v}, '&[A-Za-z][A-Za-z0-9]*;?', 0))"
+    return (f"contains({v}, '&') AND exists({tokens}, k -> NOT map_contains_key({names}, k) "
+            f"AND (NOT k rlike {sql_text(_open_names())} OR k rlike {sql_text(_longer_names())}))")
+
+
 def unescape_rows(df: DataFrame, name: str) -> DataFrame:
-    """Every HTML 5 entity of a column; only rows with a name beyond HTML 4 go through Python."""
-    packed = "\x02".join(f"{k}\x01{c}" for k, c in _entity_names().items())
-    names = F.expr(f"str_to_map({sql_text(packed)}, '\x02', '\x01')")
-    tokens = F.regexp_extract_all(F.col(name), F.lit("&[A-Za-z][A-Za-z0-9]*;?"), F.lit(0))
-    hard = F.coalesce(F.exists(tokens, lambda k: ~F.map_contains_key(names, k)), F.lit(False))
-    return (df.where(~hard).withColumn(name, unescape(F.col(name)))
-            .unionByName(df.where(hard).withColumn(name, unescape_all(F.col(name)))))
+    """Every HTML 5 entity of a column, in one scan; Python sees only texts with a name beyond HTML 4."""
+    value = F.col(name)
+    beyond = apply_sql(F.coalesce(value, F.lit("")), _beyond_sql("v"))
+    rest = unescape_all(F.when(beyond, value))
+    return df.withColumn(name, F.coalesce(rest, unescape(value)))
 
 
 def clean_rows(df: DataFrame, name: str) -> DataFrame:
@@ -91,12 +111,20 @@ def clean_rows(df: DataFrame, name: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ cleaning
+#: what :func:`clean` drops, and the horizontal white space it makes blanks, as plain characters
+CONTROLS = "".join(map(chr, [*range(9), 0x0b, 0x0c, *range(0x0e, 0x20), 0x7f, 0x200b, 0xfeff]))
+BLANKS = "".join(map(chr, [9, 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
+
+
 def _tidy_sql(text: str) -> str:
-    for pattern, new in (("[\u200b\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]+", ""), ("\\r\\n?", "\n"),
-                         (f"[{SPACES}]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n"),
-                         ("^[ \\n]+|[ \\n]+$", "")):
-        text = f"regexp_replace({text}, {sql_text(pattern)}, {sql_text(new)})"
-    return text
+    # one look-up per character does what two patterns over all these characters did
+    text = f"translate({text}, {sql_text(BLANKS + CONTROLS)}, {sql_text(' ' * len(BLANKS))})"
+    for old, new in (("\r\n", "\n"), ("\r", "\n")):
+        text = f"replace({text}, {sql_text(old)}, {sql_text(new)})"
+    text = f"regexp_replace({text}, ' {{2,}}', ' ')"
+    for old, new in ((" \n", "\n"), ("\n ", "\n")):
+        text = f"replace({text}, {sql_text(old)}, {sql_text(new)})"
+    return f"trim(BOTH {sql_text(' ' + chr(10))} FROM regexp_replace({text}, '\\\\n{{3,}}', '\n\n'))"
 
 
 def tidy(value: Column) -> Column:
