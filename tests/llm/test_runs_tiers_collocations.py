@@ -299,3 +299,36 @@ def test_queries_are_registered_with_their_columns(spark):
         longs = [c for c in wanted if c not in ("doc_id", "phrase", "lang") and not c.endswith("sha256")]
         assert all(df.schema[c].dataType.simpleString() == "bigint" for c in longs)
         assert df.agg(F.count(F.lit(1))).first()[0] >= 0
+
+
+def test_phrases_are_counted_in_bounded_stretches_of_an_arrow_batch(monkeypatch):
+    """A batch may hold a whole task's tokens; what is sorted at once must not grow with it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tomeweave.llm import collocations as c
+    monkeypatch.setattr(c, "STRETCH", 100)
+    rows = [np.array([0, 1, 2, 1, 2, 3, 0], np.uint64).tobytes() for _ in range(200)]
+    made = list(c._grams(2, None, None)(iter([pa.record_batch([pa.array(rows, pa.binary())], ["tokens"])])))
+    assert len(made) == 14 and max(sum(b.column("n").to_pylist()) for b in made) <= 100
+    counts = {}
+    for b in made:
+        for w1, w2, n in zip(*(b.column(k).to_pylist() for k in ("w1", "w2", "n"))):
+            counts[w1, w2] = counts.get((w1, w2), 0) + n
+    assert counts == {(1, 2): 400, (2, 1): 200, (2, 3): 200}
+
+
+def test_filter_blocks_are_packed_as_they_are_filled():
+    import numpy as np
+    import pyarrow as pa
+
+    from tomeweave.llm import collocations as c
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = 1 << 20
+    want = np.zeros(bits, bool)
+    for place in c._bits(keys, bits):
+        want[place] = True
+    batches = [pa.record_batch([pa.array(k.view(np.int64))], ["key"]) for k in np.array_split(keys, 3)]
+    (made,) = c._blocks(bits)(iter(batches))
+    filled = c.Filter(dict(zip(made.column("block").to_pylist(), made.column("cells").to_pylist())), bits)
+    assert (np.unpackbits(filled.cells, bitorder="little").astype(bool) == want).all()

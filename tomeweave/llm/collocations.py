@@ -34,6 +34,8 @@ from tomeweave.llm._store import Scratch
 from tomeweave.llm._words import Words, mixed, pieces
 
 FILTER_BITS, BLOCKS = 1 << 28, 256
+#: Tokens whose phrases are counted at once; a worker holds some 20 arrays of them.
+STRETCH = 1 << 19
 #: Scores are in parts of this; a round's floor is reached by some ``MARGIN`` x ``top`` pairs, and ``WIDER`` x as many in the next.
 WHOLE, MARGIN, WIDER = 2_000_000, 2, 4
 _ALIVE, _GROWN, _HELD, _WANTED = (np.uint64(x) for x in (0x9E37, 0x85EB, 0xC2B2, 0x27D4))
@@ -102,10 +104,12 @@ def _blocks(bits: int):
             keys = batch.column("key").to_numpy().view(np.uint64)
             for block in np.unique(keys >> np.uint64(56)).tolist():
                 mine = keys[keys >> np.uint64(56) == block]
-                cells = made.setdefault(block, np.zeros(size, bool))
+                if block not in made:
+                    made[block] = np.zeros(size // 8, np.uint8)
                 for place in _bits(mine, bits):
-                    cells[place - np.uint64(block * size)] = True
-        yield pa.record_batch([pa.array(list(made), pa.int32()), pa.array([np.packbits(c, bitorder="little").tobytes() for c in made.values()], pa.binary())],
+                    place = place - np.uint64(block * size)
+                    np.bitwise_or.at(made[block], place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        yield pa.record_batch([pa.array(list(made), pa.int32()), pa.array([c.tobytes() for c in made.values()], pa.binary())],
                               ["block", "cells"])
     return body
 
@@ -182,10 +186,22 @@ def _tokens(shared):
 
 
 # ------------------------------------------------------------------ counts of phrases
+def _stretches(column: pa.Array) -> Iterator[np.ndarray]:
+    """Token rows in stretches of about ``STRETCH`` tokens: an Arrow batch may hold a whole task's."""
+    held, n = [], 0
+    for row in column:
+        held.append(np.frombuffer(row.as_buffer(), np.uint64))
+        n += len(held[-1])
+        if n >= STRETCH:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _grams(size: int, chosen: Callable[[Filter, list[np.ndarray]], np.ndarray] | None, shared):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]])
+        for tokens in (part for batch in batches for part in _stretches(batch.column("tokens"))):
             n = max(0, len(tokens) - size + 1)
             at = np.flatnonzero(np.logical_and.reduce([tokens[i:n + i] != 0 for i in range(size)]))
             columns = [tokens[at + i] for i in range(size)]
