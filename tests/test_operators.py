@@ -234,3 +234,22 @@ def test_run_counts_one_record_per_pair_and_any_payload(spark):
     got = sorted((r["isbn13"], r["status"]) for r in done.outcomes.where("source = 'kobo'").collect())
     assert got == [("1", "partial"), ("2", "empty"), ("3", "ok"), ("4", "partial"), ("5", "error"), ("6", "empty")]
     assert sorted(r["isbn13"] for r in done.ledgers.where("kind = 'no_data'").collect()) == ["2", "6"]
+
+
+def test_short_rows_are_dealt_over_tasks_before_they_grow(spark):
+    from tomeweave.operators.skew import TASK_ROWS, spread_rows
+    rows = spark.range(0, 2 * TASK_ROWS + 1, 1, 1)
+    dealt = spread_rows(rows)
+    assert rows.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 3
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(2 * TASK_ROWS + 1))
+    assert spread_rows(rows.where("id < 0")).collect() == []
+
+
+def test_wanted_books_are_never_broadcast(spark, capsys):
+    from tomeweave.operators import matching
+    wanted = spark.createDataFrame([("a", "T", ["x"])], "isbn13 string, title string, authors array<string>")
+    candidates = spark.createDataFrame([("a", "T 2"), ("b", "U")], "isbn13 string, title string")
+    pairs = matching.pair_up(wanted, candidates)
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert [(r["title"], r["wanted_title"]) for r in pairs.collect()] == [("T 2", "T")]

@@ -65,10 +65,11 @@ def pair_up(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate rows with the wanted title and authors of their book.
 
     ``wanted(isbn13, title, authors)`` has one row per book, so adaptive execution can split a
-    book with very many candidates; the candidates are read once.
+    book with very many candidates; the candidates are read once.  The wanted books grow with the
+    input, so they are never broadcast, however small their files look.
     """
     known = wanted.select("isbn13", F.col("title").alias("wanted_title"), F.col("authors").alias("wanted_authors"))
-    return candidates.join(known, "isbn13")
+    return candidates.join(known.hint("merge"), "isbn13")
 
 
 def accepted(pairs: DataFrame, floor: float = BEST_FLOOR, require_author: bool = True, **rules) -> DataFrame:

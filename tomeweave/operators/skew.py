@@ -22,6 +22,19 @@ SPAN = 1 << 16
 NO_ORDER = -(1 << 62)
 
 
+#: Rows of a task where each costs milliseconds: parsing, JSON, text ratios.
+TASK_ROWS = 2000
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over tasks of about ``TASK_ROWS``.
+
+    Readers cut files by bytes, so a table of short rows is one task even where each row then
+    becomes a page to parse.  Call it on the short rows, before they grow.
+    """
+    return df.repartition(-(-df.count() // TASK_ROWS) or 1)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join whose null keys meet; the right side's keys are dropped."""
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])

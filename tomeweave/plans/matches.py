@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import GOODREADS_FLOOR
 from ..operators import matching, similar
+from ..operators.skew import spread_rows
 from .base import Catalog, Tables
 from .derive import book_isbn13, sql_check10, sql_isbn13
 
@@ -43,7 +44,7 @@ ratios AS (SELECT a, b, 2.0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM b
 
 
 def _pairs(t: Tables):
-    parts = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
+    parts = spread_rows(t.part).withColumn("isbn13", book_isbn13("p_partkey"))
     wanted = parts.selectExpr("isbn13", "p_name AS title", "array(p_brand) AS authors")
     candidates = parts.select("isbn13", "p_size", F.explode(F.expr(_KINDS)).alias("c")).select("isbn13", "p_size", "c.*")
     return matching.pair_up(wanted, candidates)
@@ -81,7 +82,7 @@ def pick_audible(t: Tables):
 @catalog.query(f"""SELECT {sql_isbn13("p_partkey")} AS isbn13, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS rung, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 3 END AS pos FROM part WHERE p_size % 4 <> 3""")
 def pick_amazon(t: Tables):
     """Own code page, else the ISBN search, else a plausible title match; the rest is refused."""
-    parts = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
+    parts = spread_rows(t.part).withColumn("isbn13", book_isbn13("p_partkey"))
     wanted = parts.selectExpr("isbn13", "p_name AS title", "array(p_name) AS authors")
     rows = """array(named_struct('rung', 1, 'pos', 0L, 'title', p_name, 'page_ok', p_size % 4 = 0, 'verdict', 'fuzzy'),
       named_struct('rung', 2, 'pos', 1L, 'title', concat('Summary of ', p_name), 'page_ok', true, 'verdict', 'isbn'),
@@ -99,7 +100,7 @@ def pick_amazon(t: Tables):
   round(CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 + 0.4 * 0.8 ELSE 0.6 * 0.8 + 0.4 END, 6) AS score, p_size % 3 <> 2 AS confident FROM part""")
 def pick_bookbub(t: Tables):
     """Lowest strong rung, else the best blend of title and author; added words are capped."""
-    parts = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
+    parts = spread_rows(t.part).withColumn("isbn13", book_isbn13("p_partkey"))
     wanted = parts.selectExpr("isbn13", "p_name AS title", "array(p_brand) AS authors")
     rows = """CASE p_size % 3 WHEN 0 THEN array(named_struct('rung', 0, 'title', concat(p_name, ' x'), 'authors', array(p_brand)), named_struct('rung', 1, 'title', p_name, 'authors', array('Ann', p_brand)),
         named_struct('rung', 2, 'title', p_name, 'authors', array(p_brand)))
