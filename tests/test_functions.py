@@ -160,3 +160,34 @@ def test_white_space_rules_equal_patterns(spark):
     rows = spark.createDataFrame(list(enumerate(cases)) + [(len(cases), None)], "i int, c string")
     got = {r["i"]: r["t"] for r in rows.select("i", text.tidy(F.col("c")).alias("t")).collect()}
     assert [got[i] for i in range(len(cases))] == [plain(c) for c in cases] and got[len(cases)] == ""
+
+
+def test_plain_pages_are_read_as_the_standard_parser_reads_them():
+    import random
+
+    from tomeweave.functions import arrow
+
+    class Standard(arrow._Tokens):
+        def _plain(self, page):
+            return False
+
+    draw = random.Random(7)
+    bits = ["<", ">", "</", "/>", " ", "=", '"', "'", "a", "p", "script", "&amp;", "&", "x", "<p>", "</p>", '<a href="u&amp;v">', "<!--", "-->", "\n", "<li>", "</script>", "<script>", "b=1",
+            "<br>", "\x00", "\xa0", "<!doctype html>", "<p b=2/>", "<A B='c' d>", "<title>", "</TITLE >"]
+    pages = ["".join(draw.choices(bits, k=draw.randint(1, 14))) for _ in range(5000)]
+    for page in pages:
+        assert arrow._Tokens().nodes(page) == Standard().nodes(page), page
+    assert sum(arrow._Tokens()._plain(page) for page in pages) > 500
+    assert arrow._Tokens()._plain('<!DOCTYPE html><html><body class="a b" data-x=1><br/><script>if (a<b) "<p>"</script>t &amp; u</body></html>')
+
+
+def test_few_pages_are_held_as_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tomeweave.functions import arrow
+    sizes, whole = [], arrow._node_lists
+    monkeypatch.setattr(arrow, "_node_lists", lambda part: sizes.append(len(part)) or whole(part))
+    pages = pa.array(["<p>%d</p>" % i if i % 7 else None for i in range(300)])
+    found = arrow.parse_nodes.func(pages)
+    assert max(sizes) <= arrow._PAGES and found.to_pylist() == whole(pages).to_pylist() and found.null_count == 43
+    assert len(arrow.parse_nodes.func(pages.slice(0, 0))) == 0

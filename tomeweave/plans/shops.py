@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import passes
 from ..session import checkpoint_folder
+from ..operators.skew import spread_rows
 from ..operators.artefacts import fill_from_editions, prefer_named_image, sibling_editions
 from ..stores import amazon, audible, bookbub, goodreads, kobo, openlibrary
 from ..stores.common import cover_rows, review_rows
@@ -27,7 +28,7 @@ _BASE_SQL = f"""b AS (SELECT p_partkey AS k, {sql_isbn13("p_partkey")} AS isbn13
 
 
 def _base(t: Tables) -> DataFrame:
-    rows = t.part.withColumn("isbn13", book_isbn13("p_partkey"))
+    rows = spread_rows(t.part).withColumn("isbn13", book_isbn13("p_partkey"))
     return rows.selectExpr("p_partkey AS k", "isbn13", "concat('10-', p_partkey) AS isbn10", "p_name AS title", "p_brand AS maker", "lower(p_type) AS kind",
                            "p_size AS size", "date_add(date'2001-01-01', int(p_partkey % 5000)) AS day")
 
