@@ -120,17 +120,18 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, min_words: int = 35, anc
         runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
         .where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "shared")
     met = scratch.table(runs.join(shared, "anchor"), "met")
-    mixed = met.where("mixed")
-    stretches = scratch.table(mixed.groupBy("anchor", "stretch").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("one")), "stretches")
+    every = scratch.table(met.groupBy("anchor", "stretch").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("one"), F.first("mixed").alias("mixed")), "stretches")
+    stretches = every.where("mixed")
     opened = (stretches.select("one.*").groupBy("row").agg(F.collect_list("start").alias("starts"))
               .join(docs, "row").mapInArrow(_open_runs(min_words, anchor_words), OPENED))
     opened = scratch.table(opened.join(stretches.select("anchor", "stretch", "copies"), ["anchor", "stretch"]), "opened")
     again = scratch.table(opened.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window"), "again")
     edges = (opened.where("copies = 1").join(again, ["anchor", "window"], "left_semi")
              .select("row", "start", F.lit(1).alias("length")))
-    several = stretches.where("copies > 1").select("anchor", "stretch")
-    whole = met.where("not mixed").unionByName(mixed.join(several, ["anchor", "stretch"], "left_semi"), allowMissingColumns=True)
+    # one join for all: a run passes at most once, whatever other stretches its anchor has
+    several = every.where("copies > 1").select("anchor", "stretch")
+    whole = met.join(several, ["anchor", "stretch"], "left_semi")
     return whole.select("row", "start", "length").unionByName(edges)
 
 
