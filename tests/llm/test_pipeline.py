@@ -77,7 +77,10 @@ def test_all_operators_are_registered_with_their_columns(spark):
             "op5_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op6_token_counts": "doc_id n_bytes n_tokens over_limit",
             "op7_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
             "op8_class_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op9_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
-            "op10_language_id": "doc_id held_out lang_pred score"}
+            "op10_language_id": "doc_id held_out lang_pred score",
+            "op11_tier_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+            "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+            "op13_collocations": "lang rank phrase a l r n score"}
     assert set(queries.QUERIES) == set(want)
     for name in ("op1_substring_dedup", "op6_token_counts", "op9_decontaminate", "op10_language_id"):
         assert queries.QUERIES[name](spark, FOLDER).columns == want[name].split()
