@@ -191,3 +191,27 @@ def test_few_pages_are_held_as_objects_at_once(spark, monkeypatch):
     found = arrow.parse_nodes.func(pages)
     assert max(sizes) <= arrow._PAGES and found.to_pylist() == whole(pages).to_pylist() and found.null_count == 43
     assert len(arrow.parse_nodes.func(pages.slice(0, 0))) == 0
+
+
+def test_meta_tags_are_looked_for_once_for_all_names(spark):
+    pages = spark.createDataFrame([('<meta name="b" content="B"><meta itemprop="a" content="A  x">',), ('<p content="no" name="a">x</p>',), (None,)], "html string")
+    found = markup.meta(F.col("nodes"), "a", "b", "c")
+    assert [r.m for r in pages.select(parse_nodes("html").alias("nodes")).select(found.alias("m")).collect()] == ["A x", None, None]
+    assert found._jc.toString().count("filter(nodes") == 1
+
+
+def test_text_before_a_colon_is_an_origin_key_as_squashing_says(spark):
+    texts = ["Place of Publication: Oslo", "Published in", "place-of--PUBLICATION :x", "Published in Oslo", ": Published in: x", "Published\nin\n", "1 published in: x",
+             "Country/Region of Origin: Peru", "PubliK", "", "Publish placeé: x", "Publishplaces", "publishplace s:", "İ published in:"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    squashed = F.array_contains(F.lit(markup.ORIGIN_KEYS), text.squash(F.regexp_extract("t", "^[^:]*", 0)))
+    rows = df.select("t", squashed.alias("a"), F.lower("t").rlike(markup._origin_label()).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert sum(r.a for r in rows) >= 6
+
+
+def test_only_untidy_text_goes_through_the_white_space_rules(spark):
+    texts = [None, "", " ", "a", " a b ", "a  b", "a\n", "\n a", "a\tb", "a b", "a​b", "a﻿", "a　", "a\x7fb", "a\r\n\r\n\r\nb", "é ß", "a \n b", "\x00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(text.tidy(F.col("t")).alias("a"), F.expr(text._tidied_sql("coalesce(t, '')")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
