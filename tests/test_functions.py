@@ -215,3 +215,14 @@ def test_only_untidy_text_goes_through_the_white_space_rules(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select(text.tidy(F.col("t")).alias("a"), F.expr(text._tidied_sql("coalesce(t, '')")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_audiobook_and_ebook_pages_open_their_json_ld_once(spark, monkeypatch):
+    from tomeweave.stores import audible, kobo
+    pages = spark.createDataFrame([("9780000000002", None, "https://x.example/p", "<html></html>")], "isbn13 string, isbn10 string, url string, html string")
+    read, calls = payload.jsonld_blocks, []
+    monkeypatch.setattr(payload, "jsonld_blocks", lambda html: calls.append(1) or read(html))
+    for shop in (audible, kobo):
+        calls.clear()
+        shop.to_records(pages)
+        assert len(calls) == 1

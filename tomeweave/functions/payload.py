@@ -140,7 +140,12 @@ def jsonld(html: Column, want: list[str] | None = None) -> Column:
     ordered = F.array_sort(found, lambda a, b: F.when(a["path"] < b["path"], -1)
                            .when(a["path"] > b["path"], 1).otherwise(0))
     nodes = F.transform(ordered, lambda i: i["node"])
-    return nodes if want is None else F.filter(nodes, lambda n: has_type(n, want))
+    return nodes if want is None else of_type(nodes, want)
+
+
+def of_type(nodes: Column, want: list[str]) -> Column:
+    """Those of the objects :func:`jsonld` found that have one of the types."""
+    return F.filter(nodes, lambda n: has_type(n, want))
 
 
 def has_type(node: Column, want: list[str]) -> Column:

@@ -13,7 +13,7 @@ from ..functions.lists import dedupe
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, raw_text_of, sel, select, select_in,
                                 text_of)
 from ..functions.payload import (as_map, breadcrumb_names, elements, jsonld, list_or_text, loads, named, names,
-                                 origin_in, raw_text, text)
+                                 of_type, origin_in, raw_text, text)
 from ..functions.text import composite_rating, html_text, tidy, with_heading
 from ..functions.urls import path_of, strip_query
 from ..operators.origin import probe
@@ -40,8 +40,8 @@ def genre_chips(nodes: Column) -> Column:
     return keep_nonblank(F.transform(F.filter(chips, lambda c: kind(c).isin(AUDIBLE_CHIP_KINDS)), lambda c: text_of(nodes, c)))
 
 
-def genres(nodes: Column, html: Column, book: Column, details: Column) -> Column:
-    crumbs = F.filter(F.flatten(F.transform(jsonld(html, ["BreadcrumbList"]), lambda b: breadcrumb_names(b))), lambda n: F.lower(n) != "home")
+def genres(nodes: Column, blocks: Column, book: Column, details: Column) -> Column:
+    crumbs = F.filter(F.flatten(F.transform(of_type(blocks, ["BreadcrumbList"]), lambda b: breadcrumb_names(b))), lambda n: F.lower(n) != "home")
     return dedupe(F.concat(crumbs, genre_chips(nodes), names(details, "categories"), list_or_text(book, "genre")))
 
 
@@ -84,10 +84,11 @@ def search_rows(pages: DataFrame) -> DataFrame:
 
 def to_records(pages: DataFrame) -> DataFrame:
     """``pages(isbn13, isbn10, url, html[, row_image, sibling_images])``."""
-    nodes, html = F.col("nodes"), F.col("html")
+    nodes = F.col("nodes")
     panel = el("adbl-product-details")
     df = parsed(pages)
-    df = compute_once(compute_once(df, blobs=jsonld(html, ["Audiobook", "Product", "Book"])), **{
+    df = compute_once(compute_once(df, blocks=jsonld(F.col("html"))), **{
+        "blobs": of_type(F.col("blocks"), ["Audiobook", "Product", "Book"]),
         "details": component_json(nodes, panel, el("adbl-product-metadata")),
         "people": component_json(nodes, el("adbl-product-metadata", has=["combine-authors-narrators"]))})
     df = compute_once(df, audio=F.get(F.filter("blobs", lambda b: text(b, "name").isNotNull() | text(b, "description").isNotNull()), 0))
@@ -116,5 +117,5 @@ def to_records(pages: DataFrame) -> DataFrame:
         authors=dedupe(writers), publisher=F.coalesce(named(audio, "publisher"), named(details, "publisher")),
         date_of_publication=F.coalesce(iso_date(raw_text(audio, "datePublished")), us_short_date(raw_text(details, "releaseDate"))),
         language=F.when((spoken == F.lower(spoken)) & (spoken != F.upper(spoken)), F.initcap(spoken)).otherwise(spoken),
-        genres=genres(nodes, html, audio, details), blurb=blurb, origin=F.col("_origin.origin"), origin_layers=F.col("_origin.searched"),
+        genres=genres(nodes, F.col("blocks"), audio, details), blurb=blurb, origin=F.col("_origin.origin"), origin_layers=F.col("_origin.searched"),
         covers=collect("audible", F.col("url"), urls), reviews=reviews(nodes), hint_isbn10=F.col("isbn10"), confirmed=F.lit(False))

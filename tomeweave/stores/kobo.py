@@ -13,7 +13,7 @@ from ..functions.lists import dedupe, first_wins_map
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels, strings,
                                 text_of)
 from ..functions.payload import (as_map, as_object, breadcrumb_names, jsonld, list_or_text, loads,
-                                 loads_escaped, member, named, origin_in, origin_in_map, raw_text, text)
+                                 loads_escaped, member, named, of_type, origin_in, origin_in_map, raw_text, text)
 from ..functions.text import drop_bold_marks, fold, language_name, tidy, with_heading
 from ..functions.urls import absolute, slug_base, strip_query
 from ..operators.origin import probe
@@ -75,9 +75,9 @@ def authors(nodes: Column, book: Column, work: Column) -> Column:
     return dedupe(F.concat(listed, F.filter(shown, lambda s: ~F.array_contains(known, fold(s)))))
 
 
-def genres(nodes: Column, html: Column, book: Column) -> Column:
+def genres(nodes: Column, blobs: Column, book: Column) -> Column:
     """Payload genres, else breadcrumbs (the first trail loses its leaf), else rankings."""
-    trails = F.transform(jsonld(html, ["BreadcrumbList"]), lambda b, i: F.struct(
+    trails = F.transform(of_type(blobs, ["BreadcrumbList"]), lambda b, i: F.struct(
         F.filter(breadcrumb_names(b), lambda n: ~fold(n).isin(KOBO_DROP_CRUMBS)).alias("names"), i.alias("at")))
     crumbs = F.flatten(F.transform(trails, lambda t: F.when(t["at"] == 0, F.slice(
         t["names"], F.lit(1), F.greatest(F.size(t["names"]) - 1, F.lit(0)))).otherwise(t["names"])))
@@ -163,6 +163,6 @@ def to_records(pages: DataFrame) -> DataFrame:
         date_of_publication=F.coalesce(stamp_date(raw_text(work, "datePublished")), stamp_date(raw_text(product, "releasedate")),
                                        stamp_date(F.try_element_at(rows, F.lit("release_date")))),
         language=F.coalesce(F.try_element_at(rows, F.lit("language")), language_name(raw_text(book, "inLanguage"))),
-        genres=genres(nodes, html, book), blurb=blurb(nodes, work), origin=F.col("_origin.origin"), origin_layers=F.col("_origin.searched"),
+        genres=genres(nodes, F.col("blobs"), book), blurb=blurb(nodes, work), origin=F.col("_origin.origin"), origin_layers=F.col("_origin.searched"),
         covers=collect("kobo", F.lit(STORE), urls), reviews=reviews(nodes), hint_title=F.col("_main"), hint_isbn10=F.col("isbn10"),
         confirmed=F.col("_main").isNotNull())
