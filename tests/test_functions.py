@@ -226,3 +226,34 @@ def test_audiobook_and_ebook_pages_open_their_json_ld_once(spark, monkeypatch):
         calls.clear()
         shop.to_records(pages)
         assert len(calls) == 1
+
+
+def test_a_tag_that_pages_repeat_is_read_once(monkeypatch):
+    from tomeweave.functions import arrow
+    read, whole = [], arrow._read_tag
+    monkeypatch.setattr(arrow, "_KNOWN", {})
+    monkeypatch.setattr(arrow, "_read_tag", lambda m: read.append(m[0]) or whole(m))
+    page = '<ul class="a"><li>1</li><li>2 &amp; 3</li></ul><a title="x > y">z</a>'
+    rows = [arrow._Tokens().nodes(page) for _ in range(3)]
+    # a value that holds the closing sign is no short text, and is read again
+    assert rows[0] == rows[2] and sorted(set(read)) == sorted(set(read[:5]) | {"</a>"}) and len(read) == 8
+    monkeypatch.setattr(arrow, "_KNOWN_TAGS", 2)
+    assert arrow._Tokens().nodes(page) == rows[0] and len(arrow._KNOWN) <= 6
+
+
+def test_a_costly_value_is_evaluated_once_where_blank_is_null(spark):
+    from tomeweave.functions.core import blank_to_null, some
+    df = spark.createDataFrame([("",), ("xbx",), (None,)], "c string")
+    out = df.select(F.coalesce(F.when(F.col("c").isNull(), F.lit("none")), blank_to_null(F.regexp_replace("c", "x", ""))).alias("o"),
+                    F.coalesce(F.array_repeat(F.col("c"), 0).cast("array<string>")[0], some(F.split("c", "b"))[0]).alias("s"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [(r.o, r.s) for r in out.collect()] == [(None, ""), ("b", "x"), ("none", None)]
+
+
+def test_tests_for_attributes_need_no_look_at_the_tag(spark):
+    df = spark.createDataFrame([('<p id="a" class="x y">1</p><br id="ab"><i class="yx" z>2</i>text<p>3</p>',)], "html string").select(parse_nodes("html").alias("nodes"))
+    found = lambda *a, **k: F.transform(markup.select(F.col("nodes"), markup.el(*a, **k)), lambda n: n["pos"])
+    row = df.select(found(attrs={"id": "a"}).alias("a"), found(attrs={"id": "^a"}).alias("b"), found(cls="y").alias("c"), found(has=["z"]).alias("d"),
+                    found(attrs={"id": ""}).alias("e"), found("p", attrs={"id": "~^$"}).alias("f"), found().alias("g")).first()
+    assert [len(x) for x in row] == [1, 2, 1, 1, 2, 1, 4]
+    assert ">= A" not in df.select(found(attrs={"id": "a"})).        _jdf.queryExecution().optimizedPlan().toString()

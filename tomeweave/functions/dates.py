@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import MONTHS, PACIFIC
-from .core import let, lookup
+from .core import blank_to_null, let, lookup
 from .text import clean
 
 
@@ -18,7 +18,7 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return blank_to_null(F.regexp_extract(text, pattern, group))
 
 
 def iso_date(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import apply_sql, first_of_each, first_of_each_sql, keep_nonblank, let, sql_text
+from .core import apply_sql, blank_to_null, first_of_each, first_of_each_sql, keep_nonblank, let, sql_text
 from .text import clean_sql
 
 LIST_SEPARATORS = r"(?i)\s*(?:[,;/|]|\band\b|&)\s*"
@@ -44,8 +44,7 @@ def genre_text(genres: Column) -> Column:
 
 def first_label(pairs: Column, labels: list[str]) -> Column:
     """First non-empty value under any of the labels; keys are lower case already."""
-    return F.coalesce(*[F.nullif(F.try_element_at(pairs, F.lit(label)), F.lit(""))
-                        for label in labels])
+    return F.coalesce(*[blank_to_null(F.try_element_at(pairs, F.lit(label))) for label in labels])
 
 
 def first_wins_map(pairs: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import JSONLD_WRAPPERS, ORIGIN_KEYS, PLACE_NAME_KEYS
-from .core import keep_nonblank, let, literal_array
+from .core import blank_to_null, keep_nonblank, let, literal_array
 from .text import clean, squash
 
 _FOUND = "array<struct<path:string,node:variant>>"
@@ -44,7 +44,7 @@ def raw_text(node: Column, *keys: str) -> Column:
 
 def text(node: Column, *keys: str) -> Column:
     """Cleaned scalar text, null when empty."""
-    return F.nullif(clean(raw_text(node, *keys)), F.lit(""))
+    return blank_to_null(clean(raw_text(node, *keys)))
 
 
 def elements(node: Column, *keys: str) -> Column:

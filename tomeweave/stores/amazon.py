@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed import AMAZON_DROP_CRUMBS
 from ..functions import isbn
 from ..functions.arrow import bracket_block
-from ..functions.core import blank_to_null, compute_once, keep_nonblank, let
+from ..functions.core import blank_to_null, compute_once, keep_nonblank, let, some
 from ..functions.dates import iso_date, reviewed_on
 from ..functions.lists import dedupe, first_label, first_wins_map
 from ..functions.markup import (attr, el, first, meta, origin_of, prose_of, sel, select, select_in, sels, strings,
@@ -74,7 +74,6 @@ def authors(nodes: Column, tag_authors: Column) -> Column:
         "href": r"~(?i)/e/B[A-Z0-9]{9}|field-author|/author/"})), lambda a: F.coalesce(a["pos"] < binding["pos"], F.lit(True)))
     by_cut = dedupe(F.transform(anchors, lambda a: text_of(nodes, a)))
     parts = keep_nonblank(F.transform(F.split(F.coalesce(tag_authors, F.lit("")), ","), lambda p: F.trim(p)))
-    some = lambda c: F.when(F.size(c) > 0, c)
     return F.coalesce(some(linked), some(by_cut), dedupe(flip_name(parts)))
 
 

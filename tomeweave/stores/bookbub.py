@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import (BOOKBUB_DATE_LABELS, BOOKBUB_LANGUAGE_META, BOOKBUB_NON_BOOKS, BOOKBUB_ORIGIN_LABELS,
                      BOOKBUB_PUBLISHER_LABELS, MARKETING_TAG_PATTERN)
-from ..functions.core import blank_to_null, compute_once, keep_nonblank
+from ..functions.core import blank_to_null, compute_once, keep_nonblank, let, some
 from ..functions.dates import iso_date
 from ..functions.lists import colon_pairs, dedupe, first_label, name_list, split_list
 from ..functions.markup import (attr, el, first, html_text_of, meta, origin_of, sel, select, select_in, sels, strings,
@@ -38,7 +38,6 @@ def page_title(nodes: Column, data: Column, blob: Column) -> Column:
 
 
 def page_authors(nodes: Column, data: Column, blob: Column) -> Column:
-    some = lambda c: F.when(F.size(c) > 0, c)
     shown = name_list(sels(nodes, [el(cls="book-info-authors"), el(cls="person-name")], [el(cls="book-info-authors")]))
     titled = split_list(blank_to_null(F.regexp_extract(sel(nodes, [el("title")]), PAGE_TITLE, 2)))
     return dedupe(F.coalesce(some(list_or_text(data, "authors")), some(list_or_text(blob, "author")), some(shown), titled))
@@ -100,8 +99,10 @@ def to_records(pages: DataFrame) -> DataFrame:
     images = F.filter(nodes, lambda n: (n["tag"] == "img") & F.array_contains(F.split(F.coalesce(attr(n, "class"), F.lit("")), "\\s+"), "book-cover-image"))
     images = F.concat(images, select(nodes, el(cls="cover-image"), el("img")))
     alt_title = lambda n: F.regexp_extract(F.coalesce(attr(n, "alt"), F.lit("")), COVER_ALT, 1)
-    chosen = F.coalesce(F.get(F.filter(images, lambda n: (alt_title(n) != "") & (fold(alt_title(n)) == fold(F.col("_title")))), 0), F.get(images, 0))
-    urls = F.array(raw_text(data, "coverUrl"), meta(nodes, "og:image", "twitter:image"), F.coalesce(blank_to_null(attr(chosen, "src")), attr(chosen, "data-src")))
+    wanted = fold(F.col("_title"))
+    chosen = let(images, lambda shown: let(wanted, lambda name: F.coalesce(
+        F.get(F.filter(shown, lambda n: let(alt_title(n), lambda alt: (alt != "") & (fold(alt) == name))), 0), F.get(shown, 0))))
+    urls = F.array(raw_text(data, "coverUrl"), meta(nodes, "og:image", "twitter:image"), let(chosen, lambda n: F.coalesce(blank_to_null(attr(n, "src")), attr(n, "data-src"))))
     found = probe([("the parsed detail rows", F.size(pairs) > 0, origin_in_map(pairs)),
                    ("the data-book-json book JSON payload", F.size(as_map(data)) > 0, origin_in(data)),
                    ("the page DOM and og:/book: meta tags", F.size(nodes) > 0, origin_of(nodes))])
@@ -109,7 +110,7 @@ def to_records(pages: DataFrame) -> DataFrame:
     return shaped(
         df, "bookbub", book_url=F.col("url"), title=F.col("_title"), authors=page_authors(nodes, data, blob),
         publisher=first_label(pairs, BOOKBUB_PUBLISHER_LABELS), date_of_publication=iso_date(dates), language=language_name(spoken),
-        genres=dedupe(F.when(F.size(own) > 0, own).otherwise(list_or_text(blob, "genre"))),
+        genres=dedupe(F.coalesce(some(own), list_or_text(blob, "genre"))),
         blurb=F.coalesce(repair_repeated(blurb), meta(nodes, "og:description", "twitter:description", "description")),
         origin=F.coalesce(first_label(pairs, BOOKBUB_ORIGIN_LABELS), F.col("_origin.origin")), origin_layers=F.col("_origin.searched"),
         covers=collect("bookbub", F.col("url"), urls), reviews=F.array(), hint_isbn10=F.col("isbn10"), confirmed=F.lit(False))

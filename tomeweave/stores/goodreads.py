@@ -153,7 +153,7 @@ def search_rows(pages: DataFrame) -> DataFrame:
         F.transform(select(nodes, el("table", "tableList"), el("tr")), lambda n: n["pos"])))
     df = parsed(pages).select("isbn13", "nodes", F.posexplode(F.transform(F.sort_array(rows), lambda p: F.get(nodes, p))).alias("pos", "row"))
     link = first(select_in(nodes, F.col("row"), el("a", "bookTitle")))
-    df = df.withColumn("link", link).where(F.col("link").isNotNull())
+    df = compute_once(df, link=link).where(F.col("link").isNotNull())
     link = F.col("link")
     named_title = text_of(nodes, first(select_in(nodes, link, el("span", attrs={"itemprop": "name"}))))
     people = lambda *chain: F.transform(select_in(nodes, F.col("row"), *chain), lambda n: text_of(nodes, n))
