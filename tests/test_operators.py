@@ -253,3 +253,21 @@ def test_wanted_books_are_never_broadcast(spark, capsys):
     pairs.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert [(r["title"], r["wanted_title"]) for r in pairs.collect()] == [("T 2", "T")]
+
+
+def test_capped_reviews_are_read_once(spark):
+    rows = [("a", "kobo", pos, f"text {pos}") for pos in (5, None, 3, 9)] + [(None, "kobo", 1, "x")]
+    df = spark.createDataFrame(rows, "isbn13 string, source string, pos bigint, text string")
+    capped = artefacts.number_reviews(df, 2)
+    assert capped._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert capped.schema["n"].dataType.simpleString() == "bigint"
+    assert sorted((r.isbn13 or "", r.n, r.text) for r in capped.collect()) == [("", 1, "x"), ("a", 1, "text None"), ("a", 2, "text 3")]
+
+
+def test_a_link_of_a_search_row_is_looked_for_once(spark):
+    from tomeweave.stores import goodreads
+    page = '<table class="tableList"><tr><td><a class="bookTitle" href="/book/show/7?x=1"><span itemprop="name">T</span></a><a class="authorName">A</a></td></tr><tr><td>none</td></tr></table>'
+    rows = goodreads.search_rows(spark.createDataFrame([("i", page)], "isbn13 string, html string"))
+    # one look is two words: the text of the class, then the class
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("bookTitle") == 2
+    assert [(r.pos, r.title, r.authors, r.url) for r in rows.collect()] == [(0, "T", ["A"], "https://www.goodreads.com/book/show/7")]

@@ -216,10 +216,13 @@ def render_review() -> Column:
 def number_reviews(reviews: DataFrame, cap: int | None = None) -> DataFrame:
     """Dense 1-based numbers per (book, source), with an optional cap.
 
-    The numbering runs in buckets of positions; rows without a position come first.
+    The numbering runs in buckets of positions; rows without a position come first.  Under a cap
+    each task sends its first ``cap`` rows of a pair, and the reviews are read and parsed once: the
+    buckets' sizes would ask for a second pass over them.
     """
-    placed = numbered(reviews, PAIR, F.col("pos") / SPAN, ["pos"], "n")
-    return placed if cap is None else placed.where(F.col("n") <= cap)
+    if cap is not None:
+        return top_per_key(reviews, PAIR, ["pos"], cap, "n").withColumn("n", F.col("n").cast("bigint"))
+    return numbered(reviews, PAIR, F.col("pos") / SPAN, ["pos"], "n")
 
 
 def review_counts(numbered_reviews: DataFrame, least: int = 25) -> DataFrame:
