@@ -3,6 +3,7 @@ import io
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.operators.artefacts import image_ext
@@ -211,3 +212,15 @@ def test_upserts_write_only_touched_buckets_and_can_run_again(spark, tmp_path):
     got = {(r["k"], r["ts"], r["v"]) for r in incremental.stored(spark, root, held, batches[0]).collect()}
     assert got == {(f"k{i}", 1, "old") for i in range(20) if i != 3} | {("k3", 3, "newer"), ("k99", 5, "last")}
     assert len([b for b in held.values() if b == 2]) == 1 and 0 in held.values()
+
+
+def test_texts_of_arrays_are_dealt_to_their_files_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "arrays")
+    rows = spark.range(40).selectExpr("concat('s', id % 3) AS source", "39 - id AS pos", "to_json(named_struct('isbn13', string(id), 'text', 'a } b')) AS record")
+    monkeypatch.setattr(type(rows), "repartition", lambda *a: pytest.fail("a second shuffle"))
+    stores.write_metadata_arrays(rows, path, parts=2)
+    monkeypatch.undo()
+    files = sorted((tmp_path / "arrays").glob("source=*/part=*/*.txt"))
+    assert len(files) == 6
+    held = [json.loads(f.read_text()) for f in files]
+    assert sum(map(len, held)) == 40 and all([int(r["isbn13"]) for r in h] == sorted((int(r["isbn13"]) for r in h), reverse=True) for h in held)

@@ -152,7 +152,8 @@ def write_metadata_arrays(records: DataFrame, path: str, parts: int = 16) -> Non
     start = F.when(F.lag("pos").over(file).isNull(), F.lit("[")).otherwise(F.lit(""))
     end = F.when(F.lead("pos").over(file).isNull(), F.lit("]")).otherwise(F.lit(","))
     lines = dealt.select("source", "part", "pos", F.concat(start, "record", end).alias("value"))
-    (lines.repartition("source", "part").sortWithinPartitions("source", "part", "pos").drop("pos")
+    # the window has put each file's rows into one task, in order
+    (lines.sortWithinPartitions("source", "part", "pos").drop("pos")
      .write.partitionBy("source", "part").text(path))
 
 
