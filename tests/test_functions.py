@@ -256,4 +256,4 @@ def test_tests_for_attributes_need_no_look_at_the_tag(spark):
     row = df.select(found(attrs={"id": "a"}).alias("a"), found(attrs={"id": "^a"}).alias("b"), found(cls="y").alias("c"), found(has=["z"]).alias("d"),
                     found(attrs={"id": ""}).alias("e"), found("p", attrs={"id": "~^$"}).alias("f"), found().alias("g")).first()
     assert [len(x) for x in row] == [1, 2, 1, 1, 2, 1, 4]
-    assert ">= A" not in df.select(found(attrs={"id": "a"})).        _jdf.queryExecution().optimizedPlan().toString()
+    assert ">= A" not in df.select(found(attrs={"id": "a"}))._jdf.queryExecution().optimizedPlan().toString()
