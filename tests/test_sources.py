@@ -1,12 +1,15 @@
 import csv
 import io
 import json
+import pathlib
 import random
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.operators.artefacts import image_ext
+from tomeweave.session import checkpoint_folder
 from tomeweave.sources import lists, stores
 
 
@@ -224,3 +227,43 @@ def test_texts_of_arrays_are_dealt_to_their_files_once(spark, tmp_path, monkeypa
     assert len(files) == 6
     held = [json.loads(f.read_text()) for f in files]
     assert sum(map(len, held)) == 40 and all([int(r["isbn13"]) for r in h] == sorted((int(r["isbn13"]) for r in h), reverse=True) for h in held)
+
+
+def disk_used(spark, *folders):
+    """Bytes of shuffles and spills, and of the folders' files."""
+    held = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(held.apply(i).length() for i in range(held.size())) + sum(p.stat().st_size for folder in folders for p in folder.rglob("*") if p.is_file())
+
+
+def test_texts_of_arrays_are_not_shuffled_or_kept_by_their_reader(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [rng.randbytes(10000).hex() + rng.choice(["", "}", '"}{"', "\\"]) for _ in range(300)]
+    write(tmp_path, json.dumps([{"isbn13": str(i), "text": t} for i, t in enumerate(texts)]), "kobo_metadata.json")
+    kept = pathlib.Path(urllib.parse.urlparse(checkpoint_folder(spark)).path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        before = disk_used(spark, kept)
+        got = stores.read_metadata_arrays(spark, str(tmp_path / "*_metadata.json")).selectExpr("pos", "record:text::string AS t").collect()
+        assert [r["t"] for r in sorted(got, key=lambda r: r["pos"])] == texts
+        # an element that two splits share is all they have to bring together
+        assert disk_used(spark, kept) - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_elements_over_many_splits_and_files_that_do_not_end(spark, tmp_path):
+    long = {"isbn13": "9", "v": [{"w": "}" * 5}] * 60}
+    write(tmp_path, "\ufeff" + json.dumps([1, 2, long, "x", [3], {"isbn13": "8"}, 4, {"isbn13": "7"}]), "kobo_metadata.json")
+    write(tmp_path, json.dumps(long), "amazon_metadata.json")
+    write(tmp_path, json.dumps([{"isbn13": "6"}] * 60)[:-1], "audible_metadata.json")
+    write(tmp_path, json.dumps([{"isbn13": "5"}] * 30 + [{"isbn13": "4"}]).replace("}, {", "}, 0x, {", 1), "bookbub_metadata.json")
+    write(tmp_path, b'[{"isbn13": "3", "v": "a\xffb"}]', "goodreads_metadata.json")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = stores.read_metadata_arrays(spark, str(tmp_path / "*_metadata.json")).selectExpr("source", "pos", "isbn13", "to_json(record) AS r").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(tuple(r)[:3] for r in rows) == [("amazon", 0, "9"), ("goodreads", 0, "3"), ("kobo", 2, "9"), ("kobo", 5, "8"), ("kobo", 7, "7")]
+    assert all(json.loads(r["r"]) == long for r in rows if r["isbn13"] == "9")

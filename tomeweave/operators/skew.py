@@ -107,15 +107,6 @@ def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: list[st
             .drop("_bucket", "_value", "_seen", "_carry"))
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over a key's rows up to and including each; buckets as in :func:`numbered`."""
-    spread = _spread(df, bucket)
-    sizes = spread.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_rows"))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = null_safe_join(spread.withColumn("_at", F.sum(value).over(inside)), _offsets(sizes, keys), [*keys, "_bucket"])
-    return placed.withColumn(name, F.col("_at") + F.col("_offset")).drop("_bucket", "_at", "_offset")
-
-
 def _composed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """For rows that each map state 0 to ``_f0`` and state 1 to ``_f1``: what all rows of a key up to each one do together (``_h``).
 

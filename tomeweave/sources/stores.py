@@ -6,25 +6,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import json_arrays
+from ..functions.core import compute_once
 from ..functions.markup import looks_like_html
 from ..functions.payload import elements, is_object, raw_text
-from ..operators.skew import numbered, running_sum, state_before
 from ..session import checkpoint_folder
 
 
-BLOCK_CHUNKS = 1 << 14
 _IN_STRING = r'(?:[^"\\]++|\\.)*+'
+_SPLIT = ["file", "_block"]
+
+
+def _same_splits(df: DataFrame) -> DataFrame:
+    """The same rows, cut into tasks once: every job over them sees the same splits of the files."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file as pieces up to its closing braces: ``(file, _size, row, value)``.
+    """A JSON file as pieces up to its closing braces, each with what it says about strings, brackets and commas.
 
-    The brace is the record separator of the scan, so one long line is many tasks as well.
+    The brace is the record separator of the scan, so one long line is many tasks as well.  A task
+    has the pieces of a split ``(file, _block)`` one after the other.  ``_from_0`` and ``_from_1`` are the
+    states behind a piece that is reached outside (0) and inside (1) of a string, ``_marks_0`` and ``_marks_1`` its
+    brackets and commas outside strings, up to a string it leaves open.
     """
     raw = spark.read.option("lineSep", "}").text(path)
-    placed = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
-                        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"), "value")
-    return numbered(placed, ["file"], F.col("_block"), ["_order"], "row").drop("_block", "_order")
+    pieces = _same_splits(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
+                                     F.col("_metadata.file_block_start").alias("_block"), "value"))
+    quote = F.lit('"')
+    entered = F.regexp_replace("value", f'(?s)^{_IN_STRING}(?:"|$)', "")
+    closed = F.col("value").rlike(f'(?s)^{_IN_STRING}"')
+    bare = compute_once(pieces, _bare_0=_strip_strings(F.col("value")), _bare_1=F.when(closed, _strip_strings(entered)))
+    marks = lambda text: F.regexp_replace(F.substring_index(text, '"', 1), r"[^\[\]{,]+", "")
+    return bare.select(*_SPLIT, "_size", "value", F.contains("_bare_0", quote).cast("int").alias("_from_0"),
+                       F.coalesce(F.contains("_bare_1", quote), F.lit(True)).cast("int").alias("_from_1"),
+                       marks(F.col("_bare_0")).alias("_marks_0"), F.coalesce(marks(F.col("_bare_1")), F.lit("")).alias("_marks_1"))
 
 
 def read_metadata_arrays(spark: SparkSession, path: str, name: str = r"([^/]*)_metadata\.json$") -> DataFrame:
@@ -34,39 +51,46 @@ def read_metadata_arrays(spark: SparkSession, path: str, name: str = r"([^/]*)_m
     counts them), and a bare object is one record.
 
     One array of any size is read by many tasks: a file is cut at closing braces; each piece says
-    whether it ends inside a string, read from outside and from inside of one, and a scan
-    composes that.  Then the depth of brackets is a running sum, and a piece that ends one level
-    deep ends an element.  No task holds more than the pieces of one element.
+    whether it ends inside a string, read from outside and from inside of one, and where its
+    brackets lead.  A first pass adds that up for each split of a file, so the second and third
+    know the state, depth and element in which a split begins.  A piece that ends one level deep ends
+    an element.  Texts are not shuffled or kept but for elements that splits share: the second pass
+    tells which files do not parse, the third gives the rows.  No task holds more than the pieces of one element.
     """
-    found = _chunks(spark, path)
-    quote = F.lit('"')
-    entered = F.regexp_replace("value", f'(?s)^{_IN_STRING}(?:"|$)', "")
-    closed = F.col("value").rlike(f'(?s)^{_IN_STRING}"')
-    unfinished = lambda text: F.contains(_strip_strings(text), quote)
-    known = state_before(found, ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], unfinished(F.col("value")), ~closed | unfinished(entered), "_inside")
     checkpoint_folder(spark)
-    # every step below reads the pieces and their states
-    known = known.checkpoint()
-    bare = _strip_strings(F.when(F.col("_inside") == 0, F.col("value")).when(closed, entered).otherwise(F.lit("")))
-    # a file that ends with a brace has one behind its last piece, too: its size tells (a byte order mark is not read)
-    last = known.groupBy("file").agg(F.max("row").alias("_last"), (F.max("_size") - F.sum(F.octet_length("value") + 1)).isin(0, 3).alias("_closed"),
-                                    F.max((F.col("row") == 1) & F.col("value").rlike("^\\s*\\{")).alias("_lone"))
-    sized = known.join(last, "file").withColumn("_bare", F.split(bare, quote, 2)[0])
-    before_brace = (F.col("row") < F.col("_last")) | F.col("_closed")
-    # the brace counts where it stands outside strings
-    sized = sized.withColumn("_braced", before_brace & ~F.contains(bare, quote) & ((F.col("_inside") == 0) | closed))
-    count = lambda letters: F.length("_bare") - F.length(F.translate("_bare", letters, ""))
-    step = count("[{") - count("]}") - F.col("_braced").cast("int")
-    deep = running_sum(sized.withColumn("_step", step), ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], "_step", "_depth")
-    ends = F.col("_braced") & (F.col("_depth") == 1) & ~F.col("_lone")
-    placed = running_sum(deep.withColumn("_ends", ends.cast("int")), ["file"], F.col("row") / BLOCK_CHUNKS, ["row"], "_ends", "_done")
-    text = F.concat("value", F.when(before_brace, F.lit("}")).otherwise(F.lit("")))
-    parts = F.array_sort(F.collect_list(F.struct("row", text.alias("text"))))
-    # an element's number is that of the elements ended before it
-    groups = (placed.groupBy("file", (F.col("_done") - F.col("_ends")).alias("_element"))
-              .agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.max(F.col("row") == F.col("_last")).alias("_end"), F.max_by("_depth", "row").alias("_depth")))
+    # a task and its worker hold some copies of a batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    pieces = _chunks(spark, path)
+    states = ["_from_0", "_from_1", "_marks_0", "_marks_1"]
+    splits = pieces.select(*_SPLIT, "_size", (F.octet_length("value") + 1).alias("_octets"), F.col("value").rlike("^\\s*\\{").alias("_starts"), *states)
+    entered = splits.mapInArrow(json_arrays.summaries, json_arrays.SPLIT).groupBy("file").applyInArrow(json_arrays.entries, json_arrays.ENTRY).checkpoint()
+
+    def cut(known: DataFrame) -> DataFrame:
+        # a row for each split of a file; joined by another plan the pieces would leave their order
+        fed = pieces.join(F.broadcast(known), _SPLIT).select(*_SPLIT, *states, F.col("value").cast("binary").alias("value"), "_entry")
+        return fed.mapInArrow(json_arrays.elements, json_arrays.ELEMENT).withColumn("text", F.col("text").cast("string"))
+
+    wrong = lambda df: df["items"].isNull() | (df["_end"] & (df["_depth"] != 0))
+    read = _parsed(cut(entered))
+    read = read.withColumn("_wrong", F.col("_whole") & wrong(read)).where(~F.col("_whole") | F.col("_wrong")).drop("items").checkpoint()
+    parts = F.array_sort(F.collect_list(F.struct("_block", "text")))
+    shared = (read.where(~F.col("_whole")).groupBy("file", "_element")
+              .agg(F.min("_before").alias("_before"), F.max("_end").alias("_end"), F.max_by("_depth", "_block").alias("_depth"),
+                   F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")))
+    joined = _parsed(shared)
+    bad = read.where("_wrong").select("file").union(joined.where(wrong(joined)).select("file")).distinct()
+    whole = cut(entered.join(bad, "file", "left_anti")).where("_whole").select(shared.columns)
+    parsed = _parsed(whole.union(shared.join(bad, "file", "left_anti").select(shared.columns)))
+    rows = parsed.select(F.regexp_extract("file", name, 1).alias("source"), "_before", F.posexplode("items").alias("at", "record"))
+    rows = rows.where(is_object(F.col("record"))).select("source", (F.col("_before") + F.col("at")).alias("pos"), "record")
+    return rows.select("source", "pos", F.trim(raw_text(F.col("record"), "isbn13")).alias("isbn13"), "record")
+
+
+def _parsed(groups: DataFrame) -> DataFrame:
+    """The texts of elements with their ``items``, null where one does not parse."""
+    groups = compute_once(groups, _body=F.trim(F.regexp_replace("text", "^[\\s\\x{FEFF}]+|\\s+$", "")))
     # "[a, {..}" and ", b, {..}" and ", c]" become arrays of their own
-    first, body = F.col("_element") == 0, F.trim(F.regexp_replace("text", "^[\\s\\x{FEFF}]+|\\s+$", ""))
+    first, body = F.col("_element") == 0, F.col("_body")
     lone = first & F.col("_end") & ~F.startswith(body, F.lit("["))
     opened = F.when(first & F.startswith(body, F.lit("[")), F.substr(body, F.lit(2))).when(~first & F.startswith(body, F.lit(",")), F.substr(body, F.lit(2)))
     rest = F.when(F.col("_end"), F.when(F.endswith(body, F.lit("]")), F.regexp_replace(F.coalesce(opened, body), "\\s*\\]$", ""))).otherwise(opened)
@@ -75,13 +99,7 @@ def read_metadata_arrays(spark: SparkSession, path: str, name: str = r"([^/]*)_m
     # the parser stops behind a whole value; inside an object anything that follows is an error
     list_text = F.concat(F.lit('{"x":['), F.when(lone, body).otherwise(rest), F.lit("]}"))
     bad_comma = ~first & F.startswith(body, F.lit(",")) & (F.trim(F.coalesce(rest, F.lit(""))) == "")
-    parsed = groups.withColumn("items", F.when(~bad_comma, F.try_variant_get(F.try_parse_json(list_text), "$.x", "array<variant>")))
-    wrong = F.col("items").isNull() | (F.col("_end") & (F.col("_depth") != 0))
-    whole = parsed.groupBy("file").agg(F.max(wrong).alias("wrong")).where(~F.col("wrong")).select("file")
-    parsed = running_sum(parsed.join(whole, "file", "left_semi").withColumn("_n", F.size("items")), ["file"], F.col("_element") / BLOCK_CHUNKS, ["_element"], "_n", "_upto")
-    rows = parsed.select(F.regexp_extract("file", name, 1).alias("source"), (F.col("_upto") - F.col("_n")).alias("_before"), F.posexplode("items").alias("at", "record"))
-    rows = rows.where(is_object(F.col("record"))).select("source", (F.col("_before") + F.col("at")).alias("pos"), "record")
-    return rows.select("source", "pos", F.trim(raw_text(F.col("record"), "isbn13")).alias("isbn13"), "record")
+    return groups.withColumn("items", F.when(~bad_comma, F.try_variant_get(F.try_parse_json(list_text), "$.x", "array<variant>"))).drop("_body")
 
 
 def _strip_strings(text: Column) -> Column:
